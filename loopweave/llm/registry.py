@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import license_scan, quality_rules
 from .common import table
 
 
@@ -14,8 +14,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each operator over its whole table, with production parameters."""
     return {
         "op5_quality_rules": lambda spark, d: quality_rules.op5_quality_rules(table(spark, d, "documents")),
+        "op10_license_scans": lambda spark, d: license_scan.op10_license_scans(table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules.oracle()}
+    return {
+        "op5_quality_rules": quality_rules.oracle(),
+        "op10_license_scans": license_scan.oracle(),
+    }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, quality_rules
+from . import license_scan, quality_rules, url_filter
 from .common import table
 
 
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each operator over its whole table, with production parameters."""
     return {
         "op5_quality_rules": lambda spark, d: quality_rules.op5_quality_rules(table(spark, d, "documents")),
+        "op6_url_filters": lambda spark, d: url_filter.op6_url_filters(table(spark, d, "pages")),
         "op10_license_scans": lambda spark, d: license_scan.op10_license_scans(table(spark, d, "documents")),
     }
 
@@ -21,5 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_quality_rules": quality_rules.oracle(),
+        "op6_url_filters": lambda spark, d: url_filter.op6_url_filters(table(spark, d, "pages")),
+        "op6_url_filters": url_filter.oracle(),
         "op10_license_scans": license_scan.oracle(),
     }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, packing, quality_rules, url_filter
+from . import license_scan, mixing, packing, quality_rules, url_filter
 from .common import table
 
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": lambda spark, d: packing.op3_packing(table(spark, d, "documents")),
         "op5_quality_rules": lambda spark, d: quality_rules.op5_quality_rules(table(spark, d, "documents")),
         "op6_url_filters": lambda spark, d: url_filter.op6_url_filters(table(spark, d, "pages")),
+        "op8_mixing": lambda spark, d: mixing.op8_mixing(table(spark, d, "documents")),
         "op10_license_scans": lambda spark, d: license_scan.op10_license_scans(table(spark, d, "documents")),
     }
 
@@ -25,5 +26,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": quality_rules.oracle(),
         "op6_url_filters": lambda spark, d: url_filter.op6_url_filters(table(spark, d, "pages")),
         "op6_url_filters": url_filter.oracle(),
+        "op8_mixing": mixing.oracle(),
         "op10_license_scans": license_scan.oracle(),
     }

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing, packing, quality_rules, url_filter
+from . import license_scan, mixing, packing, quality_rules, toxicity, url_filter
 from .common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each operator over its whole table, with production parameters."""
     return {
+        "op1_toxicity": lambda spark, d: toxicity.op1_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
         "op3_packing": lambda spark, d: packing.op3_packing(table(spark, d, "documents")),
         "op5_quality_rules": lambda spark, d: quality_rules.op5_quality_rules(table(spark, d, "documents")),
         "op6_url_filters": lambda spark, d: url_filter.op6_url_filters(table(spark, d, "pages")),

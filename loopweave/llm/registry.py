@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, line_crf, mixing, packing, quality_rules, toxicity, url_filter
+from . import license_scan, line_crf, mixing, near_dedup, packing, quality_rules, toxicity, url_filter
 from .common import table
 
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": lambda spark, d: toxicity.op1_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
         "op2_quality_classifier": lambda spark, d: line_crf.op2_quality_classifier(table(spark, d, "documents"), table(spark, d, "labels")),
         "op3_packing": lambda spark, d: packing.op3_packing(table(spark, d, "documents")),
+        "op4_near_dedup": lambda spark, d: near_dedup.op4_near_dedup(table(spark, d, "documents")),
         "op5_quality_rules": lambda spark, d: quality_rules.op5_quality_rules(table(spark, d, "documents")),
         "op6_url_filters": lambda spark, d: url_filter.op6_url_filters(table(spark, d, "pages")),
         "op8_mixing": lambda spark, d: mixing.op8_mixing(table(spark, d, "documents")),

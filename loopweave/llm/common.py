@@ -18,16 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, set for checkpoints if nothing has done so.
 
-    The folder is the one that the cluster names in spark.checkpoint.dir; a folder of our own is made only where
-    the session has none, as in tests on one machine.
+    A folder of our own is made only where the session names none, as in tests on one machine.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loopweave-checkpoint-"))
+    return named or sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -72,16 +72,30 @@ class Encoder:
             firsts.append(first)
             rests.append(rest)
         heads = self._encode(firsts)
+        self._learn(rests)
+        get = self.known.__getitem__
+        return [h + b"".join(map(get, r)) for h, r in zip(heads, rests, strict=True)]
+
+    def learn(self, texts: list[str]) -> None:
+        """Takes the parts of some texts into the cache at once."""
+        self._learn([self.parts(t)[1:] for t in texts])
+
+    def counts(self, first: str, rest: list[str]) -> list[int]:
+        """Tokens of each part of a text."""
+        if not self.known.keys() >= set(rest):
+            self._learn([rest])
         known = self.known
-        new = set().union(*rests).difference(known)
+        return [len(self._encode([first])[0]) // 4, *(len(known[p]) // 4 for p in rest)]
+
+    def _learn(self, parts: list[list[str]]) -> None:
+        known = self.known
+        new = set().union(*parts).difference(known)
         if len(known) + len(new) > self.limit:
             known.clear()
-            new = set().union(*rests)
+            new = set().union(*parts)
         if new:
             order = list(new)
             known.update(zip(order, self._encode([" " + w for w in order]), strict=True))
-        get = known.__getitem__
-        return [h + b"".join(map(get, r)) for h, r in zip(heads, rests, strict=True)]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, license_scan, line_crf, mixing, near_dedup, packing, quality_rules, toxicity, url_filter
+from . import embedding_dedup, license_scan, line_crf, mixing, near_dedup, packing, quality_rules, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_url_filters": lambda spark, d: url_filter.op6_url_filters(table(spark, d, "pages")),
         "op7_embedding_dedup": lambda spark, d: embedding_dedup.op7_embedding_dedup(table(spark, d, "embeddings")),
         "op8_mixing": lambda spark, d: mixing.op8_mixing(table(spark, d, "documents")),
+        "op9_token_counts": lambda spark, d: token_counts.op9_token_counts(table(spark, d, "documents")),
         "op10_license_scans": lambda spark, d: license_scan.op10_license_scans(table(spark, d, "documents")),
     }
 

@@ -56,8 +56,11 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int =
     line = Window.orderBy(F.col("source_size") / F.col("weight"), *name)
     rest = F.sum("source_size").over(Window.rowsBetween(*_ALL)) - cap * F.coalesce(F.sum("source_size").over(line.rowsBetween(*_BEFORE)), F.lit(0))
     level = rest / F.sum("weight").over(line.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    weighed = weighed.withColumn("level", level).withColumn("full", cap * F.col("source_size") <= F.col("level") * F.col("weight"))
-    top = F.min(F.when(~F.col("full"), F.col("level"))).over(Window.rowsBetween(*_ALL))
+    weighed = weighed.withColumn("level", level)
+    # a level holds if all sources before it in the line are capped; the first that isn't sets it for the rest
+    capped = (cap * F.col("source_size") <= F.col("level") * F.col("weight")).cast("int")
+    weighed = weighed.withColumn("full", F.min(capped).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)) == 1)
+    top = F.first(F.when(~F.col("full"), F.col("level")), ignorenulls=True).over(line.rowsBetween(*_ALL))
     target = F.when(F.col("full"), (cap * F.col("source_size")).cast("double")).otherwise(top * F.col("weight"))
     return weighed.select("source", "source_size", target.alias("target"))
 
@@ -146,11 +149,10 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document stays once for each time that at least half of its words are taken, so texts are never cut; a document
     without words stays once, as the mix has nothing to take of it.
     """
-    names = docs.columns
-    sized = docs.withColumn("size", n_words(F.col("text")))
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct("*").alias("row"))
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))))
-    mixed = mix(sized).withColumn("_copies", copies.cast("int")).filter("_copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    mixed = mix(sized).withColumn("copies", copies.cast("int")).filter("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def oracle() -> str:
@@ -165,9 +167,10 @@ w as (select *, [{weights}][(row_number() over (order by {by_name}) - 1) % {len(
 l as (select *, (sum(source_size) over () - {MAX_REPEAT} * coalesce(sum(source_size) over (
                  order by source_size / weight, {by_name} rows between unbounded preceding and 1 preceding), 0))::double
                 / sum(weight) over (order by source_size / weight, {by_name} rows between current row and unbounded following) as level from w),
-f as (select *, {MAX_REPEAT} * source_size <= level * weight as full_up from l),
+f as (select *, min(({MAX_REPEAT} * source_size <= level * weight)::int) over (order by source_size / weight, {by_name}
+                 rows between unbounded preceding and current row) = 1 as full_up from l),
 t as (select source, source_size, case when full_up then ({MAX_REPEAT} * source_size)::double
-             else min(level) filter (not full_up) over () * weight end as target from f),
+             else (select min_by(level, (source_size / weight, source is null, source)) from f where not full_up) * weight end as target from f),
 c as (select greatest(1, cast(ceil(sum(source_size) / {SLOTS}.0) as bigint)) as block, sum(source_size)::bigint as total from s),
 e as (select source, least(floor(sum(target) over (order by {by_name} rows between unbounded preceding and current row)
              / sum(target) over () * {POINTS}), {POINTS})::bigint as stop from t where target > 0),

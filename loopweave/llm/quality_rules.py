@@ -157,6 +157,11 @@ def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) ->
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).withColumnRenamed("f", "facts")
 
 
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: documents that no rule rejects, with their columns whatever these are named."""
+    return judge(docs.select(F.struct("*").alias("row"), "text")).filter("kept").select("row.*")
+
+
 def op5_quality_rules(df: DataFrame) -> DataFrame:
     """The contract's digest: one row for each document."""
     judged = judge(df.select("doc_id", "text"))

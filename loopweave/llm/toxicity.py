@@ -235,10 +235,10 @@ def scores(model: Model, docs: list[list[str]], words: Vocabulary) -> list[float
     return out
 
 
-def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with the double `score`, 0 to 1; 0.5 is the threshold of the text's language."""
-    own = df.drop("score") if text != "score" else df
-    schema = own.withColumn("score", F.lit(0.0)).schema
+def score(df: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """df with the double `name`, 0 to 1; 0.5 is the threshold of the text's language."""
+    own = df.drop(name)
+    schema = own.withColumn(name, F.lit(0.0)).schema
     at = own.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +248,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 part = batch.slice(k, 256)
                 docs = [tokens(t) for t in part.column(at).to_pylist()]
                 result = pa.array(scores(model, docs, words), pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, result], names=[*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, result], names=[*part.schema.names, name])
 
     return own.mapInArrow(run, schema)
 
@@ -265,4 +265,5 @@ def op1_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier, fitted on this stage's documents, does not find toxic."""
-    return score(docs, fitted(docs, table(spark, sf_dir, "labels"))).filter("score < 0.5").drop("score")
+    name = "_toxicity"
+    return score(docs, fitted(docs, table(spark, sf_dir, "labels")), name=name).filter(F.col(name) < 0.5).drop(name)

@@ -101,9 +101,12 @@ def rescore(kinds: Column, s: Scoring) -> Column:
 
 def error_positions(mask: Column) -> Column:
     """Relative positions (0 to 1) of the x columns of a match mask; a mask of one column has them at 0."""
-    n = F.length(mask)
-    at = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.substr(mask, i + 1, F.lit(1)) == "x")
-    return F.transform(at, lambda i: i.cast("double") / F.greatest(n - 1, F.lit(1)))
+
+    def placed(cells: Column) -> Column:
+        last = F.greatest(F.size(cells) - 1, F.lit(1))
+        return F.filter(F.transform(cells, lambda x, i: F.when(x == "x", i.cast("double") / last)), lambda p: p.isNotNull())
+
+    return let(F.split(mask, ""), placed)
 
 
 def cigar_ops(cigar: Column, ops: str = "MID") -> Column:
@@ -174,8 +177,25 @@ def natural_key(name: Column) -> Column:
 
 
 def percent_text(ratio: Column, digits: int = 1) -> Column:
-    """A ratio as a percentage with fixed decimals, such as 90.1%."""
-    return F.format_string(f"%.{digits}f%%", 100 * ratio.cast("double"))
+    """A ratio as a percentage with fixed decimals, such as 90.1%, rounded as C does: exactly, and ties to even.
+
+    Java's formatter rounds the shortest decimal form, and ties up. So the product with the power of ten is taken
+    with its rounding error (by splitting the factor in halves), and that decides where the product ends in .5.
+    """
+    scale = float(10**digits)
+
+    def rounded(v: Column) -> Column:
+        big = v * 134217729.0
+        high = big - (big - v)
+        low = v - high
+        product = v * scale
+        error = (high * scale - product) + low * scale
+        whole = F.floor(product).cast("double")
+        half = product - whole
+        up = (half > 0.5) | ((half == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+        return F.format_string(f"%.{digits}f%%", (whole + up.cast("double")) / scale)
+
+    return let(100 * ratio.cast("double"), rounded)
 
 
 def percent_value(text: Column) -> Column:

@@ -297,7 +297,7 @@ def parameter_ball(
         axis = lambda n: F.explode(F.sequence(F.lit(center[n] - radius), F.lit(center[n] + radius)))
         df = spark.range(1).select()
         for n in names:
-            df = df.select("*", axis(n).cast("long").alias(n))
+            df = df.select("*", axis(n).alias(n)).withColumn(n, F.col(n).cast("long"))
     if reject:
         df = df.filter(~F.coalesce(F.expr(reject), F.lit(False)))
     if not keep_center:

@@ -293,7 +293,7 @@ def merge_intervals(spark, d):
     return I.merge_intervals(V.iv(spark, d))
 
 
-@query(f"""with {V.IV}, {V.islands('iv', 'g', True)}, o as (select seq, "start", least("end", reach) as "end" from g) select * from o where "end" > "start" """)
+@query(f"""with {V.IV}, {V.islands('iv', 'g', True)}, o as (select seq, "start", least("end", reach) as "end" from g where reach is not null) select * from o where "end" > "start" """)
 def overcovered(spark, d):
     return I.overcovered(V.iv(spark, d))
 
@@ -309,7 +309,7 @@ def classifier_detail(spark, d):
 
 
 @query(f"""with {_CLASSIFIER}, {V.islands('observed', 'oi', True)},
-over_raw as (select seq, "start", least("end", reach) as "end" from oi where least("end", reach) > "start"), {V.merged('over_raw', 'twice')},
+over_raw as (select seq, "start", least("end", reach) as "end" from oi where reach is not null and least("end", reach) > "start"), {V.merged('over_raw', 'twice')},
 op as (select w.seq, w."start", w."end", coalesce(sum(least(t."end", w."end") - greatest(t."start", w."start")), 0)::bigint as c
        from twice w left join truth t on t.seq = w.seq and t."start" < w."end" and t."end" > w."start" group by all),
 a as (select sum(tp)::bigint as tp, sum("end" - "start" - tp)::bigint as fn, count(*) as n_truth, count(*) filter (tp >= ("end" - "start") * 0.95::double) as n_detected from pairs),

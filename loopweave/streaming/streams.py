@@ -44,5 +44,6 @@ def quota_stream(rows: DataFrame, spec: DataFrame, sink: str, checkpoint: str, l
         sample = quota_sample(batch, left, batch.columns, length)
         sample.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    rows.sparkSession.createDataFrame([], "batch int").write.mode("ignore").parquet(f"{sink}/batch=-1")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    rows.sparkSession.createDataFrame([], f"{columns}, lo bigint, hi bigint").write.mode("ignore").parquet(f"{sink}/batch=-1")
     return rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)

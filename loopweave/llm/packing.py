@@ -27,6 +27,8 @@ GROUP = 32_768
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 #: Entries of a worker's cache of encoded words.
 CACHE = 800_000
+#: New parts that are encoded as one text.
+JOINED = 1000
 
 
 def vocabulary() -> str:
@@ -46,13 +48,13 @@ class Encoder:
 
     #: A space with something other than white space on both sides.
     CUT = re.compile(r" (?!\s)(?<!\s )")
-    #: White space that touches a space, or ends of the text with white space: then CUT has to decide.
-    ODD = re.compile(r"[^\S ] | [^\S ]|  ")
-
     def __init__(self, path: str | None = None, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or vocabulary())
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.opens[k] = token.startswith("\u0120")  # how byte-level BPE writes a space
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.limit = cache
         self.known: dict[str, bytes] = {}
@@ -61,9 +63,9 @@ class Encoder:
         """The text in parts that can be encoded alone; all but the first stand for a space and the part."""
         if any(s in text for s in self.special):
             return [text]
-        if self.ODD.search(text) or text[:1].isspace() or text[-1:].isspace():
-            return self.CUT.split(text)
-        return text.split(" ")
+        plain = text.split(" ")
+        # white space at the ends of a part, or an empty part: then CUT has to decide
+        return self.CUT.split(text) if "" in plain or list(map(str.strip, plain)) != plain else plain
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         firsts, rests = [], []
@@ -94,8 +96,20 @@ class Encoder:
             known.clear()
             new = set().union(*parts)
         if new:
-            order = list(new)
-            known.update(zip(order, self._encode([" " + w for w in order]), strict=True))
+            closed = [w for w in new if w and not w[-1].isspace()]
+            for k in range(0, len(closed), JOINED):
+                known.update(self._joined(closed[k : k + JOINED]))
+            rest = [w for w in new if not w or w[-1].isspace()]
+            known.update(zip(rest, self._encode([" " + w for w in rest]), strict=True))
+
+    def _joined(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of parts encoded as one text: a part starts where a token starts with a space, as no part has another."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        starts = np.where(self.opens[ids])[0]
+        if len(starts) != len(parts):
+            return zip(parts, self._encode([" " + p for p in parts]), strict=True)
+        whole, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
+        return zip(parts, [whole[a:b] for a, b in zip((4 * starts).tolist(), ends, strict=True)], strict=True)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

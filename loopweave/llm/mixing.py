@@ -32,6 +32,8 @@ POINTS, GOLDEN = 1 << 32, 2_654_435_769
 #: Documents in a bin of a line on average, and slots in a bin of the schedule.
 BIN_ROWS, BIN_SLOTS = 2048, 1 << 12
 SEED = "mix"
+#: Sources whose table is broadcast, some 60 bytes each.
+BROADCAST_SOURCES = 50_000
 
 _ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 _BEFORE = (Window.unboundedPreceding, -1)
@@ -96,45 +98,54 @@ def schedule(spark, mixed: DataFrame, total: int, slots: int = SLOTS) -> DataFra
     )
 
 
-def lay_out(df: DataFrame, n_rows: int, seed: str = SEED) -> DataFrame:
-    """df (doc_id, source, size, ...) with `place`: the words ahead of a document in its source's shuffled line."""
-    bins = max(1, -(-n_rows // BIN_ROWS))
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + seed)).cast("binary"))
-    keyed = df.withColumn("_key", key).withColumn("_bin", F.floor(F.conv(F.substr("_key", F.lit(1), F.lit(8)), 16, 10).cast("long") * bins / POINTS))
-    sums = keyed.groupBy("source", "_bin").agg(F.sum("size").alias("n"))
-    ahead = F.sum("n").over(Window.partitionBy("source").orderBy("_bin").rowsBetween(*_BEFORE))
-    sums = sums.select(F.col("source").alias("_s"), F.col("_bin").alias("_b"), F.coalesce(ahead, F.lit(0)).alias("_ahead"))
-    inside = F.sum("size").over(Window.partitionBy("source", "_bin").orderBy("_key", "size").rowsBetween(*_BEFORE))
-    return (
-        keyed.withColumn("_inside", F.coalesce(inside, F.lit(0)))
-        .join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_b")))
-        .withColumn("place", F.col("_ahead") + F.col("_inside"))
-        .drop("_key", "_bin", "_s", "_b", "_ahead", "_inside")
-    )
+def _key(source: Column) -> Column:
+    """The source as a text that is never null, so that windows and joins by it can share an exchange."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
 
 
-def mix(df: DataFrame, slots: int = SLOTS, seed: str = SEED) -> DataFrame:
-    """df (doc_id, source, size, ...) with source_size, target, taken (words in the mix) and first_slot."""
+def lay_out(df: DataFrame, n_rows: int, seed: str = SEED) -> DataFrame:
+    """df (doc_id, source, size, ...) with `_source`, its key, and `place`: the words ahead of a document in its line.
+
+    Rows move once: windows and the join with what lies ahead of a bin are by the same columns.
+    """
+    bins = max(1, -(-n_rows // BIN_ROWS))
+    order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + seed)).cast("binary"))
+    keyed = df.withColumn("_source", _key(F.col("source"))).withColumn("_order", order)
+    keyed = keyed.withColumn("_bin", F.floor(F.conv(F.substr("_order", F.lit(1), F.lit(8)), 16, 10).cast("long") * bins / POINTS))
+    sums = keyed.groupBy("_source", "_bin").agg(F.sum("size").alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("_source").orderBy("_bin").rowsBetween(*_BEFORE))
+    sums = sums.select("_source", "_bin", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    inside = F.sum("size").over(Window.partitionBy("_source", "_bin").orderBy("_order", "size").rowsBetween(*_BEFORE))
+    placed = keyed.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(sums, ["_source", "_bin"])
+    return placed.withColumn("place", F.col("_ahead") + F.col("_inside")).drop("_order", "_bin", "_ahead", "_inside")
+
+
+def mix(df: DataFrame, slots: int = SLOTS, seed: str = SEED, with_slot: bool = True) -> DataFrame:
+    """df (doc_id, source, size, ...) with source_size, target, taken (words in the mix) and, if asked, first_slot."""
     spark = df.sparkSession
     own = df.drop(*[c for c in RESULTS if c != "size"])
     sources = cut(own.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")))
-    total, n_docs = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
+    n_sources, total, n_docs = sources.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
     mixed = targets(sources)
     block = slot_words(total, slots)
     plan = cut(schedule(spark, mixed, total, slots))
-    read = plan.groupBy("source").agg((F.count("*") * block).alias("words"))
-    # the line is read so far; whole rounds at most as often as the cap allows
-    mixed = mixed.join(read, mixed.source.eqNullSafe(read.source), "left").select(
-        mixed.source.alias("_of"), "source_size", F.coalesce("target", F.lit(0.0)).alias("target"),
-        F.least(F.coalesce("words", F.lit(0)), MAX_REPEAT * F.col("source_size")).alias("_read"),
+    read = plan.groupBy(_key(F.col("source")).alias("_source")).agg((F.count("*") * block).alias("words"))
+    # the line is read so far; as often as the cap allows at most
+    mixed = mixed.withColumn("_source", _key(F.col("source"))).join(read, "_source", "left")
+    mixed = mixed.select(
+        "_source", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), F.least(F.coalesce("words", F.lit(0)), MAX_REPEAT * F.col("source_size")).alias("_read")
     )
-    laid = lay_out(own, n_docs, seed).join(mixed, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
+    # a row for each source: counted above, and shuffled if a manifest should be that long
+    mixed = F.broadcast(mixed) if n_sources <= BROADCAST_SOURCES else mixed
+    laid = lay_out(own, n_docs, seed).join(mixed, "_source")
     rounds = F.floor(F.col("_read") / F.greatest("source_size", F.lit(1)))
     rest = F.col("_read") - rounds * F.col("source_size")
     laid = laid.withColumn("taken", (rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("place")))).cast("long"))
+    if not with_slot:
+        return laid.drop("_source", "_read", "place")
     laid = laid.withColumn("_rank", F.when(F.col("taken") > 0, F.floor(F.col("place") / block)))
-    first = plan.select(F.col("source").alias("_of"), F.col("rank").alias("_r"), F.col("slot").alias("first_slot"))
-    return laid.join(first, F.col("source").eqNullSafe(F.col("_of")) & (F.col("_rank") == F.col("_r")), "left").drop("_of", "_r", "_rank", "_read", "place")
+    first = plan.select(_key(F.col("source")).alias("_source"), F.col("rank").alias("_rank"), F.col("slot").alias("first_slot"))
+    return laid.join(first, ["_source", "_rank"], "left").drop("_rank", "_read", "place", "_source")
 
 
 def op8_mixing(df: DataFrame) -> DataFrame:
@@ -151,7 +162,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct("*").alias("row"))
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))))
-    mixed = mix(sized).withColumn("copies", copies.cast("int")).filter("copies > 0")
+    mixed = mix(sized, with_slot=False).withColumn("copies", copies.cast("int")).filter("copies > 0")
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 

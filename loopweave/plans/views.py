@@ -94,8 +94,8 @@ def islands(source: str, name: str, touching: bool) -> str:
     """CTEs that give the rows of source (seq, start, end, ...) the number `island` of their group, and `reach`."""
     op = ">" if touching else ">="
     return f"""{name}_r as (select *, max("end") over (partition by seq order by "start", "end" rows between unbounded preceding and 1 preceding) as reach from {source}),
-{name} as (select *, sum(case when reach is null or "start" {op} reach then 1 else 0 end) over (partition by seq order by "start", "end"
-        rows between unbounded preceding and current row) as island from {name}_r)"""
+{name}_o as (select *, case when reach is null or "start" {op} reach then 1 else 0 end as opens from {name}_r),
+{name} as (select *, sum(opens) over (partition by seq order by "start", "end", opens desc rows between unbounded preceding and current row) as island from {name}_o)"""
 
 
 def merged(source: str, name: str) -> str:

@@ -31,6 +31,8 @@ from .components import components
 
 THRESHOLD = 0.95
 BLOCK = 4096
+#: Tasks that tiles are dealt to at most, and dimensions whose table is broadcast.
+TASKS, BROADCAST_WIDTHS = 10_000, 10_000
 #: Rows of a tile's first block that are multiplied at a time, pairs recomputed at a time.
 STRIP, PAIRS = 512, 1 << 16
 #: More than the rounding of the float32 scaling of a product of unit vectors.
@@ -118,11 +120,15 @@ def classes(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     nodes = cut(
         own.filter("node is not null").groupBy("node").agg(F.count("*").alias("size"), F.min("vec_id").alias("vec_id"), F.first("embedding").alias("vector"))
     )
-    by_width = nodes.groupBy(F.size("vector").alias("_w")).agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("int").alias("blocks"))
-    dealt = nodes.join(by_width, F.size("vector") == F.col("_w")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    by_width = cut(nodes.groupBy(F.size("vector").alias("_w")).agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("int").alias("blocks")))
+    n_widths, n_tiles = by_width.agg(F.count("*"), F.coalesce(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2), F.lit(0))).first()
+    # a row for each dimension, counted; a shuffled join by dimension would bring all vectors to one task
+    dealt = nodes.join(F.broadcast(by_width) if n_widths <= BROADCAST_WIDTHS else by_width, F.size("vector") == F.col("_w"))
+    dealt = dealt.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1)
     rows = dealt.select(F.col("_w").alias("width"), F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), side.alias("side"), "node", "size", "vector")
+    rows = rows.repartition(int(min(max(n_tiles, 1), TASKS)), "width", "low", "high")
     tiles = cut(rows.groupBy("width", "low", "high").applyInArrow(_tile, "node string, other string, links bigint"))
     found = components(tiles.select(F.col("node").alias("a"), F.col("other").alias("b")))
     sums = tiles.groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "_m")

@@ -132,34 +132,30 @@ def facts(text: Column) -> Column:
     return let(words(text), counts)
 
 
-def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
-    """The names of the rules that a row's facts break; a text without words breaks none (the base fails it)."""
+def compiled(rules: tuple[Rule, ...] = RULES) -> str:
+    """SQL over the facts f: the names of the rules that they break; a text without words breaks none (the base fails it)."""
     broken = []
     for r in rules:
         tests = [f"({r.measure}) < {r.low}" if r.low is not None else "", f"({r.measure}) > {r.high}" if r.high is not None else ""]
-        broken.append(F.when(F.expr(f"f.n_words > 0 and ({' or '.join(filter(None, tests))})"), F.lit(r.name)))
-    return F.array_compact(F.array(*broken))
+        broken.append(f"case when f.n_words > 0 and ({' or '.join(filter(None, tests))}) then '{r.name}' end")
+    return f"array_compact(array({', '.join(broken)}))"
 
 
 def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """df with the struct `facts`, base_failed, the array `failed_rules` and the verdict kept.
+    """df with the struct `verdict`: facts, base_failed, the array failed_rules, and kept. A column verdict is replaced.
 
-    Columns of these names in df are replaced.
+    It is one expression in which the facts are bound to a variable, so a filter on it counts a text once.
     """
-    own = df.drop(*[c for c in ("f", "facts", "base_failed", "failed_rules", "kept") if c != text])
-    out = own.withColumn("f", facts(F.col(text)))
-    out = out.withColumn(
-        "base_failed",
-        F.expr(
-            f"f.n_words < {BASE_MIN_WORDS} or 100 * f.n_repeat_words > {BASE_MAX_REPEAT_PERCENT} * f.n_words"
-        ),
-    ).withColumn("failed_rules", compiled(rules))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).withColumnRenamed("f", "facts")
+    base = f"f.n_words < {BASE_MIN_WORDS} or 100 * f.n_repeat_words > {BASE_MAX_REPEAT_PERCENT} * f.n_words"
+    first = f"named_struct('facts', f, 'base_failed', {base}, 'failed_rules', {compiled(rules)})"
+    last = "named_struct('facts', v.facts, 'base_failed', v.base_failed, 'failed_rules', v.failed_rules, 'kept', not v.base_failed and size(v.failed_rules) = 0)"
+    own = df.drop("verdict") if text != "verdict" else df
+    return own.withColumn("verdict", facts(F.col(text))).withColumn("verdict", F.expr(f"transform(transform(array(verdict), f -> {first}), v -> {last})[0]"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that no rule rejects, with their columns whatever these are named."""
-    return judge(docs.select(F.struct("*").alias("row"), "text")).filter("kept").select("row.*")
+    return judge(docs.select(F.struct("*").alias("row"), "text")).filter("verdict.kept").select("row.*")
 
 
 def op5_quality_rules(df: DataFrame) -> DataFrame:
@@ -167,7 +163,7 @@ def op5_quality_rules(df: DataFrame) -> DataFrame:
     judged = judge(df.select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return judged.select(
-        "doc_id", *[F.col(f"facts.{n}").alias(n) for n in names], "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules")
+        "doc_id", *[F.col(f"verdict.facts.{n}").alias(n) for n in names], "verdict.base_failed", "verdict.kept", F.array_join("verdict.failed_rules", ",").alias("failed_rules")
     )
 
 

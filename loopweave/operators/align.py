@@ -160,16 +160,14 @@ def positional_events(alignments: DataFrame, keys: list[str], phase: Column | No
     alignments on the reverse strand are complemented. A text that follows neither counts forward from 0. A phase
     that is known otherwise, such as that of a noiseless genome, can be given.
     """
-    kinds = F.split(dna.column_kinds(F.col("seq_text"), F.col("motif_text")), "")
+    kinds = dna.column_kinds(F.col("seq_text"), F.col("motif_text"))
     zero = F.struct(F.lit(0).alias("position"), F.lit("+").alias("direction"))
     known = F.coalesce(phase if phase is not None else motif_phase(F.col("motif"), F.col("motif_text"), whole=True), zero)
-    base = alignments.select(*keys, "motif", "strand", "seq_text", kinds.alias("kinds"), known.alias("phase"), F.length("motif").alias("n"))
-    # motif bases before each column: a running count carried along the array
-    count = F.aggregate(
-        "kinds",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda acc, k: F.struct((acc["at"] + (k != "i").cast("int")).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")),
-    )["all"]
+    base = alignments.select(*keys, "motif", "strand", "seq_text", kinds.alias("text"), known.alias("phase"), F.length("motif").alias("n"))
+    base = base.withColumn("kinds", F.split("text", ""))
+    # motif bases before each column: each base comes with the insertions ahead of it, so the work grows with the text's length
+    bases = F.regexp_extract_all("text", F.lit("i*[^i]|i+$"), F.lit(0))
+    count = F.flatten(F.transform(bases, lambda b, i: F.array_repeat(i, F.length(b))))
     columns = base.withColumn("x", F.explode(F.arrays_zip(F.col("kinds").alias("kind"), F.split("seq_text", "").alias("base"), count.alias("at"))))
     forward = F.col("phase.direction") == "+"
     at = F.pmod(F.col("phase.position") + F.col("x.at"), F.col("n"))

@@ -197,7 +197,7 @@ def _phased(spark, d):
     # a motif text that follows ACGTT from its first base: mismatches and gaps come from the sequence alone
     p = V.pair(spark, d)
     n = F.length("seq_text")
-    unit = F.substr(F.repeat(F.lit("ACGTT"), 50), F.lit(1), n)
+    unit = F.substr(F.repeat(F.lit("ACGTT"), F.ceil(n / 5).cast("int")), F.lit(1), n)
     q = F.array_join(F.zip_with(F.split("seq_text", ""), F.split(unit, ""), lambda s, u: F.when((s == u) | (s == "-"), u).otherwise(F.lower(u))), "")
     return p.select("doc_id", F.lit("ACGTT").alias("motif"), F.lit("+").alias("strand"), "seq_text", q.alias("motif_text"))
 

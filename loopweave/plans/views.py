@@ -25,7 +25,7 @@ def dna(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair(spark: SparkSession, d: str) -> DataFrame:
-    s = F.substr("seq", F.lit(1), F.lit(200))
+    s = F.col("seq")
     rep = lambda c, a, b: F.replace(c, F.lit(a), F.lit(b))
     return dna(spark, d).filter("seq <> ''").select("doc_id", rep(s, "CAT", "C-T").alias("seq_text"), rep(rep(s, "GG", "Gc"), "TG", "T-").alias("motif_text"))
 

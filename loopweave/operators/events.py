@@ -129,10 +129,15 @@ def error_positions(df: DataFrame) -> DataFrame:
     return df.withColumn("positions", dna.error_positions(mask)).drop("seq_text", "motif_text")
 
 
-def _trial_bounds(rng: np.random.Generator, counts: np.ndarray, events: int, trials: int) -> Iterator[tuple[int, int]]:
-    for _ in range(trials):
-        drawn = rng.multivariate_hypergeometric(counts, events) if events else np.zeros(len(counts), np.int64)
-        yield int(drawn.min()), int(drawn.max())
+def _trial_bounds(rng: np.random.Generator, counts: np.ndarray, events: int, trials: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Least and largest counts of trials, in growing blocks; the draws are those of one trial after the other."""
+    block = 16
+    while trials > 0:
+        n = min(block, trials)
+        drawn = rng.multivariate_hypergeometric(counts, events, size=n) if events else np.zeros((n, len(counts)), np.int64)
+        yield drawn.min(axis=1), drawn.max(axis=1)
+        trials -= n
+        block = min(4 * block, 1 << 12)
 
 
 def uniformity_minmax(matrix: DataFrame, keys: list[str], n_positions: int, which: str = "x", trials: int = 10_000, needed: int = 1, seed: int = 0) -> DataFrame:
@@ -153,10 +158,13 @@ def uniformity_minmax(matrix: DataFrame, keys: list[str], n_positions: int, whic
             rng = np.random.default_rng([seed, *[int(r[k]) & 0xFFFFFFFF for k in keys]])
             passed = run = 0
             for low, high in _trial_bounds(rng, columns, int(real.sum()), trials):
-                run += 1
-                passed += real.min() >= low and real.max() <= high
-                if passed >= needed:
+                hits = np.flatnonzero((real.min() >= low) & (real.max() <= high))
+                if passed + len(hits) >= needed:
+                    run += int(hits[needed - passed - 1]) + 1
+                    passed = needed
                     break
+                passed += len(hits)
+                run += len(low)
             out.append([r[k] for k in keys] + [passed >= needed, run])
         return pd.DataFrame(out, columns=[*keys, "uniform", "trials_run"])
 

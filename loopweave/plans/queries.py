@@ -463,7 +463,7 @@ def error_clumps(spark, d):
 
 @query()
 def uniformity_minmax(spark, d):
-    return E.uniformity_minmax(A.mx_matrix(A.positional_events(_phased(spark, d), ["doc_id"]), ["doc_id"], 5), ["doc_id"], 5, trials=200)
+    return E.uniformity_minmax(A.mx_matrix(A.positional_events(_phased(spark, d), ["doc_id"]), ["doc_id"], 5), ["doc_id"], 5)
 
 
 @query()

@@ -43,7 +43,7 @@ def observed(spark: SparkSession, d: str) -> DataFrame:
 
 def truth_raw(spark: SparkSession, d: str) -> DataFrame:
     start = days("o_orderdate")
-    return table(spark, d, "orders").filter("o_orderkey % 7 = 0").select((F.col("o_orderkey") % 100).cast("string").alias("seq"), start.alias("start"), (start + 3).alias("end"))
+    return table(spark, d, "orders").select((F.col("o_orderkey") % 100).cast("string").alias("seq"), start.alias("start"), (start + 3).alias("end"))
 
 
 def lengths(spark: SparkSession, d: str) -> DataFrame:

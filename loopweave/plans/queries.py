@@ -132,7 +132,7 @@ r as (select doc_id, motif, reverse(translate(motif, 'ACGT', 'TGCA')) as rc, unn
 c as (select doc_id, motif, motif[k:] || motif[:k - 1] as t, '+' as s from r union all select doc_id, motif, rc[k:] || rc[:k - 1], '-' from r)
 select doc_id, motif, min(t) as canonical, min_by(s, (t, s)) as strand from c group by doc_id, motif""")
 def canonical_motif(spark, d):
-    m = V.dna(spark, d).filter("length(seq) >= 6").select("doc_id", F.substr("seq", F.lit(1), F.lit(6)).alias("motif"))
+    m = V.dna(spark, d).select("doc_id", F.explode(F.array_distinct(D.kmers(F.col("seq"), 6))).alias("motif"))
     c = m.withColumn("c", D.canonical_motif(F.col("motif")))
     return c.select("doc_id", "motif", F.col("c.motif").alias("canonical"), F.col("c.strand").alias("strand"))
 
@@ -143,8 +143,10 @@ n as (select doc_id, s[:k] || b || s[k + 2:] as t from k, b where k < 5 and s[k
       union all select doc_id, s[:k] || b || s[k + 1:] from k, b union all select doc_id, s[:k] || s[k + 2:] from k where k < 5)
 select doc_id, t as neighbor, count(*) as n from n group by all""")
 def motif_neighbors(spark, d):
-    m = V.dna(spark, d).filter("length(seq) >= 5").select("doc_id", F.explode(D.motif_neighbors(F.substr("seq", F.lit(1), F.lit(5)))).alias("neighbor"))
-    return m.groupBy("doc_id", "neighbor").agg(F.count("*").alias("n"))
+    k = V.dna(spark, d).select("doc_id", F.explode(D.kmers(F.col("seq"), 5)).alias("motif"))
+    k = k.groupBy("doc_id", "motif").agg(F.count("*").alias("times"))
+    m = k.select("doc_id", "times", F.explode(D.motif_neighbors(F.col("motif"))).alias("neighbor"))
+    return m.groupBy("doc_id", "neighbor").agg(F.sum("times").alias("n"))
 
 
 @query("""select doc_id, source, list_aggregate(list_transform(regexp_extract_all(source || '.' || doc_id || '-x', '[0-9]+|[A-Za-z]+|[^0-9A-Za-z]+'),

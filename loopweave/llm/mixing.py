@@ -4,6 +4,8 @@ The mix is a row of about SLOTS slots of equally many words. Slot i has the gold
 which the cumulative shares of the targets map to a source, so any stretch of the schedule holds each source with
 nearly its share. The slots of a source are ranked, and the slot of rank r reads the r-th block of the source's line:
 its documents in a shuffled order, end to end, in blocks of a slot's words, read round as often as the target asks.
+Where a slot is more than a word, a source's rounded target is dealt to its slots in equal parts, so that the words
+read don't depend on how large a slot is; a source too small for a slot adds its words to one that its name picks.
 
 A document's words in the mix follow from its place in the line and from how far the line is read; its first slot
 comes from a join of blocks with ranks. Places and ranks are prefix sums in two levels, within bins and over bins, so
@@ -129,12 +131,12 @@ def mix(df: DataFrame, slots: int = SLOTS, seed: str = SEED, with_slot: bool = T
     mixed = targets(sources)
     block = slot_words(total, slots)
     plan = cut(schedule(spark, mixed, total, slots))
-    read = plan.groupBy(_key(F.col("source")).alias("_source")).agg((F.count("*") * block).alias("words"))
+    held = plan.groupBy(_key(F.col("source")).alias("_source")).agg(F.count("*").alias("_slots"))
     # the line is read so far; as often as the cap allows at most
-    mixed = mixed.withColumn("_source", _key(F.col("source"))).join(read, "_source", "left")
-    mixed = mixed.select(
-        "_source", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), F.least(F.coalesce("words", F.lit(0)), MAX_REPEAT * F.col("source_size")).alias("_read")
-    )
+    mixed = mixed.withColumn("_source", _key(F.col("source"))).join(held, "_source", "left")
+    mixed = mixed.withColumn("_slots", F.coalesce("_slots", F.lit(0))).withColumn("target", F.coalesce("target", F.lit(0.0)))
+    words = F.col("_slots") if block == 1 else F.round("target").cast("long")
+    mixed = mixed.select("_source", "source_size", "target", "_slots", F.least(words, MAX_REPEAT * F.col("source_size")).alias("_read"))
     # a row for each source: counted above, and shuffled if a manifest should be that long
     mixed = F.broadcast(mixed) if n_sources <= BROADCAST_SOURCES else mixed
     laid = lay_out(own, n_docs, seed).join(mixed, "_source")
@@ -142,10 +144,13 @@ def mix(df: DataFrame, slots: int = SLOTS, seed: str = SEED, with_slot: bool = T
     rest = F.col("_read") - rounds * F.col("source_size")
     laid = laid.withColumn("taken", (rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("place")))).cast("long"))
     if not with_slot:
-        return laid.drop("_source", "_read", "place")
-    laid = laid.withColumn("_rank", F.when(F.col("taken") > 0, F.floor(F.col("place") / block)))
+        return laid.drop("_source", "_read", "_slots", "place")
+    rank = F.col("place") if block == 1 else F.expr("place * _slots div _read")
+    laid = laid.withColumn("_rank", F.when(F.col("taken") > 0, rank))
     first = plan.select(_key(F.col("source")).alias("_source"), F.col("rank").alias("_rank"), F.col("slot").alias("first_slot"))
-    return laid.join(first, ["_source", "_rank"], "left").drop("_rank", "_read", "place", "_source")
+    picked = F.conv(F.substr(F.md5(F.col("_source").cast("binary")), F.lit(1), F.lit(8)), 16, 10).cast("long") % max(1, -(-total // block))
+    shared = F.when((F.col("taken") > 0) & (F.col("_slots") == 0), picked)
+    return laid.join(first, ["_source", "_rank"], "left").withColumn("first_slot", F.coalesce("first_slot", shared)).drop("_rank", "_read", "_slots", "place", "_source")
 
 
 def op8_mixing(df: DataFrame) -> DataFrame:

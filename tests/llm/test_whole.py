@@ -1,0 +1,29 @@
+"""Training-data operators do the whole job where a corpus is large or odd."""
+
+import random
+
+import pytest
+
+from loopweave.llm import mixing
+
+
+@pytest.mark.parametrize("slots", [7, 64, 300])
+def test_small_sources_are_mixed_however_large_a_slot(spark, slots):
+    rnd = random.Random(slots)
+    sources = ["big"] * 900 + ["mid"] * 200 + [f"tail{k % 120}" for k in range(240)] + [None] * 9
+    rows = [(k, s, rnd.randint(0, 40)) for k, s in enumerate(sources)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    out = mixing.mix(df, slots=slots).collect()
+    assert sorted((r.doc_id, r.source, r["size"]) for r in out) == rows
+    n_slots = -(-sum(r[2] for r in rows) // mixing.slot_words(sum(r[2] for r in rows), slots))
+    for s in set(sources):
+        mine = [r for r in out if r.source == s]
+        size = sum(r["size"] for r in mine)
+        assert sum(r.taken for r in mine) == min(int(mine[0].target + 0.5), 3 * size)
+        assert all(0 <= r.taken <= 3 * r["size"] for r in mine)
+        # a line is read round: no document is a round ahead of another by more than one
+        rounds = {r.taken // r["size"] for r in mine if r["size"]}
+        assert not rounds or max(rounds) - min(rounds) <= 1
+    assert all((r.first_slot is not None and 0 <= r.first_slot < n_slots) == (r.taken > 0) for r in out)
+    plain = {r.doc_id: r.taken for r in mixing.mix(df, slots=slots, with_slot=False).collect()}
+    assert plain == {r.doc_id: r.taken for r in out}

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from loopweave.llm import mixing
+from loopweave.llm import mixing, training
 
 
 @pytest.mark.parametrize("slots", [7, 64, 300])
@@ -27,3 +27,18 @@ def test_small_sources_are_mixed_however_large_a_slot(spark, slots):
     assert all((r.first_slot is not None and 0 <= r.first_slot < n_slots) == (r.taken > 0) for r in out)
     plain = {r.doc_id: r.taken for r in mixing.mix(df, slots=slots, with_slot=False).collect()}
     assert plain == {r.doc_id: r.taken for r in out}
+
+
+def test_a_long_text_leaves_the_sample_whole(spark):
+    texts = {k: f"text {k}" for k in range(60)}
+    labels = spark.createDataFrame([(k, k % 2) for k in texts], "doc_id long, toxic int")
+    docs = lambda t: spark.createDataFrame(list(t.items()), "doc_id long, text string").repartition(3)
+    whole = training.sample(docs(texts), labels, "toxic", max_chars=1000)
+    assert len(whole) > 30 and {y for _, y in whole} == {0, 1}
+    first = int(whole[0][0].split()[1])
+    rest = training.sample(docs(texts | {first: "y" * 999}), labels, "toxic", max_chars=1000)
+    assert rest == whole[1:]
+    second = int(whole[20][0].split()[1])
+    assert training.sample(docs(texts | {second: "y" * 5000}), labels, "toxic", max_chars=1000) == whole[:20] + whole[21:]
+    long = {k: "z" * (3000 + k) if k % 2 else t for k, t in texts.items()}
+    assert sum(y for _, y in training.sample(docs(long), labels, "toxic", max_chars=1000)) == 1

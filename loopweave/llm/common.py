@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir, set for checkpoints if nothing has done so.
 
-    A folder of our own is made only where the session names none, as in tests on one machine.
+    A folder of our own is made only where the session names none and runs on one machine, as in tests; on a cluster
+    that is an error. What is written there is left to the cluster's clean-up.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loopweave-checkpoint-"))
     return named or sc.getCheckpointDir()

@@ -5,17 +5,21 @@ stem are recognised. Filters of widths 1, 2 and 3 run over the whole text; each
 positions (max pooling) feeds a logistic output. Thresholds are set for each language, as guessed from the text
 alone, on a part of the sample that training leaves out, and shift the score so that 0.5 is the threshold.
 
-Scoring is a map over the scan: the model is a few MB and travels with the tasks, and long texts go through the
-filters a slice at a time, so memory does not depend on a text's length.
+Scoring is a map over the scan in which only texts go through Python: the model is a few MB and travels with the
+tasks, a worker keeps one bounded vocabulary for all its tasks, and long texts go through the filters a slice at a
+time, so memory depends on neither the corpus nor a text's length.
 
 Defined results
 * null or empty text, or white space alone: the score of a text without any word (that of the output's bias);
 * no labelled rows of one class in the sample: every score is that class's share of the sample (0 without labels);
-* repeated rows give repeated results; extra columns are kept by `score`, which replaces those named like its own.
+* ties between languages go to the first of LANGUAGES; very long texts are pooled whole;
+* repeated rows, and rows with one or no doc_id, each give their own result; an empty table gives an empty result;
+* extra columns are kept by `score`, which replaces those named like its own.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -36,7 +40,9 @@ N_FILTERS = sum(FILTERS.values())
 #: Passes over a sample: enough for VISITS documents in all, within bounds.
 EPOCHS, VISITS, RATE, SEED = (3, 20), 7000, 0.1, 7
 #: Words at a time that go through the filters, and words in a worker's cache.
-SLICE, CACHE = 1 << 15, 300_000
+SLICE, CACHE = 1 << 13, 50_000
+#: Texts of a batch that are split into words at a time.
+TEXTS = 64
 PUNCTUATION = ".,;:!?\"'()[]{}<>*#$%&|-_/\\"
 #: Function words by which a text's language is guessed.
 LANGUAGES = {
@@ -70,13 +76,18 @@ class Model:
     out_bias: float
     thresholds: dict[str, float] = field(default_factory=dict)
     constant: float | None = None
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)  # by which a worker knows the model again
 
     def logit(self, pooled: np.ndarray) -> float:
         return float(pooled @ self.out) + self.out_bias
 
 
 class Vocabulary:
-    """Numbers of words and, for each word, its projection by every slice of every filter."""
+    """Numbers of words and, for each word, its projection by every slice of every filter.
+
+    It holds `limit` words, in an array made once; when it is full it starts anew. Words of a text beyond the limit
+    get a larger array for that text alone.
+    """
 
     def __init__(self, model: Model, limit: int = CACHE):
         self.model, self.limit = model, limit
@@ -86,25 +97,24 @@ class Vocabulary:
         self.columns = {s: slice(at[k], at[k + 1]) for k, s in enumerate(self.slices)}
         self.reset()
 
-    def reset(self) -> None:
+    def reset(self, room: int = 0) -> None:
         self.known: dict[str, int] = {}
-        self.projected = np.zeros((1024, self.weights.shape[1]), np.float32)
+        if room > self.limit or len(getattr(self, "projected", ())) != self.limit:
+            self.projected = np.zeros((max(room, self.limit), self.weights.shape[1]), np.float32)
 
     def add(self, new: list[str]) -> None:
-        first, n = len(self.known), len(self.known) + len(new)
-        while n > len(self.projected):
-            self.projected = np.concatenate([self.projected, np.zeros_like(self.projected)])
+        first = len(self.known)
         for at in range(0, len(new), SLICE):
             part = new[at : at + SLICE]
             rows = np.array([features(w) for w in part])
             self.projected[first + at : first + at + len(part)] = self.model.embed[rows].mean(axis=1) @ self.weights
-        self.known.update(zip(new, range(first, n), strict=True))
+        self.known.update(zip(new, range(first, first + len(new)), strict=True))
 
     def numbers(self, docs: list[list[str]]) -> list[np.ndarray]:
         new = set().union(*docs).difference(self.known) if docs else set()
-        if len(self.known) + len(new) > self.limit and self.known:
-            self.reset()
+        if len(self.known) + len(new) > self.limit:
             new = set().union(*docs)
+            self.reset(len(new))
         if new:
             self.add(sorted(new))
         get = self.known.__getitem__
@@ -235,22 +245,29 @@ def scores(model: Model, docs: list[list[str]], words: Vocabulary) -> list[float
     return out
 
 
+_vocabulary: list[Vocabulary] = []
+
+
+def vocabulary(model: Model) -> Vocabulary:
+    """This worker's vocabulary; that of another model gives way to it."""
+    if not _vocabulary or _vocabulary[0].model.key != model.key:
+        _vocabulary[:] = [Vocabulary(model)]
+    return _vocabulary[0]
+
+
 def score(df: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """df with the double `name`, 0 to 1; 0.5 is the threshold of the text's language."""
-    own = df.drop(name)
-    schema = own.withColumn(name, F.lit(0.0)).schema
-    at = own.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Vocabulary(model)
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = vocabulary(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                docs = [tokens(t) for t in part.column(at).to_pylist()]
-                result = pa.array(scores(model, docs, words), pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, result], names=[*part.schema.names, name])
+            out: list[float] = []
+            for k in range(0, len(batch), TEXTS):
+                out += scores(model, [tokens(t) for t in batch.slice(k, TEXTS).to_pylist()], words)
+            yield pa.array(out, pa.float64())
 
-    return own.mapInArrow(run, schema)
+    return df.withColumn(name, scored(F.col(text)))
 
 
 def fitted(documents: DataFrame, labels: DataFrame) -> Model:

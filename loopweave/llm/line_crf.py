@@ -6,12 +6,15 @@ each pair of labels. Forward and backward sums give each line's marginal, and th
 lengths, give the document's quality, which a logistic curve on the sample turns into the score.
 
 Only documents are labelled: for training each line has its document's label. Scoring is a map over the scan with
-the model in the closure; documents are taken by the hundred and their lines in padded arrays.
+the model in the closure, in which only texts go through Python; documents are taken by the hundred and their lines in
+padded arrays, a long document's in one of its own.
 
 Defined results
 * null or empty text, or white space alone: no line; the score of a document whose marginals are even;
 * no labelled rows of one class in the sample: every score is the share of class 1 in the sample (0 without labels);
-* repeated rows give repeated results; extra columns are kept by `score`, which replaces those named like its own.
+* a line that comes again counts as repeated from its second place on; very long texts are labelled whole;
+* repeated rows, and rows with one or no doc_id, each give their own result; an empty table gives an empty result;
+* extra columns are kept by `score`, which replaces those named like its own.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ STEPS, RATE, DECAY = 80, 0.15, 1e-3
 PREDICT = 0.3
 #: Lines of a batch of documents that go through the chain together, when padded.
 CELLS = 1 << 15
+#: Texts of a batch that are taken together.
+TEXTS = 128
 SYMBOLS = re.compile(r"[#*$%&|<>=~^@{}\[\]\\_+]")
 UPPER, DIGIT, LOUD = re.compile(r"[A-ZÀ-ÖØ-Þ]"), re.compile(r"[0-9]"), re.compile(r"[!?]")
 OWN = 10
@@ -104,8 +109,8 @@ def _lse(a: np.ndarray) -> np.ndarray:
     return m + np.log(np.exp(a - m[..., None]).sum(axis=-1))
 
 
-def forward_backward(model: Model, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of label 1 (docs, lines), and expected counts of the label pairs (2, 2) over all documents."""
+def forward_backward(model: Model, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of label 1 (docs, lines), expected counts of the label pairs (docs, 2, 2), and log partition sums (docs)."""
     n, t, _ = x.shape
     unary = np.zeros((n, t, 2))
     unary[:, :, 1] = x @ model.weights
@@ -120,11 +125,11 @@ def forward_backward(model: Model, x: np.ndarray, mask: np.ndarray) -> tuple[np.
     z = _lse(ahead[:, -1])
     both = ahead + back
     marginal = 1 / (1 + np.exp(np.clip(both[:, :, 0] - both[:, :, 1], -50, 50)))
-    expected = np.zeros((2, 2))
+    expected = np.zeros((n, 2, 2))
     if t > 1:
         joint = ahead[:, :-1, :, None] + model.pairs + (unary[:, 1:] + back[:, 1:])[:, :, None, :] - z[:, None, None, None]
-        expected = (np.exp(np.minimum(joint, 0)) * mask[:, 1:, None, None]).sum(axis=(0, 1))
-    return marginal, expected
+        expected = (np.exp(np.minimum(joint, 0)) * mask[:, 1:, None, None]).sum(axis=1)
+    return marginal, expected, z
 
 
 def _batches(features: list[np.ndarray]) -> Iterator[list[int]]:
@@ -141,13 +146,26 @@ def quality(model: Model, docs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np
     features = [with_neighbours(own) for own, _ in docs]
     mean, lines = np.full(len(docs), 0.5), [np.zeros(0)] * len(docs)
     for batch in _batches(features):
-        marginal, _ = forward_backward(model, *_padded([features[k] for k in batch]))
+        marginal, _, _ = forward_backward(model, *_padded([features[k] for k in batch]))
         for row, k in enumerate(batch):
             lines[k] = marginal[row, : len(features[k])]
             mean[k] = np.average(lines[k], weights=docs[k][1])
     return mean, lines
 
 
+def objective(model: Model, x: np.ndarray, mask: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, np.ndarray]:
+    """Negative log likelihood of documents whose lines all have the label y, each weighted by its share over its
+    number of lines, and its gradient by the N weights and the four pairs."""
+    marginal, expected, z = forward_backward(model, x, mask)
+    n = mask.sum(axis=1)
+    weight = share / n
+    steps = (n - 1) * weight
+    loss = (weight * (z - y * (x @ model.weights * mask).sum(axis=1))).sum() - (steps * model.pairs[y, y]).sum()
+    seen = np.diag([(steps * (y == 0)).sum(), (steps * (y == 1)).sum()])
+    pairs = np.einsum("d,dij->ij", weight, expected) - seen
+    return float(loss), np.concatenate([np.einsum("nt,ntf->f", (marginal - y[:, None]) * mask * weight[:, None], x), pairs.ravel()])
+
+
 def train(rows: list[tuple[str, int]]) -> Model:
     """Conditional maximum likelihood by Adam, documents of both classes in balance, lines of a document in mean."""
     model = Model(np.zeros(N), np.zeros((2, 2)))
@@ -158,21 +176,12 @@ def train(rows: list[tuple[str, int]]) -> Model:
     docs = [line_features(t) for t, _ in rows]
     features = [with_neighbours(own) for own, _ in docs]
     share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
-    prepared = []
-    for batch in _batches(features):
-        x, mask = _padded([features[k] for k in batch])
-        weight = (share[batch] / mask.sum(axis=1))[:, None] * mask
-        prepared.append((x, mask, np.broadcast_to(y[batch][:, None], mask.shape), weight, y[batch], share[batch]))
+    prepared = [(*_padded([features[k] for k in batch]), y[batch], share[batch]) for batch in _batches(features)]
     momentum, scale = np.zeros(N + 4), np.zeros(N + 4)
     for step in range(1, STEPS + 1):
-        grad = np.concatenate([DECAY * model.weights, DECAY * model.pairs.ravel()])
-        for x, mask, label, weight, _, _ in prepared:
-            marginal, expected = forward_backward(model, x, mask)
-            grad[:N] += np.einsum("nt,ntf->f", (marginal - label) * weight, x)
-            seen = np.zeros((2, 2))
-            inner = mask[:, 1:]
-            seen[1, 1], seen[0, 0] = (inner & (label[:, 1:] == 1)).sum(), (inner & (label[:, 1:] == 0)).sum()
-            grad[N:] += ((expected - seen) / max(mask.sum(), 1) / len(prepared)).ravel()
+        grad = DECAY * np.concatenate([model.weights, model.pairs.ravel()])
+        for part in prepared:
+            grad = grad + objective(model, *part)[1]
         momentum = 0.9 * momentum + 0.1 * grad
         scale = 0.99 * scale + 0.01 * grad * grad
         move = RATE * (momentum / (1 - 0.9**step)) / (np.sqrt(scale / (1 - 0.99**step)) + 1e-8)
@@ -206,18 +215,14 @@ def scores(model: Model, texts: list[str | None]) -> np.ndarray:
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with the double `score`, 0 (bad) to 1 (good)."""
-    own = df.drop("score") if text != "score" else df
-    schema = own.withColumn("score", F.lit(0.0)).schema
-    at = own.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                result = pa.array(scores(model, part.column(at).to_pylist()), pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, result], names=[*part.schema.names, "score"])
+            parts = [scores(model, batch.slice(k, TEXTS).to_pylist()) for k in range(0, len(batch), TEXTS)]
+            yield pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
 
-    return own.mapInArrow(run, schema)
+    return df.withColumn("score", scored(F.col(text)))
 
 
 def fitted(documents: DataFrame, labels: DataFrame) -> Model:

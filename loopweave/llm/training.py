@@ -39,18 +39,17 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int =
     """(whole text, label) of at most per_class documents of each class, outside the held-out fifth.
 
     The documents are those of smallest hash, so a larger corpus gives another sample of the same size. Texts are
-    whole and have max_chars in all at most; those that don't fit are passed over (see _fitting). Rows without text or label are left out; rows of one doc_id count once. Two times per_class ids at most
-    are broadcast.
+    whole and have max_chars in all at most; those that don't fit are passed over (see _fitting). Rows without text or
+    label are left out; of the rows of one doc_id the shortest text counts. Two times per_class ids at most are
+    broadcast, and as many rows at most collected.
     """
     usable = labels.select("doc_id", F.col(label).alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64(F.lit("sample"), "doc_id"))
     parts = [usable.filter(F.col("y") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
     found = documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
-    found = cut(found.select("h", "y", "text", F.length("text").alias("n")))
-    size: dict[int, tuple[int, int]] = {}
-    for h, n, y in found.select("h", "n", "y").toLocalIterator():
-        size[h] = max(size.get(h, (0, y)), (n, y))
-    chosen = _fitting(size, max_chars)
+    # one text for each id, the shortest, before anything goes to the driver: an id may have any number of rows
+    one = found.groupBy("h").agg(F.max("y").alias("y"), F.min(F.struct(F.length("text").alias("n"), "text")).alias("t"))
+    found = cut(one.select("h", "y", F.col("t.n").alias("n"), F.col("t.text").alias("text")))
+    chosen = _fitting({r["h"]: (r["n"], r["y"]) for r in found.select("h", "n", "y").collect()}, max_chars)
     picked = found.filter(F.col("h").isin(list(chosen))).collect() if chosen else []
-    rows = {r["h"]: (r["text"], int(r["y"])) for r in sorted(picked, key=lambda r: (r["h"], r["text"]), reverse=True)}
-    return [rows[h] for h in sorted(rows)]
+    return [(r["text"], int(r["y"])) for r in sorted(picked, key=lambda r: r["h"])]

@@ -8,7 +8,8 @@ task. Numbers of sequences are (partition, counter), and repeat when a task is r
 Defined results
 * null or empty text: the end token alone, in one piece of length 1;
 * repeated rows, also of one doc_id: each is a document of its own with its own pieces;
-* ties in length are packed in order of arrival; extra columns are ignored; an empty table gives an empty result.
+* no doc_id: packed like any other, with a null id; ids may be of any type;
+* very long texts are cut into full windows and a rest; ties in length are packed in order of arrival; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from pyspark.sql import DataFrame
 CAPACITY = 2048
 END = 1
 GROUP = 32_768
-SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-#: Entries of a worker's cache of encoded words.
-CACHE = 800_000
+#: Columns of the result after doc_id, all of them long.
+COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+#: Entries of a worker's cache of encoded words, some 40 MB, which it keeps for all its tasks.
+CACHE = 250_000
 #: New parts that are encoded as one text.
 JOINED = 1000
 
@@ -194,7 +196,7 @@ def _pieces(doc_ids: list, encoded: list[bytes], capacity: int) -> Iterator[tupl
 
 
 def pack(df: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, group: int = GROUP) -> DataFrame:
-    """One row for each piece of the documents (doc_id, text) of df, by the columns of SCHEMA.
+    """One row for each piece of the documents (doc_id, text) of df: doc_id, of its own type, and COLUMNS.
 
     tokenizer: path of the vocabulary file, the same on all machines; None: that of the installed package.
     """
@@ -203,19 +205,20 @@ def pack(df: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None,
         from pyspark import TaskContext
 
         encode = encoder(tokenizer)
-        schema = pa.schema([(name, pa.int64()) for name in re.findall(r"(\w+) bigint", SCHEMA)])
         counter = TaskContext.get().partitionId() << 36
         waiting: list[tuple] = []
+        kind = None
 
         def packed(pieces: list[tuple]) -> Iterator[pa.RecordBatch]:
             nonlocal counter
-            columns = list(zip(*pieces, strict=True))
-            window, offset, n = best_fit_decreasing(np.array(columns[2], np.int64), capacity)
-            arrays = [*(pa.array(c, pa.int64()) for c in columns), pa.array(window + counter), pa.array(offset)]
+            doc_ids, *columns = zip(*pieces, strict=True)
+            window, offset, n = best_fit_decreasing(np.array(columns[1], np.int64), capacity)
+            arrays = [pa.array(doc_ids, kind), *(pa.array(c, pa.int64()) for c in columns), pa.array(window + counter), pa.array(offset)]
             counter += n
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *COLUMNS])
 
         for batch in batches:
+            kind = batch.schema.field(0).type
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [t or "" for t in part.column(1).to_pylist()]
@@ -227,7 +230,8 @@ def pack(df: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None,
         if waiting:
             yield from packed(waiting)
 
-    return df.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    own = df.schema["doc_id"].dataType.simpleString()
+    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {own}, " + ", ".join(f"{c} bigint" for c in COLUMNS))
 
 
 def op3_packing(df: DataFrame) -> DataFrame:

@@ -29,7 +29,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_quality_rules": quality_rules.oracle(),
-        "op6_url_filters": lambda spark, d: url_filter.op6_url_filters(table(spark, d, "pages")),
         "op6_url_filters": url_filter.oracle(),
         "op8_mixing": mixing.oracle(),
         "op10_license_scans": license_scan.oracle(),

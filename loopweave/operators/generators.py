@@ -34,18 +34,16 @@ def random_sequence(rng: np.random.Generator, n: int) -> str:
     return "".join(np.array(list(BASES))[rng.integers(0, 4, n)])
 
 
+def neighbors(motif: str) -> list[str]:
+    """Every substitution, insertion and deletion of one base, repeats included, as `dna.motif_neighbors` has them."""
+    ends = [(motif[:k], motif[k:]) for k in range(len(motif) + 1)]
+    swapped = [a + base + b[1:] for a, b in ends if b for base in BASES if base != b[0]]
+    return swapped + [a + base + b for a, b in ends for base in BASES] + [a + b[1:] for a, b in ends if b]
+
+
 def neighbor(rng: np.random.Generator, motif: str) -> str:
-    """A motif at edit distance 1, uniform over all substitutions, insertions and deletions."""
-    n = len(motif)
-    k = int(rng.integers(0, 3 * n + n + 1 + n))
-    if k < 3 * n:
-        at, shift = divmod(k, 3)
-        return motif[:at] + BASES[(BASES.index(motif[at]) + 1 + shift) % 4] + motif[at + 1 :]
-    if k < 4 * n + 1:
-        at = k - 3 * n
-        return motif[:at] + BASES[int(rng.integers(0, 4))] + motif[at:]
-    at = k - 4 * n - 1
-    return motif[:at] + motif[at + 1 :]
+    """One of the neighbors of a motif, all alike likely."""
+    return str(rng.choice(neighbors(motif)))
 
 
 @dataclass(frozen=True)
@@ -58,12 +56,12 @@ class Errors:
 
 
 def mock_genome(
-    name: str, length: int, arrays: list[tuple[int, str]], seed: int, errors: Errors | None = None, min_fill: int = 0, neighbors: float = 0.0
+    name: str, length: int, arrays: list[tuple[int, str]], seed: int, errors: Errors | None = None, min_fill: int = 0, varied: float = 0.0
 ) -> tuple[str, list[dict]]:
     """(nucleotides, catalog) of one chromosome: repeat arrays (length, motif) in order, at random places in random fill.
 
     The fill around arrays has `length` bases in all, at least min_fill between arrays. Each array has a random strand
-    and phase; with probability `neighbors` its motif is one edit away. With errors, bases become other bases, get a
+    and phase; with probability `varied` its motif is one edit away. With errors, bases become other bases, get a
     base before them or go, and the catalog counts the events and follows the coordinates.
     """
     rng = np.random.default_rng(seed)
@@ -78,7 +76,7 @@ def mock_genome(
         done = int(marks[k])
         pieces.append(random_sequence(rng, fill))
         at += fill
-        used = neighbor(rng, motif) if rng.random() < neighbors else motif
+        used = neighbor(rng, motif) if rng.random() < varied else motif
         strand = "+-"[int(rng.integers(0, 2))]
         unit = used if strand == "+" else reverse_complement_text(used)
         phase = int(rng.integers(0, len(unit)))
@@ -115,7 +113,7 @@ def with_errors(rng: np.random.Generator, nucs: str, e: Errors) -> tuple[str, di
     return "".join(out), counts
 
 
-def mock_genomes(specs: DataFrame, errors: Errors | None = None, min_fill: int = 0, neighbors: float = 0.0) -> DataFrame:
+def mock_genomes(specs: DataFrame, errors: Errors | None = None, min_fill: int = 0, varied: float = 0.0) -> DataFrame:
     """One row for each of specs (name, length, arrays array<struct<length, motif>>, seed): name, nt and its catalog."""
     row = "struct<seq:string,start:bigint,`end`:bigint,motif:string,rpt_len:bigint,len:bigint,fill:bigint,m:bigint,mm:bigint,i:bigint,d:bigint>"
     order = ("seq", "start", "end", "motif", "rpt_len", "len", "fill", "m", "mm", "i", "d")
@@ -124,7 +122,7 @@ def mock_genomes(specs: DataFrame, errors: Errors | None = None, min_fill: int =
         for pdf in it:
             out = []
             for s in pdf.itertuples(index=False):
-                nt, catalog = mock_genome(s.name, int(s.length), [(int(a["length"]), a["motif"]) for a in s.arrays], int(s.seed), errors, min_fill, neighbors)
+                nt, catalog = mock_genome(s.name, int(s.length), [(int(a["length"]), a["motif"]) for a in s.arrays], int(s.seed), errors, min_fill, varied)
                 out.append((s.name, nt, [{c: r[c] for c in order} for r in catalog]))
             yield pd.DataFrame(out, columns=["name", "nt", "catalog"])
 

@@ -171,9 +171,16 @@ def sam_events(cigar: Column, md: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """A string by which names sort with their numbers by value, numbers before words."""
+    """A string by which names sort with their numbers by value, numbers before words.
+
+    A number is written as how many digits it has without leading zeros, and these digits, however many they are.
+    """
     parts = F.regexp_extract_all(name, F.lit("([0-9]+|[A-Za-z]+|[^0-9A-Za-z]+)"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lit("0"), F.lpad(x, 20, "0"))).otherwise(F.concat(F.lit("1"), x))), "\u0001")
+
+    def number(x: Column) -> Column:
+        return let(F.ltrim(x, F.lit("0")), lambda d: F.concat(F.lit("0"), F.lpad(F.length(d).cast("string"), 10, "0"), d))
+
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), number(x)).otherwise(F.concat(F.lit("1"), x))), "\u0001")
 
 
 def percent_text(ratio: Column, digits: int = 1) -> Column:

@@ -127,7 +127,7 @@ def reverse_complement(spark, d):
     return V.dna(spark, d).select("doc_id", D.reverse_complement(F.col("seq")).alias("rc"))
 
 
-@query(f"""with {V.DNA}, m as (select doc_id, substr(seq, 1, 6) as motif from dna where length(seq) >= 6),
+@query(f"""with {V.DNA}, m as (select distinct doc_id, substr(seq, k::int, 6) as motif from (select doc_id, seq, unnest(range(1, length(seq) - 4)) as k from dna)),
 r as (select doc_id, motif, reverse(translate(motif, 'ACGT', 'TGCA')) as rc, unnest(range(1, 7)) as k from m),
 c as (select doc_id, motif, motif[k:] || motif[:k - 1] as t, '+' as s from r union all select doc_id, motif, rc[k:] || rc[:k - 1], '-' from r)
 select doc_id, motif, min(t) as canonical, min_by(s, (t, s)) as strand from c group by doc_id, motif""")
@@ -137,11 +137,12 @@ def canonical_motif(spark, d):
     return c.select("doc_id", "motif", F.col("c.motif").alias("canonical"), F.col("c.strand").alias("strand"))
 
 
-@query(f"""with {V.DNA}, m as (select doc_id, substr(seq, 1, 5) as s from dna where length(seq) >= 5),
-b as (select unnest(['A', 'C', 'G', 'T']) as b), k as (select doc_id, s, unnest(range(0, 6)) as k from m),
-n as (select doc_id, s[:k] || b || s[k + 2:] as t from k, b where k < 5 and s[k + 1] <> b
-      union all select doc_id, s[:k] || b || s[k + 1:] from k, b union all select doc_id, s[:k] || s[k + 2:] from k where k < 5)
-select doc_id, t as neighbor, count(*) as n from n group by all""")
+@query(f"""with {V.DNA}, w as (select doc_id, substr(seq, k::int, 5) as s from (select doc_id, seq, unnest(range(1, length(seq) - 3)) as k from dna)),
+m as (select doc_id, s, count(*) as times from w group by all),
+b as (select unnest(['A', 'C', 'G', 'T']) as b), k as (select doc_id, s, times, unnest(range(0, 6)) as k from m),
+n as (select doc_id, times, s[:k] || b || s[k + 2:] as t from k, b where k < 5 and s[k + 1] <> b
+      union all select doc_id, times, s[:k] || b || s[k + 1:] from k, b union all select doc_id, times, s[:k] || s[k + 2:] from k where k < 5)
+select doc_id, t as neighbor, sum(times)::bigint as n from n group by all""")
 def motif_neighbors(spark, d):
     k = V.dna(spark, d).select("doc_id", F.explode(D.kmers(F.col("seq"), 5)).alias("motif"))
     k = k.groupBy("doc_id", "motif").agg(F.count("*").alias("times"))
@@ -150,7 +151,7 @@ def motif_neighbors(spark, d):
 
 
 @query("""select doc_id, source, list_aggregate(list_transform(regexp_extract_all(source || '.' || doc_id || '-x', '[0-9]+|[A-Za-z]+|[^0-9A-Za-z]+'),
-lambda x: case when regexp_matches(x, '^[0-9]') then '0' || right(repeat('0', 20) || x, 20) else '1' || x end), 'string_agg', chr(1)) as key from documents""")
+lambda x: case when regexp_matches(x, '^[0-9]') then '0' || lpad(length(ltrim(x, '0'))::varchar, 10, '0') || ltrim(x, '0') else '1' || x end), 'string_agg', chr(1)) as key from documents""")
 def natural_name_sort(spark, d):
     name = F.concat(F.col("source"), F.lit("."), F.col("doc_id").cast("string"), F.lit("-x"))
     return V.table(spark, d, "documents").select("doc_id", "source", D.natural_key(name).alias("key")).orderBy("key")

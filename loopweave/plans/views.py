@@ -64,8 +64,8 @@ def alignments(spark: SparkSession, d: str) -> DataFrame:
 
 DNA = "dna as (select doc_id, regexp_replace(translate(coalesce(text, ''), 'acgt', 'ACGT'), '[^ACGT]', '', 'g') as seq from documents)"
 PAIR = DNA + """,
-pair as (select doc_id, replace(substr(seq, 1, 200), 'CAT', 'C-T') as seq_text,
-         replace(replace(substr(seq, 1, 200), 'GG', 'Gc'), 'TG', 'T-') as motif_text from dna where seq <> '')"""
+pair as (select doc_id, replace(seq, 'CAT', 'C-T') as seq_text,
+         replace(replace(seq, 'GG', 'Gc'), 'TG', 'T-') as motif_text from dna where seq <> '')"""
 KINDS = PAIR + """,
 kinds as (select doc_id, seq_text, motif_text, list_aggregate(list_transform(range(1, length(seq_text) + 1), lambda k:
           case when motif_text[k] = '-' then 'i' when seq_text[k] = '-' then 'd' when motif_text[k] = seq_text[k] then '=' else 'x' end),
@@ -82,7 +82,7 @@ IV = """iv as (select user_id::varchar as seq, epoch_us(ts) // 1000000 as "start
 OBSERVED = """observed as (select (l_orderkey % 100)::varchar as seq, epoch_us(l_shipdate) // 86400000000 as "start",
         epoch_us(l_shipdate) // 86400000000 + 2 as "end" from lineitem)"""
 TRUTH = """truth_raw as (select (o_orderkey % 100)::varchar as seq, epoch_us(o_orderdate) // 86400000000 as "start",
-        epoch_us(o_orderdate) // 86400000000 + 3 as "end" from orders where o_orderkey % 7 = 0)"""
+        epoch_us(o_orderdate) // 86400000000 + 3 as "end" from orders)"""
 ALIGNMENTS = """alignments as (select l_orderkey as seq_ordinal, l_linenumber as emit_ordinal, 'read_' || l_suppkey as name, l_returnflag as motif,
         case when l_linestatus = 'O' then '+' else '-' end as strand, 100000 as seq_len, (l_orderkey * 97 + l_linenumber * 13) % 100000 as "start",
         (l_orderkey * 97 + l_linenumber * 13) % 100000 + trunc(l_quantity * 20)::int + l_linenumber + trunc(l_discount * 300)::int as "end",

@@ -6,6 +6,7 @@ ALIGNMENT. No exchange is needed before a sink, as sequences are independent.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +46,7 @@ def align_repeats(
     """Repeats of each motif in each sequence, by sequence, motif and order of emission.
 
     excised: also the error clumps that were cut out (excised is true), which are searched again but not reported.
-    partitions: deal sequences out anew by their estimated work; wanted if a few files hold very unequal sequences.
+    partitions: deal sequences out anew by a hash; wanted if a few files hold very unequal sequences.
     """
     parsed = _parsed(motifs)
     columns = sequences.select("seq_ordinal", "name", "nt")
@@ -155,54 +156,69 @@ def motif_phase(motif: Column, motif_text: Column, whole: bool = False) -> Colum
 def positional_events(alignments: DataFrame, keys: list[str], phase: Column | None = None) -> DataFrame:
     """(keys, pos, nuc, m, mm, i, d, mm_a, mm_c, mm_g, mm_t): events at each position of the motif, per alignment.
 
+    A map over the alignments, without an exchange: each is counted where it is, by numpy. Keys need not be unique.
     alignments: keys, motif, strand, seq_text, motif_text. A column belongs to the motif base at it, an insertion to
     the base that follows. Texts that follow the reverse complement count positions backwards; mismatched bases of
     alignments on the reverse strand are complemented. A text that follows neither counts forward from 0. A phase
     that is known otherwise, such as that of a noiseless genome, can be given.
     """
-    kinds = dna.column_kinds(F.col("seq_text"), F.col("motif_text"))
     zero = F.struct(F.lit(0).alias("position"), F.lit("+").alias("direction"))
     known = F.coalesce(phase if phase is not None else motif_phase(F.col("motif"), F.col("motif_text"), whole=True), zero)
-    base = alignments.select(*keys, "motif", "strand", "seq_text", kinds.alias("text"), known.alias("phase"), F.length("motif").alias("n"))
-    base = base.withColumn("kinds", F.split("text", ""))
-    # motif bases before each column: each base comes with the insertions ahead of it, so the work grows with the text's length
-    bases = F.regexp_extract_all("text", F.lit("i*[^i]|i+$"), F.lit(0))
-    count = F.flatten(F.transform(bases, lambda b, i: F.array_repeat(i, F.length(b))))
-    columns = base.withColumn("x", F.explode(F.arrays_zip(F.col("kinds").alias("kind"), F.split("seq_text", "").alias("base"), count.alias("at"))))
-    forward = F.col("phase.direction") == "+"
-    at = F.pmod(F.col("phase.position") + F.col("x.at"), F.col("n"))
-    pos = F.when(forward, at).otherwise(F.col("n") - 1 - at)
-    seen = F.when(F.col("strand") == "-", F.translate("x.base", "ACGT", "TGCA")).otherwise(F.col("x.base"))
-    rows = columns.select(*keys, pos.alias("pos"), F.substr("motif", pos + 1, F.lit(1)).alias("nuc"), F.col("x.kind").alias("kind"), seen.alias("base"))
-    total = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0)).cast("long")
-    kind = F.col("kind")
-    return rows.groupBy(*keys, "pos", "nuc").agg(
-        *[total(kind == k).alias(name) for k, name in (("=", "m"), ("x", "mm"), ("i", "i"), ("d", "d"))],
-        *[total((kind == "x") & (F.col("base") == b)).alias(f"mm_{b.lower()}") for b in "ACGT"],
-    )
-
-
-def mx_matrix(positional: DataFrame, keys: list[str], n_positions: int) -> DataFrame:
-    """One row per alignment: matches m0.. and errors x0.. of each motif position (0 where there is no column)."""
+    base = alignments.select(*keys, "motif", "strand", "seq_text", "motif_text", known.alias("phase"))
+    rows = F.arrow_udf(_positions_of, POSITIONS)("seq_text", "motif_text", "motif", "strand", F.col("phase.position"), F.col("phase.direction"))
+    out = base.select(*keys, "motif", F.inline(rows))
+    return out.select(*keys, "pos", F.substr("motif", F.col("pos") + 1, F.lit(1)).alias("nuc"), *COUNTS)
+
+
+COUNTS = ("m", "mm", "i", "d", "mm_a", "mm_c", "mm_g", "mm_t")
+
+
+def position_counts(seq_text: str, motif_text: str, n: int, reverse_strand: bool, first: int, forward: bool) -> np.ndarray:
+    """Counts (n positions of the motif, COUNTS) of the columns of one alignment."""
+    s, q = np.frombuffer(seq_text.encode("latin-1", "replace"), np.uint8), np.frombuffer(motif_text.encode("latin-1", "replace"), np.uint8)
+    inserted, deleted = q == 45, s == 45
+    kind = np.where(inserted, 2, np.where(deleted, 3, np.where(s == q, 0, 1)))
+    ahead = np.concatenate([[0], np.cumsum(~inserted)[:-1]]) if len(q) else np.zeros(0, np.int64)
+    at = (first + ahead) % n
+    at = at if forward else n - 1 - at
+    counts = np.zeros((n, len(COUNTS)), np.int64)
+    counts[:, :4] = np.bincount(at * 4 + kind, minlength=4 * n).reshape(n, 4)
+    for k, base in enumerate(b"TGCA" if reverse_strand else b"ACGT"):
+        counts[:, 4 + k] = np.bincount(at[(kind == 1) & (s == base)], minlength=n)
+    return counts
+
+
+POSITIONS = f"array<struct<pos:int,{','.join(f'{c}:bigint' for c in COUNTS)}>>"
+
+
+def _positions_of(seq_text: pa.Array, motif_text: pa.Array, motif: pa.Array, strand: pa.Array, first: pa.Array, direction: pa.Array) -> pa.Array:
+    places, parts, sizes = [], [], [0]
+    for s, q, m, t, f, d in zip(*(c.to_pylist() for c in (seq_text, motif_text, motif, strand, first, direction)), strict=True):
+        counts = position_counts(s, q, len(m), t == "-", f, d == "+") if s and m else np.zeros((0, len(COUNTS)), np.int64)
+        used = np.flatnonzero(counts[:, :4].any(axis=1))
+        places.append(used.astype(np.int32))
+        parts.append(counts[used])
+        sizes.append(sizes[-1] + len(used))
+    table = np.concatenate([np.zeros((0, len(COUNTS)), np.int64), *parts])
+    columns = [pa.array(np.concatenate([np.zeros(0, np.int32), *places])), *(pa.array(table[:, k]) for k in range(len(COUNTS)))]
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(columns, names=["pos", *COUNTS]))
+
+
+def mx_matrix(positional: DataFrame, keys: list[str], n_positions: int, less_insertions: bool = False) -> DataFrame:
+    """One row per alignment: matches m0.. and errors x0.. of each motif position (0 where there is no column).
+
+    less_insertions: insertions are taken from the matches, as each spoils the match that it stands before.
+    """
     wide = positional.groupBy(*keys)
     cell = lambda k, c: F.coalesce(F.sum(F.when(F.col("pos") == k, c)), F.lit(0)).cast("long")
     errors = F.col("mm") + F.col("i") + F.col("d")
-    return wide.agg(*[cell(k, F.col("m")).alias(f"m{k}") for k in range(n_positions)], *[cell(k, errors).alias(f"x{k}") for k in range(n_positions)])
-
-
-_CRC = np.zeros(256, np.uint64)
-for _n in range(256):
-    _c = _n
-    for _ in range(8):
-        _c = (_c >> 1) ^ 0xEDB88320 if _c & 1 else _c >> 1
-    _CRC[_n] = _c
+    matches = F.col("m") - F.col("i") if less_insertions else F.col("m")
+    return wide.agg(*[cell(k, matches).alias(f"m{k}") for k in range(n_positions)], *[cell(k, errors).alias(f"x{k}") for k in range(n_positions)])
 
 
-def crc_bytes(data: bytes, crc: int = 0) -> int:
+def crc_bytes(data: bytes) -> int:
     """CRC-32 with the usual polynomial, but starting from 0 and without the final inversion."""
-    for b in data:
-        crc = int(_CRC[(crc ^ b) & 255]) ^ (crc >> 8)
-    return crc
+    return zlib.crc32(data, 0xFFFFFFFF) ^ 0xFFFFFFFF
 
 
 def alignment_crc(df: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Consensus motifs of alignments, filters on them, word counts and reports."""
+"""Consensus motifs of alignments, filters on them, word counts and reports: each alignment is worked on in its own row."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna
@@ -17,9 +17,73 @@ def motif_forward(alignments: DataFrame) -> DataFrame:
 
     Rows printed along the sequence's forward strand have start > end if they are reversed; only these are turned.
     """
-    swap = F.col("start") > F.col("end")
-    turned = {c: F.when(swap, dna.reverse_complement(F.col(c))).otherwise(F.col(c)) for c in ("seq_text", "motif_text")}
-    return alignments.withColumns(turned | {"start": F.least("start", "end"), "end": F.greatest("start", "end")})
+    return alignments.withColumns({"seq_text": _forward("seq_text"), "motif_text": _forward("motif_text"), "start": F.least("start", "end"), "end": F.greatest("start", "end")})
+
+
+def _forward(text: str) -> Column:
+    return F.when(F.col("start") > F.col("end"), dna.reverse_complement(F.col(text))).otherwise(F.col(text))
+
+
+def _cells(motif: Column, seq_text: Column, motif_text: Column) -> Column:
+    """array of struct(pos, chunk, token) of one alignment: see `tokens`."""
+    known = F.coalesce(motif_phase(motif, motif_text), F.struct(F.lit(0).alias("position"), F.lit("+").alias("direction")))
+    # one token for each motif base: columns are split before every motif base, so insertions stay with the base before
+    pairs = F.zip_with(F.split(motif_text, ""), F.split(seq_text, ""), lambda q, s: F.when(q == "-", s).otherwise(F.concat(F.lit("|"), s)))
+    split = F.split(F.array_join(pairs, ""), r"\|")
+    parts = F.filter(F.slice(split, 2, F.greatest(F.size(split) - 1, F.lit(0))), lambda x: x != "")
+    n = F.length(motif)
+
+    def placed(phase: Column, found: Column) -> Column:
+        first, reverse = phase["position"], phase["direction"] == "-"
+
+        def cell(k: Column) -> Column:
+            text = F.coalesce(F.when(k >= first, F.get(found, k - first)), F.lit(""))
+            at = (k % n).cast("int")
+            return F.struct(
+                F.when(reverse, n - 1 - at).otherwise(at).alias("pos"), F.floor(k / n).alias("chunk"), F.when(reverse, dna.reverse_complement(text)).otherwise(text).alias("token")
+            )
+
+        last = F.greatest(F.ceil((first + F.size(found)) / n).cast("int") * n - 1, F.lit(0))
+        return F.when(F.size(found) == 0, F.array().cast(CELLS)).otherwise(F.transform(F.sequence(F.lit(0), last), cell))
+
+    return dna.let(known, lambda phase: dna.let(parts, lambda found: placed(phase, found)))
+
+
+CELLS = "array<struct<pos:int,chunk:bigint,token:string>>"
+
+
+def _runs(sorted_: Column) -> Column:
+    """array of struct(at, n): where each run of equal elements of a sorted array starts, and how many it has."""
+    size = F.size(sorted_)
+    starts = F.filter(F.sequence(F.lit(0), size - 1), lambda k: (k == 0) | (F.get(sorted_, k) != F.get(sorted_, F.greatest(k - 1, F.lit(0)))))
+    counted = dna.let(starts, lambda s: F.transform(s, lambda at, k: F.struct(at.alias("at"), (F.coalesce(F.get(s, k + 1), size) - at).alias("n"))))
+    return F.when(size == 0, F.array().cast("array<struct<at:int,n:int>>")).otherwise(counted)
+
+
+def _consensus_of(cells: Column, n: Column, winner: float) -> Column:
+    """The consensus of one alignment's cells, null if a position has no clear winner.
+
+    Each position has as many cells as there are copies; equal tokens are runs of the sorted cells, and the last run
+    of a position in order of count and token wins.
+    """
+    tokens_ = F.array_sort(F.transform(cells, lambda c: F.struct(c["pos"].alias("pos"), c["token"].alias("token"))))
+
+    def best(sorted_: Column) -> Column:
+        counts = F.array_sort(F.transform(_runs(sorted_), lambda r: dna.let(F.get(sorted_, r["at"]), lambda x: F.struct(x["pos"].alias("pos"), r["n"].alias("n"), x["token"].alias("token")))))
+        return dna.let(counts, lambda c: F.filter(c, lambda x, k: F.coalesce(F.get(c, k + 1)["pos"] != x["pos"], F.lit(True))))
+
+    def text(top: Column) -> Column:
+        copies = F.size(cells) / n
+        clear = F.forall(top, lambda x: x["n"] >= winner * copies)
+        joined = F.array_join(F.transform(top, lambda x: F.when(x["token"] == "-", "").otherwise(x["token"])), "")
+        return F.when((F.size(top) > 0) & clear, joined)
+
+    return dna.let(tokens_, lambda t: dna.let(best(t), text))
+
+
+def consensus_of(motif: Column, seq_text: Column, motif_text: Column, winner: float = WINNER) -> Column:
+    """The consensus of an alignment that runs along its motif, null if it has none; see `consensus`."""
+    return dna.let(_cells(motif, seq_text, motif_text), lambda cells: _consensus_of(cells, F.length(motif), winner))
 
 
 def tokens(alignments: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,95 +93,102 @@ def tokens(alignments: DataFrame, keys: list[str]) -> DataFrame:
     of the first and last copy that the alignment does not reach have the token ''. Texts that follow the reverse
     complement are turned back.
     """
-    known = F.coalesce(motif_phase(F.col("motif"), F.col("motif_text")), F.struct(F.lit(0).alias("position"), F.lit("+").alias("direction")))
-    base = alignments.select(*keys, "motif", F.length("motif").alias("n"), known.alias("phase"), "seq_text", "motif_text")
-    # one token for each motif base: columns are split before every motif base, so insertions stay with the base before
-    pairs = F.zip_with(F.split("motif_text", ""), F.split("seq_text", ""), lambda q, s: F.when(q == "-", s).otherwise(F.concat(F.lit("|"), s)))
-    parts = F.split(F.array_join(pairs, ""), r"\|")
-    base = base.withColumn("parts", F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x != ""))
-    first, count = F.col("phase.position"), F.size("parts")
-    cells = F.sequence(F.lit(0), F.ceil((first + count) / F.col("n")).cast("int") * F.col("n") - 1)
-    rows = base.filter("size(parts) > 0").select(*keys, "n", "phase", first.alias("first"), "parts", F.explode(cells).alias("cell"))
-    text = F.coalesce(F.when(F.col("cell") >= F.col("first"), F.get("parts", F.col("cell") - F.col("first"))), F.lit(""))
-    reverse = F.col("phase.direction") == "-"
-    at = F.col("cell") % F.col("n")
-    return rows.select(
-        *keys,
-        F.floor(F.col("cell") / F.col("n")).alias("chunk"),
-        F.when(reverse, F.col("n") - 1 - at).otherwise(at).alias("pos"),
-        F.when(reverse, dna.reverse_complement(text)).otherwise(text).alias("token"),
-    )
+    cells = _cells(F.col("motif"), F.col("seq_text"), F.col("motif_text"))
+    return alignments.select(*keys, F.inline(cells)).select(*keys, "chunk", "pos", "token")
 
 
 def consensus(alignments: DataFrame, keys: list[str], winner: float = WINNER) -> DataFrame:
     """(keys, consensus) of the alignments that have one: at every position a token with the share `winner`.
 
-    Of equally frequent tokens the larger text wins; a winning deletion adds nothing.
+    Of equally frequent tokens the larger text wins; a winning deletion adds nothing. Each alignment is judged in its
+    own row, by built-in expressions.
     """
-    counts = tokens(alignments, keys).groupBy(*keys, "pos", "token").agg(F.count("*").alias("n"))
-    best = counts.groupBy(*keys, "pos").agg(F.max(F.struct("n", "token")).alias("b"), F.sum("n").alias("total"))
-    clear = F.col("b.n") >= winner * F.col("total")
-    part = F.when(F.col("b.token") == "-", "").otherwise(F.col("b.token"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", part.alias("t")))), lambda x: x["t"]), "")
-    return best.groupBy(*keys).agg(F.bool_and(clear).alias("clear"), joined.alias("consensus")).filter("clear").drop("clear")
+    found = consensus_of(F.col("motif"), F.col("seq_text"), F.col("motif_text"), winner)
+    return alignments.select(*keys, found.alias("consensus")).filter("consensus is not null")
 
 
 def consensus_filter(alignments: DataFrame, keys: list[str], mode: str = "keep") -> DataFrame:
     """Alignments with their `consensus`: those whose consensus is their motif (keep), the others (invert), or all (annotate)."""
-    found = consensus(motif_forward(alignments), keys)
-    out = alignments.join(found, keys, "left")
+    out = alignments.withColumn("consensus", consensus_of(F.col("motif"), _forward("seq_text"), _forward("motif_text")))
     same = F.coalesce(F.col("consensus") == F.col("motif"), F.lit(False))
     return {"keep": out.filter(same), "invert": out.filter(~same), "annotate": out}[mode]
 
 
-def slices(alignments: DataFrame, keys: list[str], width: int, step: int) -> DataFrame:
-    """Alignments cut into windows of `width` columns every `step`, with `slice`; those under ten copies are left out."""
-    n = F.length("seq_text")
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))
-    rows = alignments.withColumn("slice_start", F.explode(starts)).withColumn("slice", F.floor(F.col("slice_start") / step))
-    cut = {c: F.substr(c, F.col("slice_start") + 1, F.lit(width)) for c in ("seq_text", "motif_text")}
-    return rows.withColumns(cut).filter(F.length("seq_text") >= LEAST_COPIES * F.length("motif")).drop("slice_start")
+def _sliced(width: int, step: int) -> Column:
+    """The consensus of each window of `width` columns every `step`, 'none' for those without one, under ten copies left out."""
+    motif = F.col("motif")
+
+    def windows(seq: Column, text: Column) -> Column:
+        n = F.length(seq)
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), lambda k: F.least(n - k, F.lit(width)) >= LEAST_COPIES * F.length(motif))
+        cut = lambda c, k: F.substr(c, k + 1, F.lit(width))
+        return F.transform(starts, lambda k: F.coalesce(consensus_of(motif, cut(seq, k), cut(text, k)), F.lit("none")))
+
+    return dna.let(_forward("seq_text"), lambda s: dna.let(_forward("motif_text"), lambda q: windows(s, q)))
 
 
 def sliced_consensus(alignments: DataFrame, keys: list[str], width: int, step: int) -> DataFrame:
-    """(keys, slices, consensuses): the consensus of each window in order, 'none' for windows without one."""
-    cut = slices(motif_forward(alignments), keys, width, step)
-    each = cut.select(*keys, "slice").join(consensus(cut, [*keys, "slice"]), [*keys, "slice"], "left")
-    text = F.coalesce("consensus", F.lit("none"))
-    grouped = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("slice", text.alias("c")))).alias("all"))
-    return grouped.select(*keys, F.size("all").alias("slices"), F.transform("all", lambda x: x["c"]).alias("consensuses"))
+    """(keys, slices, consensuses): the consensus of each window in order; alignments without a window are left out."""
+    out = alignments.select(*keys, _sliced(width, step).alias("consensuses")).filter("size(consensuses) > 0")
+    return out.select(*keys, F.size("consensuses").alias("slices"), "consensuses")
 
 
 def sliced_consensus_filter(alignments: DataFrame, keys: list[str], width: int, step: int) -> DataFrame:
     """Alignments of which some window's consensus is the motif."""
-    found = sliced_consensus(alignments, keys, width, step)
-    return alignments.join(found, keys).filter(F.array_contains("consensuses", F.col("motif"))).drop("slices", "consensuses")
+    return alignments.filter(F.array_contains(_sliced(width, step), F.col("motif")))
 
 
 def msa_report(alignments: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, chunk, row): the copies one under the other, tokens padded to their position's width, = for the motif's base."""
-    cells = tokens(alignments, keys).join(alignments.select(*keys, "motif"), keys)
-    same = F.col("token") == F.substr("motif", F.col("pos") + 1, F.lit(1))
-    width = F.max(F.length("token")).over(Window.partitionBy(*keys, "pos"))
-    shown = cells.withColumn("t", F.rpad(F.when(same, "=").otherwise(F.col("token")), 1 << 10, " ")).withColumn("t", F.substr("t", F.lit(1), width.cast("int")))
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), "")
-    return shown.groupBy(*keys, "chunk").agg(line.alias("row"))
+    """(keys, chunk, row): the copies one under the other, tokens padded to their position's width, = for the motif's base.
+
+    Each alignment's report is made in its own row.
+    """
+    shown = lambda c: F.when(c["token"] == F.substr("motif", c["pos"] + 1, F.lit(1)), "=").otherwise(c["token"])
+
+    def lines(cells: Column) -> Column:
+        widths = F.transform(
+            F.sequence(F.lit(0), F.length("motif") - 1), lambda p: F.array_max(F.transform(F.filter(cells, lambda c: c["pos"] == p), lambda c: F.length(c["token"])))
+        )
+
+        def line(chunk: Column, width: Column) -> Column:
+            own = F.array_sort(F.filter(cells, lambda c: c["chunk"] == chunk))
+            padded = lambda c: dna.let(shown(c), lambda t: F.concat(t, F.repeat(F.lit(" "), F.get(width, c["pos"]) - F.length(t))))
+            return F.struct(chunk.alias("chunk"), F.array_join(F.transform(own, padded), "").alias("row"))
+
+        chunks = F.array_distinct(F.transform(cells, lambda c: c["chunk"]))
+        return dna.let(widths, lambda w: F.transform(chunks, lambda k: line(k, w)))
+
+    cells = _cells(F.col("motif"), F.col("seq_text"), F.col("motif_text"))
+    return alignments.select(*keys, F.inline(dna.let(cells, lines)))
 
 
 def words(alignments: DataFrame, keys: list[str], ratio: float = 0.1) -> DataFrame:
     """(keys, word, n, rank): copies of the motif as written in the sequence, the motif itself in capitals, others small.
 
-    Kept if they are as frequent as ratio times the motif; by count, length difference and text, descending.
+    Kept if they are as frequent as ratio times the motif; by count, length difference and text, descending. Counted
+    in each alignment's own row.
     """
-    copies = tokens(alignments, keys).groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("all"), F.min(F.length("token")).alias("least"))
-    text = F.regexp_replace(F.array_join(F.transform("all", lambda x: x["token"]), ""), "-", "")
-    named = copies.filter("least > 0").select(*keys, text.alias("text")).join(alignments.select(*keys, "motif"), keys)
-    word = F.when(F.col("text") == F.col("motif"), F.col("text")).otherwise(F.lower("text"))
-    counts = named.groupBy(*keys, "motif", word.alias("word")).agg(F.count("*").alias("n"))
-    own = F.max(F.when(F.col("word") == F.col("motif"), F.col("n"))).over(Window.partitionBy(*keys))
-    kept = counts.withColumn("own", F.coalesce(own, F.lit(0))).filter(F.col("n") >= ratio * F.col("own"))
-    order = Window.partitionBy(*keys).orderBy(F.desc("n"), F.desc(F.abs(F.length("word") - F.length("motif"))), F.desc("word"))
-    return kept.select(*keys, "word", "n", F.row_number().over(order).alias("rank"))
+    motif, n = F.col("motif"), F.length("motif")
+
+    def copies(cells: Column) -> Column:
+        # cells come copy by copy, in order of position or, where the text follows the reverse complement, backwards
+        count = (F.size(cells) / n).cast("int")
+        of = lambda k: F.array_sort(F.slice(cells, k * n + 1, n))
+        whole = F.filter(F.transform(F.sequence(F.lit(0), count - 1), of), lambda c: F.forall(c, lambda x: x["token"] != ""))
+        text = lambda c: F.regexp_replace(F.array_join(F.transform(c, lambda x: x["token"]), ""), "-", "")
+        word = lambda c: dna.let(text(c), lambda t: F.when(t == motif, t).otherwise(F.lower(t)))
+        return F.when(F.size(cells) == 0, F.array().cast("array<string>")).otherwise(F.transform(whole, word))
+
+    def counted(sorted_: Column) -> Column:
+        return F.transform(_runs(sorted_), lambda r: dna.let(F.get(sorted_, r["at"]), lambda w: F.struct(r["n"].alias("n"), F.abs(F.length(w) - n).alias("off"), w.alias("word"))))
+
+    def kept(counts: Column) -> Column:
+        own = F.coalesce(F.array_max(F.transform(F.filter(counts, lambda c: c["word"] == motif), lambda c: c["n"])), F.lit(0))
+        return F.sort_array(F.filter(counts, lambda c: c["n"] >= ratio * own), asc=False)
+
+    found = dna.let(_cells(motif, F.col("seq_text"), F.col("motif_text")), lambda cells: dna.let(F.array_sort(copies(cells)), lambda w: dna.let(counted(w), kept)))
+    rows = alignments.select(*keys, F.posexplode(found).alias("rank", "x"))
+    return rows.select(*keys, F.col("x.word").alias("word"), F.col("x.n").cast("long").alias("n"), (F.col("rank") + 1).alias("rank"))
 
 
 def wanted_motifs(alignments: DataFrame, motifs: DataFrame) -> DataFrame:
@@ -132,9 +203,13 @@ def wanted_motifs(alignments: DataFrame, motifs: DataFrame) -> DataFrame:
 
 
 def canonical_filter(alignments: DataFrame, motifs: DataFrame) -> DataFrame:
-    """Alignments whose motif is in the class of one of motifs (forward): that motif replaces it, strands follow."""
+    """Alignments whose motif is in the class of one of motifs (forward): that motif replaces it, strands follow.
+
+    Of several motifs of one class the smallest text stands for it.
+    """
     cls = dna.canonical_motif(F.col("motif"))
     own = motifs.select(F.col("forward").alias("_motif"), dna.canonical_motif(F.col("forward")).alias("_class"))
+    own = own.groupBy(F.col("_class.motif").alias("_of")).agg(F.min(F.struct("_motif", "_class")).alias("_x")).select("_x.*")
     joined = alignments.withColumn("_c", cls).join(own, F.col("_c.motif") == F.col("_class.motif"))
     flipped = F.col("_c.strand") != F.col("_class.strand")
     strand = F.when(flipped, F.when(F.col("strand") == "+", "-").otherwise("+")).otherwise(F.col("strand"))

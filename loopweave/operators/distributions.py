@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import by_interval
+
 
 def length_distribution(df: DataFrame, length: str = "length") -> DataFrame:
     """(length, n) of the rows, ascending."""
@@ -91,15 +95,33 @@ def spread_counts(spec: DataFrame, components: DataFrame) -> DataFrame:
 def spread_quota(spec: DataFrame, components: DataFrame, seed: int = 0) -> DataFrame:
     """(component, lo, hi, out_count, in_count): each interval's quota drawn from its members, without replacement.
 
-    Members are counted out as rows with a random rank that depends on seed, interval, component and number alone.
+    How many of each component are drawn is multivariate hypergeometric; an interval's draw is one step, however many
+    members it has, and depends on seed, interval and counts alone.
     """
     counts = spread_counts(spec, components)
     wanted = spec.select("lo", "hi", F.col("out_count").alias("_want"))
-    rows = counts.filter("in_count > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("in_count").cast("int"))))
-    draw = F.xxhash64(F.lit(seed), "lo", "hi", "component", "_k")
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("lo", "hi").orderBy(draw, "component", "_k"))).join(wanted, ["lo", "hi"])
-    taken = ranked.filter("_r <= _want").groupBy("component", "lo", "hi").agg(F.count("*").alias("out_count"))
-    return counts.join(taken, ["component", "lo", "hi"], "left").withColumn("out_count", F.coalesce("out_count", F.lit(0))).select("component", "lo", "hi", "out_count", "in_count")
+    grouped = counts.groupBy("lo", "hi").agg(F.array_sort(F.collect_list(F.struct("component", "in_count"))).alias("all")).join(wanted, ["lo", "hi"])
+
+    def draw(lo: pa.Array, hi: pa.Array, there: pa.Array, want: pa.Array) -> pa.Array:
+        out = []
+        for a, b, n, k in zip(lo.to_pylist(), hi.to_pylist(), there.to_pylist(), want.to_pylist(), strict=True):
+            rng = np.random.default_rng([seed, int(a) & 0xFFFFFFFF, int(b) & 0xFFFFFFFF])
+            out.append(_drawn(rng, np.array(n, np.int64), int(k)).tolist())
+        return pa.array(out, pa.list_(pa.int64()))
+
+    taken = F.arrow_udf(draw, "array<bigint>")("lo", "hi", F.transform("all", lambda x: x["in_count"]), "_want")
+    rows = grouped.select("lo", "hi", F.inline(F.transform(F.arrays_zip("all", taken.alias("n")), lambda x: F.struct(x["all"]["component"].alias("component"), x["n"].alias("out_count"), x["all"]["in_count"].alias("in_count")))))
+    return rows.select("component", "lo", "hi", "out_count", "in_count")
+
+
+def _drawn(rng: np.random.Generator, there: np.ndarray, want: int) -> np.ndarray:
+    """How many of each kind there are among `want` drawn without replacement: one kind after the other."""
+    out, left = np.zeros(len(there), np.int64), int(there.sum())
+    for k, n in enumerate(there.tolist()):
+        left -= n
+        out[k] = rng.hypergeometric(n, left, want) if n and want else 0
+        want -= int(out[k])
+    return out
 
 
 def quota_sample(df: DataFrame, spec: DataFrame, key: list[str], length: str = "length", seed: int = 0) -> DataFrame:
@@ -110,7 +132,7 @@ def quota_sample(df: DataFrame, spec: DataFrame, key: list[str], length: str = "
     leading bits, so only rows of the bin that holds the limit are sorted.
     """
     held = spec.select("lo", "hi", "out_count")
-    rows = df.join(held, F.col(length).between(F.col("lo"), F.col("hi"))).withColumn("_h", F.xxhash64(F.lit(seed), *key)).withColumn("_b", F.shiftright("_h", 52))
+    rows = by_interval(df, held, F.col(length)).withColumn("_h", F.xxhash64(F.lit(seed), *key)).withColumn("_b", F.shiftright("_h", 52))
     bins = rows.groupBy("lo", "hi", "_b").agg(F.count("*").alias("_n"))
     ahead = F.coalesce(F.sum("_n").over(Window.partitionBy("lo", "hi").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bins = bins.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("_b").alias("_bin"), ahead.alias("_ahead"))
@@ -125,7 +147,7 @@ def quota_remainders(spec: DataFrame, sample: DataFrame, df: DataFrame, length:
     More rows in an interval than the specification expects is an error.
     """
     got = sample.groupBy("lo", "hi").agg(F.count("*").alias("_got"))
-    seen = df.join(spec.select("lo", "hi"), F.col(length).between(F.col("lo"), F.col("hi"))).groupBy("lo", "hi").agg(F.count("*").alias("_seen"))
+    seen = by_interval(df.select(length), spec.select("lo", "hi"), F.col(length)).groupBy("lo", "hi").agg(F.count("*").alias("_seen"))
     out = spec.join(got, ["lo", "hi"], "left").join(seen, ["lo", "hi"], "left")
     left = F.col("in_count") - F.coalesce("_seen", F.lit(0))
     checked = F.when(left < 0, F.raise_error(F.lit("more rows than the specification expects")).cast("long")).otherwise(left)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from .durable import cut
 
 EVENTS = ("m", "mm", "io", "ix", "do", "dx")
 
@@ -60,10 +62,10 @@ def numbered(df: DataFrame, order: list, block_lines: Column | None = None) -> D
     """df with `line`: the first line of each block when blocks are written in order, a blank line between them.
 
     Lines are sums over all rows before: ranges of the order are numbered on their own and then shifted, so no single
-    task holds all rows.
+    task holds all rows. The sorted rows are settled first, so that both see the same ranges.
     """
     lines = (block_lines if block_lines is not None else F.lit(3)) + 1
-    dealt = df.withColumn("_lines", lines.cast("long")).orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    dealt = cut(df.withColumn("_lines", lines.cast("long")).orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
     sums = dealt.groupBy("_part").agg(F.sum("_lines").alias("_s"))
     ahead = F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select(F.col("_part").alias("_p"), ahead.alias("_ahead"))
@@ -213,6 +215,7 @@ def _noncentral_tail(limit: float, freedom: int, shift: float) -> float:
     return total
 
 
+@functools.lru_cache(1 << 16)
 def alpha_for_power(n: int, freedom: int, effect: float = 0.3, power: float = 0.8) -> float:
     """The significance level at which a test of n events has the power for an effect size; 1e-10 if none is found."""
     shift = n * effect * effect

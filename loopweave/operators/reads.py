@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
@@ -24,28 +28,34 @@ def genome_pieces(reads: DataFrame, genome: DataFrame) -> DataFrame:
     return out.withColumn("g_nt", F.when(F.col("strand") == "-", dna.reverse_complement(piece)).otherwise(piece)).drop("chrom_nt")
 
 
+def gapped(nt: str, g_nt: str, cigar: str) -> tuple[str, str] | None:
+    """(read, genome) texts of an alignment by its cigar, mismatched genome bases in lower case; None if it doesn't fit."""
+    read, genome, r, g = [], [], 0, 0
+    for n, op in re.findall(r"(\d+)\s*([MID])", cigar):
+        n = int(n)
+        read.append("-" * n if op == "D" else nt[r : r + n])
+        genome.append("-" * n if op == "I" else g_nt[g : g + n])
+        r, g = r + (op != "D") * n, g + (op != "I") * n
+    if (r, g) != (len(nt), len(g_nt)):
+        return None
+    a, b = (np.frombuffer("".join(x).encode("latin-1", "replace"), np.uint8) for x in (read, genome))
+    differ = (a != b) & (a != 45) & (b != 45) & (b >= 65) & (b <= 90)
+    return "".join(read), np.where(differ, b | 32, b).astype(np.uint8).tobytes().decode("latin-1")
+
+
 def reconstruct(reads: DataFrame) -> DataFrame:
     """Reads (nt, g_nt, cigar, ...) with r_text and g_text, the gapped alignment; mismatched genome bases in lower case.
 
-    A cigar that doesn't use up both sequences is an error.
+    A cigar that doesn't use up both sequences is an error. One pass over each read, in Arrow batches.
     """
-    zero = F.struct(F.lit(1).alias("r"), F.lit(1).alias("g"), F.lit("").alias("rt"), F.lit("").alias("gt"))
-
-    def step(a: Column, x: Column) -> Column:
-        n, gap = x["n"], F.repeat(F.lit("-"), x["n"])
-        read, genome = F.substr("nt", a["r"], n), F.substr("g_nt", a["g"], n)
-        return F.struct(
-            (a["r"] + F.when(x["op"] == "D", 0).otherwise(n)).alias("r"),
-            (a["g"] + F.when(x["op"] == "I", 0).otherwise(n)).alias("g"),
-            F.concat(a["rt"], F.when(x["op"] == "D", gap).otherwise(read)).alias("rt"),
-            F.concat(a["gt"], F.when(x["op"] == "I", gap).otherwise(genome)).alias("gt"),
-        )
-
-    out = reads.withColumn("_a", F.aggregate(dna.cigar_ops(F.col("cigar")), zero, step))
-    used = (F.col("_a.r") == F.length("nt") + 1) & (F.col("_a.g") == F.length("g_nt") + 1)
-    lowered = F.array_join(F.zip_with(F.split("_a.rt", ""), F.split("_a.gt", ""), lambda r, g: F.when((r == g) | (r == "-") | (g == "-"), g).otherwise(F.lower(g))), "")
+
+    def texts(nt: pa.Array, g_nt: pa.Array, cigar: pa.Array) -> pa.Array:
+        found = [None if None in x else gapped(*x) for x in zip(nt.to_pylist(), g_nt.to_pylist(), cigar.to_pylist(), strict=True)]
+        return pa.array([f and {"r": f[0], "g": f[1]} for f in found], pa.struct([("r", pa.string()), ("g", pa.string())]))
+
+    out = reads.withColumn("_a", F.arrow_udf(texts, "struct<r:string,g:string>")("nt", "g_nt", "cigar"))
     bad = F.raise_error(F.concat(F.lit("cigar does not fit read "), F.col("read"))).cast("string")
-    return out.withColumn("r_text", F.when(used, F.col("_a.rt")).otherwise(bad)).withColumn("g_text", lowered).drop("_a")
+    return out.withColumn("r_text", F.when(F.col("_a").isNotNull(), F.col("_a.r")).otherwise(bad)).withColumn("g_text", F.col("_a.g")).drop("_a")
 
 
 def slice_by_genome(alignments: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -59,20 +69,24 @@ def slice_by_genome(alignments: DataFrame, intervals: DataFrame) -> DataFrame:
     minus = F.col("strand") == "-"
     r, g = (F.when(minus, dna.reverse_complement(F.col(c))).otherwise(F.col(c)) for c in ("r_text", "g_text"))
     pairs = pairs.withColumn("_r", r).withColumn("_g", g)
-    steps = F.transform(F.split("_g", ""), lambda x: (x != "-").cast("int"))
-    at = F.aggregate(
-        steps,
-        F.struct(F.col("start").cast("long").alias("p"), F.array().cast("array<bigint>").alias("all")),
-        lambda a, x: F.struct((a["p"] + x).alias("p"), F.concat(a["all"], F.array(a["p"])).alias("all")),
-    )["all"]
-    pairs = pairs.withColumn("_at", at)
-    first = lambda position: F.size(F.filter("_at", lambda p: p < position))
-    pairs = pairs.withColumn("_from", first(F.col("right_start"))).withColumn("_to", first(F.col("right_end")))
+
+    def places(g_text: pa.Array, start: pa.Array, low: pa.Array, high: pa.Array) -> pa.Array:
+        """Columns from the first whose genome position is at or past low up to that of high, and the position of the first."""
+        rows = []
+        for text, at, lo, hi in zip(g_text.to_pylist(), start.to_pylist(), low.to_pylist(), high.to_pylist(), strict=True):
+            bases = np.frombuffer(text.encode("latin-1", "replace"), np.uint8) != 45
+            position = at + np.concatenate([[0], np.cumsum(bases)])
+            first, last = (int(np.searchsorted(position[: len(bases)], x)) for x in (lo, hi))
+            rows.append({"first": first, "last": last, "at": int(position[first])})
+        return pa.array(rows, pa.struct([("first", pa.int32()), ("last", pa.int32()), ("at", pa.int64())]))
+
+    found = F.arrow_udf(places, "struct<first:int,last:int,at:bigint>")("_g", "start", "right_start", "right_end")
+    pairs = pairs.withColumn("_p", found).withColumn("_from", F.col("_p.first")).withColumn("_to", F.col("_p.last"))
     cut = lambda c: F.substr(c, F.col("_from") + 1, F.col("_to") - F.col("_from"))
     bases = lambda c: F.length(F.regexp_replace(c, "-", ""))
     before, whole = bases(F.substr("_r", F.lit(1), F.col("_from"))), bases(F.col("_r"))
     pairs = pairs.withColumn("_rt", cut("_r")).withColumn("_gt", cut("_g")).withColumn("_before", before)
-    g_start = F.coalesce(F.get("_at", F.col("_from")), F.col("end"))
+    g_start = F.col("_p.at")
     back = lambda c: F.when(minus, dna.reverse_complement(F.col(c))).otherwise(F.col(c))
     return pairs.select(
         "read", "seq", "strand", g_start.alias("start"), (g_start + bases(F.col("_gt"))).alias("end"),
@@ -93,9 +107,12 @@ def genome_positional_events(pieces: DataFrame, motif: str, keys: list[str]) ->
 
 
 def scoring_table(results: DataFrame, scorings: DataFrame) -> DataFrame:
-    """Scoring sets (file, six scores) with their rates tpr and fdr to six decimals, numbered, best rate first."""
+    """Scoring sets (file, six scores) with their rates tpr and fdr to six decimals, numbered from 1, best rate first.
+
+    A row for each scoring set that was tried, some thousands, so one task numbers them.
+    """
     joined = scorings.join(results.select("file", F.format_string("%.6f", "tpr").alias("tpr"), F.format_string("%.6f", "fdr").alias("fdr")), "file")
-    return joined.orderBy(F.desc("tpr"), "file")
+    return joined.select(F.row_number().over(Window.orderBy(F.desc("tpr"), "file")).alias("number"), "*").orderBy("number")
 
 
 def simulation_table(rates: DataFrame, metrics: DataFrame) -> DataFrame:

@@ -72,11 +72,16 @@ def show_forward(alignments: DataFrame) -> DataFrame:
 
 
 def write_blocks(alignments: DataFrame, path: str, order: list, stats: bool = False, marker: str = MARKER) -> None:
-    """Blocks in order with blank lines between them, in files that sort by name; the last file ends with the marker."""
+    """Blocks in order with blank lines between them, in files that sort by name; the marker is the last file's last line.
+
+    Files sorted by name and joined are one file of blocks. To read them each on its own, `read_blocks` takes them
+    with require_end=False; with require_end it takes the folder's files as one file (whole=True).
+    """
     spark = alignments.sparkSession
-    lines = blocks(alignments, stats).orderBy(*order).select(F.concat("block", F.lit("\n")).alias("value"))
-    lines.write.mode("append").text(f"{path}/blocks")
-    spark.createDataFrame([(marker,)], "value string").coalesce(1).write.mode("append").text(f"{path}/marker")
+    ordered = blocks(alignments, stats).orderBy(*order).select(F.concat("block", F.lit("\n")).alias("value"))
+    # a row after all others: a union keeps the sorted partitions, and adds the marker's as the last
+    last = spark.createDataFrame([(marker,)], "value string").coalesce(1)
+    ordered.unionByName(last).write.mode("append").text(path)
 
 
 def summary_with_consensus(summaries: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -61,12 +62,19 @@ BLOCK_SCHEMA = (
 )
 
 
-def read_blocks(spark: SparkSession, path: str | list[str], require_end: bool = True) -> DataFrame:
+def read_blocks(spark: SparkSession, path: str | list[str], require_end: bool = True, whole: bool = False) -> DataFrame:
     """Alignment blocks (BLOCK_SCHEMA) of files, plain or compressed, each in one task, as line numbers need its order.
 
     A block is an optional line of statistics, a sequence and a motif line; other lines that start with # stay with
-    it. Text after the end marker, a missing marker where it is required, or a short block is an error.
+    it. Text after the end marker, a missing marker where it is required, or a short block is an error. whole: the
+    files of a folder, as `write_blocks` leaves them, are parts of one: the marker must be the last line of the last
+    file and of no other. A file's text is one row, so files should have the size of a split.
     """
+    if whole:
+        marks = concat_check(spark, path).agg(F.sum("markers").alias("n"), F.max_by("markers", "file").alias("last")).first()
+        if require_end and (marks["n"], marks["last"]) != (1, 1):
+            raise ValueError(f"{path}: the end marker is missing, or not in the last file alone")
+        require_end = False
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,6 +161,28 @@ def concat_check(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return lines.groupBy("file").agg(F.sum("marker").cast("long").alias("markers"))
 
 
+def concatenate(spark: SparkSession, paths: list[str], marker: str, tolerant: bool = False) -> DataFrame:
+    """(value): the lines of several files of blocks one file after the other, without their markers, and one at the end.
+
+    Each file, plain or compressed, must end with a marker; tolerant takes one without. Text after a marker is an
+    error. Lines keep their order within a file, files that of `paths`.
+    """
+    def one(number: int, path: str) -> DataFrame:
+        lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
+        return lines.select("value", F.lit(number).alias("number"), "at", F.col("value").rlike(END_MARKER).alias("mark"))
+
+    lines = reduce(DataFrame.unionByName, [one(k, p) for k, p in enumerate(paths)])
+    text_at = F.max(F.when(~F.col("mark") & (F.trim("value") != ""), F.col("at")))
+    ends = lines.groupBy("number").agg(F.min(F.when(F.col("mark"), F.col("at"))).alias("end"), text_at.alias("text"))
+    wrong = F.when(F.col("end") < F.col("text"), F.raise_error(F.lit("text after the end marker")).cast("boolean"))
+    missing = F.when(F.col("end").isNull() & ~F.lit(tolerant), F.raise_error(F.lit("the end marker is missing")).cast("boolean"))
+    checked = ends.select(F.col("number").alias("_n"), F.coalesce(wrong, missing, F.lit(True)).alias("ok"))
+    # a row for each file
+    kept = lines.join(F.broadcast(checked), F.col("number") == F.col("_n")).filter("ok and not mark")
+    last = spark.createDataFrame([(marker, len(paths), 0)], "value string, number int, at long")
+    return kept.select("value", "number", "at").unionByName(last).orderBy("number", "at").select("value")
+
+
 def fields_of(lines: DataFrame) -> DataFrame:
     """Lines (value) that are not blank nor comments, with `f`, their fields between white space."""
     return lines.filter(~F.col("value").rlike(r"^\s*(#|$)")).withColumn("f", F.split(F.trim("value"), r"\s+"))
@@ -211,8 +241,9 @@ def parse_cigars(lines: DataFrame) -> DataFrame:
 def parse_sam(lines: DataFrame, min_quality: int = 0) -> DataFrame:
     """(read, ref, quality, cigar, md) of mapped SAM lines of at least a mapping quality; exactly one MD tag is required."""
     out = lines.filter(~F.col("value").startswith("@") & (F.length(F.trim("value")) > 0)).withColumn("f", F.split("value", "\t"))
-    out = out.withColumn("short", F.when(F.size("f") < 11, F.raise_error(F.concat(F.lit("short line: "), F.col("value")))).cast("string"))
-    out = out.filter((F.get("f", 2) != "*") & (_field(4, "int") >= min_quality) & F.col("short").isNull())
+    # every line passes the check of its width before any of its fields is looked at
+    short = F.raise_error(F.concat(F.lit("short line: "), F.col("value"))).cast("boolean")
+    out = out.filter(F.when(F.size("f") < 11, short).otherwise((F.get("f", 2) != "*") & (_field(4, "int") >= min_quality)))
     tags = F.filter("f", lambda x: x.startswith("MD:"))
     md = F.when(F.size(tags) != 1, F.raise_error(F.concat(F.lit("not one MD tag: "), F.col("value")))).otherwise(F.substring_index(F.get(tags, 0), ":", -1))
     return out.select(_field(0).alias("read"), _field(2).alias("ref"), _field(4, "int").alias("quality"), _field(5).alias("cigar"), md.alias("md"))

@@ -39,8 +39,17 @@ def test_blocks_survive_writing_and_reading(spark, tmp_path):
     seqs = spark.createDataFrame([(0, "s1", nt), (1, "s2", nt[::-1].translate(str.maketrans("ACGT", "TGCA")))], "seq_ordinal long, name string, nt string")
     found = A.align_repeats(seqs, ["GGAAT"], PRESETS["historical"], thresholds(50, 0.8)).cache()
     K.write_blocks(found, str(tmp_path / "out"), ["seq_ordinal", "emit_ordinal"], stats=True)
-    text = "".join(p.read_text() for p in sorted((tmp_path / "out/blocks").glob("part*")))
-    (tmp_path / "one.txt").write_text(text + K.MARKER + "\n")
+    files = sorted((tmp_path / "out").glob("part*"))
+    assert files[-1].read_text().endswith(K.MARKER + "\n") and sum(K.MARKER in p.read_text() for p in files) == 1
+    assert T.read_blocks(spark, str(tmp_path / "out"), whole=True).count() == 2
+    (tmp_path / "one.txt").write_text("".join(p.read_text() for p in files))
+    both = T.concatenate(spark, [str(tmp_path / "one.txt")] * 2, "# any end-of-file").collect()
+    assert both[-1].value == "# any end-of-file" and sum("seq" not in r.value and "end-of-file" in r.value for r in both) == 1
+    assert len(list(T.parse_blocks("\n".join(r.value for r in both)))) == 4
+    (tmp_path / "open.txt").write_text("".join(p.read_text() for p in files).replace(K.MARKER, ""))
+    with pytest.raises(Exception, match="marker is missing"):
+        T.concatenate(spark, [str(tmp_path / "open.txt")], "# x").collect()
+    assert T.concatenate(spark, [str(tmp_path / "open.txt")], "# x end-of-file", tolerant=True).count() > 4
     back = {(r.name, r.start, r.end, r.seq_text, r.motif_text, r.strand, r.m, r.score, r.error_text) for r in T.read_blocks(spark, str(tmp_path / "one.txt")).collect()}
     mask = D.match_mask(F.col("seq_text"), F.col("motif_text"))
     want = {(r.name, r.start, r.end, r.seq_text, r.motif_text, r.strand, r.m, r.score, r.mask) for r in found.withColumn("mask", mask).collect()}

@@ -7,7 +7,9 @@ the scan that reads the url column alone.
 Defined results
 * null url, or one without '://': host and path empty, no rule fits, the model sees empty strings and allows;
 * of rules that fit, the longest wins, and of equally long ones the first of the table;
-* repeated rows give repeated results; extra columns are ignored; an empty table gives an empty result.
+* very long urls are scored whole, by the mean over their n-grams; a logit of exactly 0 allows;
+* rows without a page_id keep their null id; repeated rows give repeated results; extra columns are ignored; an empty
+  table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,31 +48,32 @@ RULES = (
     UrlRule("org", "/fr/", "allow"),
 )
 
-#: The labelled URL table: hosts and paths of unwanted sites (1) and of ordinary ones (0).
-BAD = """casino-win.example.com/en/1 online-casino.example.org/slots free-bets.example.com/de/77 best-bets.example.org/odds
-bet-bonus.example.net/win cheap-pills.example.com/fr/12 pills-online.example.org/buy cheap-meds.example.net/order
-ads-track.example.com/en/5 ad-tracker.example.org/pixel track-ads.example.net/click clicks-ads.example.com/banner
+#: The labelled URL table, made up for this purpose: hosts and paths of unwanted sites (1) and of ordinary ones (0).
+BAD = """casino-wins.example.com/en/1 online-casino.example.org/slots bets-free.example.com/de/77 best-bets.example.org/odds
+bet-bonus.example.net/win pills-cheap.example.com/fr/12 pills-online.example.org/buy cheap-meds.example.net/order
+ads-tracks.example.com/en/5 ad-tracker.example.org/pixel track-ads.example.net/click clicks-ads.example.com/banner
 win-cash.example.org/prize free-casino.example.net/spins poker-win.example.com/table slots-free.example.org/play
 viagra-shop.example.com/cheap payday-loan.example.org/apply quick-loans.example.net/cash xxx-cams.example.com/live
-adult-porn.example.org/video adult-x.example.com/en/6 adult-chat.example.net/x hot-sex.example.net/chat replica-watch.example.com/sale fake-rolex.example.org/buy
+adult-porn.example.org/video x-adult.example.com/en/6 adult-chat.example.net/x hot-sex.example.net/chat replica-watch.example.com/sale fake-rolex.example.org/buy
 win-prize.example.com/claim lottery-win.example.net/jackpot free-iphone.example.org/claim crypto-double.example.com/win
 casino.example.org/bonus bets.example.net/free pills.example.com/cheap warez-crack.example.org/keygen
-torrent-free.example.net/movie cheap-seo.example.com/links buy-followers.example.org/likes spam-mail.example.net/list
+torrent-free.example.net/movie cheap-seo.example.com/links buy-followers.example.org/likes spam-mail.example.net/list link-farm.example.com/en/3
 sports-bets.example.com/tips casino-bonus.example.net/de/9 cheap-viagra.example.org/en/3 ads-click.example.com/fr/8""".split()
-GOOD = """ththre.example.com/fr/82 tiontion.example.net/en/7817 therhe.example.org/en/8423 ththan.example.com/en/7944
-blog.tionsh.example.com/fr/7424.html therst.example.net/fr/4163 www.thering.example.org/en/1291/ news.example.org/world
+GOOD = """theword.example.com/fr/82 nations.example.net/en/7817 herald.example.org/en/8423 thankful.example.com/en/7944
+blog.motion.example.com/fr/7424.html thirsty.example.net/fr/4163 www.gathering.example.org/en/1291/ news.example.org/world
 docs.example.com/guide/start library.example.org/books/12 university.example.net/research weather.example.com/today
 recipes.example.org/bread gardening.example.net/roses museum.example.com/visit www.city.example.org/council
-history.example.net/rome physics.example.com/waves m.theron.example.net/de/5989 blog.travel.example.org/alps
+history.example.net/rome physics.example.com/waves m.theory.example.net/de/5989 blog.travel.example.org/alps
 forum.example.com/topic/9 wiki.example.org/page/Tree shop.example.net/shoes/4 school.example.com/class/2
 health.example.org/advice bank.example.net/branches trains.example.com/timetable films.example.org/review
-music.example.net/jazz code.example.com/python m.thehouse.example.org/en/4 www.thand.example.com/es/3102
+music.example.net/jazz code.example.com/python m.thehouse.example.org/en/4 www.thousand.example.com/es/3102
 statistics.example.org/census language.example.net/grammar water.example.com/rivers energy.example.org/solar
-kitchen.example.net/soup astronomy.example.com/mars www.post.example.org/letters blog.ththre.example.org/en/14355/
-ththth.example.net/es/8924 theres.example.org/en/5397.html therwh.example.org/fr/7855.html m.ththes.example.org/en/873
-blog.ththsh.example.com/en/4903/ ththwh.example.org/en/270 tionble.example.org/en/482/ ththha.example.net/de/41
+kitchen.example.net/soup astronomy.example.com/mars www.post.example.org/letters blog.northern.example.org/en/14355/
+tenth.example.net/es/8924 others.example.org/en/5397.html therapy.example.org/fr/7855.html m.mathes.example.org/en/873
+blog.fashion.example.com/en/4903/ worth.example.org/en/270 stable.example.org/en/482/ thatch.example.net/de/41
 about.example.com/team contact.example.org/us press.example.net/release events.example.com/2020/05 art.example.org/gallery
-thher.example.net/es/2547/ edition.example.com/reader inger.example.org/de/88 onthe.example.net/en/6 erand.example.com/4""".split()
+thinner.example.net/es/2547/ edition.example.com/reader inger.example.org/de/88 onthe.example.net/en/6 erand.example.com/4
+further.example.com/en/612?page=2 blog.threads.example.net/de/61.html m.weather.example.org/es/9 www.bathed.example.com/en/77/""".split()
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:

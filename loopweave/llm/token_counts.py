@@ -3,18 +3,22 @@
 A document is held as leaves of consecutive pre-token parts under a segment tree with the characters and tokens of
 each subtree. Parts meet at spaces where byte-level BPE never joins, so a leaf's tokens don't depend on others. An
 edit descends to the leaves it touches, with CONTEXT characters on either side so that the joints to the leaves that
-stay are untouched, encodes their new text alone, and updates the sums on the way up.
+stay are untouched, encodes their new text alone, and cuts it into as many leaves as it needs. The tree is split before
+and after the leaves that go and joined again around the new ones, so only the sums on the way are computed anew: an
+edit's work grows with its own text and the logarithm of the document.
 
 Counting is a map over the scan; a tree lives as long as its document is in hand, and its memory is that of the text.
 
 Defined results
 * null or empty text: 0 tokens; it can be edited like any other (null as empty);
 * an edit reaching past the end of the text is cut there; edits apply one after another, each to the text so far;
+* very long texts have more leaves and a deeper tree; rows without a doc_id are counted and keep their null id;
 * repeated rows give repeated results; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -22,56 +26,114 @@ from pyspark.sql import DataFrame
 
 from .packing import Encoder, encoder
 
-#: Parts of a leaf, and characters on either side of an edit that are encoded again with it.
-LEAF, CONTEXT = 32, 4
+#: Parts of a leaf on average and at least, where there are others, and characters on either side of an edit that are
+#: encoded again with it.
+LEAF, LEAST, CONTEXT = 32, 16, 4
+
+
+class Leaf:
+    """A leaf's text, its parts and tokens, and as a tree node the sums over its subtree."""
+
+    __slots__ = ("text", "parts", "own", "left", "right", "leaves", "chars", "tokens")
+
+    def __init__(self, text: str, parts: int, own: int):
+        self.text, self.parts, self.own = text, parts, own
+        self.left: Leaf | None = None
+        self.right: Leaf | None = None
+        self.sum_up()
+
+    def sum_up(self) -> Leaf:
+        self.leaves, self.chars, self.tokens = 1, len(self.text), self.own
+        for child in (self.left, self.right):
+            if child is not None:
+                self.leaves += child.leaves
+                self.chars += child.chars
+                self.tokens += child.tokens
+        return self
 
 
 class TokenTree:
-    """The tokens of one text under edits."""
+    """The tokens of one text under edits.
+
+    The tree is kept balanced by chance: of two trees that are joined, the root is that of one or the other with the
+    odds of their numbers of leaves.
+    """
 
     def __init__(self, text: str, encode: Encoder):
         self.encode = encode
         self.encoded_chars = 0
-        self._build(self._leaves(text))
+        self.joined = 0
+        self.random = random.Random(1)
+        self.root = self._grown(self._leaves(text))
 
-    def _leaves(self, text: str) -> list[tuple[str, int]]:
-        """(text, tokens) of the leaves of a text whose first part stands alone."""
+    def _leaves(self, text: str) -> list[Leaf]:
+        """Leaves of a text whose first part stands alone."""
         first, *rest = self.encode.parts(text)
         texts = [first, *(" " + p for p in rest)]
         self.encoded_chars += len(text)
         counts = self.encode.counts(first, rest)
-        return [("".join(texts[k : k + LEAF]), sum(counts[k : k + LEAF])) for k in range(0, len(texts), LEAF)]
-
-    def _build(self, leaves: list[tuple[str, int]]) -> None:
-        self.size = 1 << max(0, (len(leaves) - 1).bit_length())
-        self.texts = [t for t, _ in leaves] + [""] * (self.size - len(leaves))
-        self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for k, (t, n) in enumerate(leaves):
-            self.chars[self.size + k], self.tokens[self.size + k] = len(t), n
-        for k in range(self.size - 1, 0, -1):
-            self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
-            self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
+        n = max(1, round(len(texts) / LEAF))
+        cuts = [len(texts) * k // n for k in range(n + 1)]
+        return [Leaf("".join(texts[a:b]), b - a, sum(counts[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _grown(self, leaves: list[Leaf]) -> Leaf | None:
+        if not leaves:
+            return None
+        middle = len(leaves) // 2
+        root = leaves[middle]
+        root.left, root.right = self._grown(leaves[:middle]), self._grown(leaves[middle + 1 :])
+        return root.sum_up()
+
+    def _split(self, tree: Leaf | None, n: int) -> tuple[Leaf | None, Leaf | None]:
+        """The first n leaves of a tree, and the others."""
+        if tree is None:
+            return None, None
+        self.joined += 1
+        before = tree.left.leaves if tree.left else 0
+        if n <= before:
+            first, tree.left = self._split(tree.left, n)
+            return first, tree.sum_up()
+        tree.right, last = self._split(tree.right, n - before - 1)
+        return tree.sum_up(), last
+
+    def _join(self, a: Leaf | None, b: Leaf | None) -> Leaf | None:
+        if a is None or b is None:
+            return a or b
+        self.joined += 1
+        if self.random.randrange(a.leaves + b.leaves) < a.leaves:
+            a.right = self._join(a.right, b)
+            return a.sum_up()
+        b.left = self._join(a, b.left)
+        return b.sum_up()
 
     @property
     def n_chars(self) -> int:
-        return self.chars[1]
+        return self.root.chars if self.root else 0
 
     @property
     def n_tokens(self) -> int:
-        return self.tokens[1]
+        return self.root.tokens if self.root else 0
+
+    def _in_order(self, tree: Leaf | None) -> list[Leaf]:
+        return [] if tree is None else [*self._in_order(tree.left), tree, *self._in_order(tree.right)]
 
     def text(self) -> str:
-        return "".join(self.texts)
+        return "".join(leaf.text for leaf in self._in_order(self.root))
 
     def _leaf(self, position: int) -> tuple[int, int]:
-        """The leaf that holds a character, and where the leaf starts."""
-        k, start = 1, 0
-        while k < self.size:
-            k *= 2
-            if position >= start + self.chars[k] and self.chars[k + 1]:
-                start += self.chars[k]
-                k += 1
-        return k - self.size, start
+        """The number of the leaf that holds a character, the last one's for the end, and where the leaf starts."""
+        tree, number, start = self.root, 0, 0
+        while tree is not None:
+            before = tree.left.chars if tree.left else 0
+            if tree.left and position < start + before:
+                tree = tree.left
+                continue
+            number += tree.left.leaves if tree.left else 0
+            start += before
+            if tree.right is None or position < start + len(tree.text):
+                return number, start
+            number, start, tree = number + 1, start + len(tree.text), tree.right
+        return 0, 0
 
     def edit(self, start: int, end: int, replacement: str) -> None:
         """The characters from start up to end become the replacement."""
@@ -79,34 +141,16 @@ class TokenTree:
         end = min(max(end, start), self.n_chars)
         low, at = self._leaf(max(start - CONTEXT, 0))
         high, _ = self._leaf(min(end + CONTEXT, max(self.n_chars - 1, 0)))
-        old = "".join(self.texts[low : high + 1])
+        before, rest = self._split(self.root, low)
+        region, after = self._split(rest, high + 1 - low)
+        old = "".join(leaf.text for leaf in self._in_order(region))
         new = old[: start - at] + replacement + old[end - at :]
-        leaves = self._region(new, first=not any(self.texts[:low]))
-        room = high + 1 - low
-        if len(leaves) > room:
-            # more leaves than before: the tree is built anew from the leaves, none of which is encoded again
-            kept = [(t, self.tokens[self.size + k]) for k, t in enumerate(self.texts) if t]
-            before = sum(1 for t in self.texts[:low] if t)
-            after = sum(1 for t in self.texts[high + 1 :] if t)
-            self._build(kept[:before] + leaves + (kept[-after:] if after else []))
-            return
-        for k in range(room):
-            t, n = leaves[k] if k < len(leaves) else ("", 0)
-            self.texts[low + k] = t
-            self._update(low + k, len(t), n)
-
-    def _region(self, text: str, first: bool) -> list[tuple[str, int]]:
-        """Leaves of a region; unless it is the first, it starts with the space of its first part."""
-        return [leaf for leaf in self._leaves(text) if leaf[0]] if text or first else []
-
-    def _update(self, leaf: int, chars: int, tokens: int) -> None:
-        k = leaf + self.size
-        self.chars[k], self.tokens[k] = chars, tokens
-        k >>= 1
-        while k:
-            self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
-            self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
-            k >>= 1
+        if after is not None and new.count(" ") < LEAST:
+            # too little for a leaf: the next one is taken in
+            more, after = self._split(after, 1)
+            new += more.text
+        fresh = self._leaves(new) if new or (before is None and after is None) else []
+        self.root = self._join(self._join(before, self._grown(fresh)), after)
 
 
 def production_edits(n_chars: int) -> list[tuple[int, int, str]]:

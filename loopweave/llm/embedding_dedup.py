@@ -1,7 +1,10 @@
 """Operator 7: near-duplicate embeddings by int8 tile products with rigorous error bounds.
 
 1. Equal vectors form a class, a node from here on, so a very common vector is compared once.
-2. Nodes are dealt into blocks of about BLOCK; each pair of blocks is a tile, the work of one task.
+2. PIVOTS of the vectors are picked by hash. Nodes with the same two nearest pivots form a cell; a large cell is dealt
+   into blocks of about BLOCK, small ones share a block. A block knows the least and largest angle of its vectors to each pivot. As angles obey the
+   triangle inequality, two blocks whose ranges to any pivot are further apart than the threshold's angle hold no link.
+   Each other pair of blocks is a tile, the work of one task.
 3. In a tile each unit vector u is q * s with int8 components q, and has the error e = |u - q s|. A product of two is
    off by at most e_u |q_v s_v| + e_v (as |u| = 1), so pairs whose product plus bound stays below the threshold are
    settled by integers; only the others are recomputed in double precision.
@@ -13,6 +16,7 @@ Integer products are exact in float32 (checked), which numpy multiplies at full
 Defined results
 * null vectors, vectors of length 0 or with null or non-finite components, zero vectors: linked with nothing, kept;
 * vectors of different dimension are never linked; repeated rows, also of one vec_id, count as different vectors;
+* ties, pairs at exactly the threshold: linked;
 * null vec_id: takes part; component_id is the smallest id that is not null, kept is null if there is none;
 * extra columns are ignored; an empty table gives an empty result.
 """
@@ -23,7 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -31,8 +36,12 @@ from .components import components
 
 THRESHOLD = 0.95
 BLOCK = 4096
-#: Tasks that tiles are dealt to at most, and dimensions whose table is broadcast.
-TASKS, BROADCAST_WIDTHS = 10_000, 10_000
+#: Tasks that tiles are dealt to at most, and rows of a table that is broadcast.
+TASKS, BROADCAST_ROWS = 10_000, 200_000
+#: Pivots of a dimension, and dimensions that have some, the commonest; in others no pair of blocks is passed over.
+PIVOTS, WIDTHS = 16, 64
+#: More than the error of an angle computed in double precision, for cosines not too near 1.
+ANGLE_SLACK = 1e-6
 #: Rows of a tile's first block that are multiplied at a time, pairs recomputed at a time.
 STRIP, PAIRS = 512, 1 << 16
 #: More than the rounding of the float32 scaling of a product of unit vectors.
@@ -110,6 +119,63 @@ def _tile(table: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array([nodes[k] for k in found], pa.string()), "other": pa.array([least[label[k]] for k in found], pa.string()), "links": pa.array(links[found])})
 
 
+def _angles(nodes: DataFrame) -> DataFrame:
+    """nodes with `width` and `angles`, those of the vector to the pivots of its dimension (empty: no pivots)."""
+    sized = nodes.withColumn("width", F.size("vector"))
+    picks = [F.min_by("vector", F.xxhash64("node", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)]
+    chosen = sized.groupBy("width").agg(F.count("*").alias("n"), *picks).orderBy(F.desc("n"), "width").limit(WIDTHS).collect()
+    pivots = {}
+    for r in chosen:
+        x = np.array([r[f"p{k}"] for k in range(PIVOTS)], np.float64)
+        pivots[r["width"]] = x / np.linalg.norm(x, axis=1)[:, None]
+
+    def run(vectors: pa.Array) -> pa.Array:
+        lists = vectors if isinstance(vectors, pa.Array) else vectors.combine_chunks()
+        widths = np.asarray(pc.list_value_length(lists))
+        flat, at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate([[0], np.cumsum(widths)])
+        out: list[np.ndarray] = [np.zeros(0)] * len(widths)
+        for w in set(widths.tolist()) & pivots.keys():
+            rows = np.flatnonzero(widths == w)
+            x = flat[at[rows][:, None] + np.arange(w)]
+            angles = np.arccos(np.clip(x @ pivots[w].T / np.linalg.norm(x, axis=1)[:, None], -1, 1))
+            for k, row in enumerate(rows):
+                out[row] = angles[k]
+        return pa.array([a.tolist() for a in out], pa.list_(pa.float64()))
+
+    return sized.withColumn("angles", F.arrow_udf(run, "array<double>")("vector"))
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, computed once; to be broadcast if they are counted to be few."""
+    rows = cut(rows)
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
+def tiles(nodes: DataFrame, block: int = BLOCK, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(nodes with width and block, pairs of blocks (width, low, high, apart)) of nodes (node, vector, ...).
+
+    apart: the blocks hold no link, as their angles to some pivot say. A row for each pair of blocks of a dimension,
+    each of which stands for the product of thousands of vectors with thousands.
+    """
+    placed = cut(_angles(nodes))
+    nearest = F.transform(F.slice(F.array_sort(F.transform("angles", lambda a, i: F.struct(a.alias("a"), i.alias("i")))), 1, 2), lambda x: x["i"])
+    placed = placed.withColumn("cell", F.concat_ws("/", F.transform(nearest, lambda i: i.cast("string"))))
+    # a row for each cell, at most PIVOTS**2 of each dimension; small neighbours in their order share a block
+    cells = placed.groupBy("width", "cell").agg(F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("width").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.select(F.col("width").alias("_w"), F.col("cell").alias("_c"), F.ceil(F.col("n") / block).cast("int").alias("parts"), F.floor(ahead / block).alias("base"))
+    placed = placed.join(_few(cells), (F.col("width") == F.col("_w")) & (F.col("cell") == F.col("_c"))).drop("_w", "_c")
+    placed = placed.withColumn("block", F.col("base") + F.pmod(F.xxhash64("node"), F.col("parts"))).drop("cell", "base", "parts")
+    ends = [f(F.get("angles", k)).alias(f"{name}{k}") for k in range(PIVOTS) for name, f in (("least", F.min), ("most", F.max))]
+    blocks = placed.groupBy("width", "block").agg(*ends)
+    blocks = cut(blocks.select("width", "block", *[F.array(*[F.col(f"{name}{k}") for k in range(PIVOTS)]).alias(name) for name in ("least", "most")]))
+    other = blocks.select(F.col("width").alias("_w"), F.col("block").alias("high"), F.col("least").alias("least2"), F.col("most").alias("most2"))
+    gap = F.zip_with(F.zip_with("least", "most2", lambda a, b: a - b), F.zip_with("least2", "most", lambda a, b: a - b), lambda a, b: F.greatest(a, b))
+    far = F.coalesce(F.exists(gap, lambda g: F.coalesce(g > float(np.arccos(threshold)) + ANGLE_SLACK, F.lit(False))), F.lit(False))
+    pairs = blocks.join(other, (F.col("width") == F.col("_w")) & (F.col("block") <= F.col("high")))
+    return placed.drop("angles"), cut(pairs.select("width", F.col("block").alias("low"), "high", far.alias("apart")))
+
+
 def classes(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     """(vec_id, node, n_links, component_id) of each vector (vec_id, embedding)."""
     e = F.col("embedding")
@@ -120,22 +186,24 @@ def classes(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     nodes = cut(
         own.filter("node is not null").groupBy("node").agg(F.count("*").alias("size"), F.min("vec_id").alias("vec_id"), F.first("embedding").alias("vector"))
     )
-    by_width = cut(nodes.groupBy(F.size("vector").alias("_w")).agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("int").alias("blocks")))
-    n_widths, n_tiles = by_width.agg(F.count("*"), F.coalesce(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2), F.lit(0))).first()
-    # a row for each dimension, counted; a shuffled join by dimension would bring all vectors to one task
-    dealt = nodes.join(F.broadcast(by_width) if n_widths <= BROADCAST_WIDTHS else by_width, F.size("vector") == F.col("_w"))
-    dealt = dealt.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1)
-    rows = dealt.select(F.col("_w").alias("width"), F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), side.alias("side"), "node", "size", "vector")
+    placed, pairs = tiles(nodes.select("node", "size", "vector"), block)
+    near = pairs.filter("not apart")
+    n_tiles = near.count()
+    as_low = near.select("width", F.col("low").alias("block"), "low", "high", F.when(F.col("low") == F.col("high"), 2).otherwise(0).alias("side"))
+    as_high = near.filter("low < high").select("width", F.col("high").alias("block"), "low", "high", F.lit(1).alias("side"))
+    # the tiles of a block as one row, so that the vectors meet a row for each block
+    of_block = as_low.unionByName(as_high).groupBy(F.col("width").alias("_w"), F.col("block").alias("_b")).agg(F.collect_list(F.struct("low", "high", "side")).alias("in"))
+    dealt = placed.join(_few(of_block), (F.col("width") == F.col("_w")) & (F.col("block") == F.col("_b")))
+    rows = dealt.select("width", F.explode("in").alias("t"), "node", "size", "vector").select("width", "t.low", "t.high", "t.side", "node", "size", "vector")
     rows = rows.repartition(int(min(max(n_tiles, 1), TASKS)), "width", "low", "high")
-    tiles = cut(rows.groupBy("width", "low", "high").applyInArrow(_tile, "node string, other string, links bigint"))
-    found = components(tiles.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    sums = tiles.groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "_m")
+    linked = cut(rows.groupBy("width", "low", "high").applyInArrow(_tile, "node string, other string, links bigint"))
+    found = components(linked.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    sums = linked.groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "_m")
     named = nodes.select("node", "size", "vec_id").join(sums, F.col("node") == F.col("_m"), "left").join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
-    named = named.select("node", "vec_id", F.coalesce("root", "node").alias("root"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    least = named.groupBy("root").agg(F.min("vec_id").alias("component_id")).withColumnRenamed("root", "_r")
-    named = named.join(least, F.col("root") == F.col("_r")).select(F.col("node").alias("_n"), "n_links", "component_id")
+    named = cut(named.select("node", "vec_id", "root", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    # a row for each component with several nodes
+    least = _few(named.filter("root is not null").groupBy("root").agg(F.min("vec_id").alias("component_id")).withColumnRenamed("root", "_r"))
+    named = named.join(least, F.col("root") == F.col("_r"), "left").select(F.col("node").alias("_n"), "n_links", F.coalesce("component_id", "vec_id").alias("component_id"))
     return own.join(named, F.col("node") == F.col("_n"), "left").select(
         "vec_id", "node", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )

@@ -409,6 +409,147 @@ def sam_events(spark, d):
     return sam.select(F.get("k", 0).cast("long").alias("l_orderkey"), F.get("k", 1).cast("int").alias("l_linenumber"), "e.*")
 
 
+# --- lines of text made from the tables, read by the parsers; rows written as text
+
+
+def _lines(df: DataFrame, *cells, sep: str = " ") -> DataFrame:
+    return df.select(F.concat_ws(sep, *[c if not isinstance(c, str) else F.col(c) for c in cells]).alias("value"))
+
+
+_AL = V.ALIGNMENTS + """,
+s as (select seq_ordinal, emit_ordinal, motif, name as seq, "start", "end", strand, seq_len, motif_bases as query_bp, m, mm, i, d from alignments)"""
+
+
+@query(f"""with {_AL} select motif, seq, "start"::bigint as "start", "end"::bigint as "end" from s""")
+def summary_scan(spark, d):
+    a = V.alignments(spark, d)
+    return T.parse_summary(_lines(a, F.lit("1"), "motif", "name", F.col("start").cast("string"), F.col("end").cast("string"), "strand", sep="\t")).drop("value")
+
+
+@query(f"""with {_AL} select 1::bigint as line, motif, seq, "start"::bigint as "start", "end"::bigint as "end", strand, null::bigint as seq_len, query_bp::bigint as query_bp,
+'91.5'::double / 100 as m_ratio, m::bigint as m, mm::bigint as mm, i::bigint as i, d::bigint as d from s where motif = 'A'""")
+def summary_table_scan(spark, d):
+    a = V.alignments(spark, d)
+    text = lambda *cs: [F.col(c).cast("string") for c in cs]
+    lines = _lines(a, F.lit("1"), "motif", "name", *text("start", "end"), "strand", F.lit("NA"), *text("motif_bases"), F.lit("91.5%"), *text("m", "mm", "i", "d"), sep="\t")
+    header = spark.createDataFrame([("line\tmotif\tseq\tstart\tend\tstrand\tseqLen\tquerybp\tmRatio\tm\tmm\ti\td",), ("# a comment",), (" ",)], "value string")
+    return T.parse_summary_table(lines.unionByName(header), "A")
+
+
+@query(f"""with {V.IV} select seq, "start", "end", motif || '+' as tag, motif || '-' as flipped, 4 as width from iv""")
+def interval_scan(spark, d):
+    iv = V.iv(spark, d)
+    lines = _lines(iv, F.concat("motif", F.lit("+")), "seq", F.col("start").cast("string"), F.col("end").cast("string"))
+    return T.parse_intervals(lines, (1, 2, 3)).select("seq", "start", "end", F.get("tags", 0).alias("tag"), D.flip_strand(F.get("tags", 0)).alias("flipped"), "width")
+
+
+@query(f"""select 'r' || l_orderkey || '.' || l_linenumber as read, 'chr' || l_suppkey % 5 as seq, case when l_partkey % 2 = 0 then '-' else '+' end as strand,
+10::bigint as g_start, 90::bigint as g_end, {_CIGAR} as cigar from lineitem""")
+def cigar_scan(spark, d):
+    c = _cigars(spark, d)
+    name = F.concat(F.lit("r"), F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string"))
+    chrom = F.concat(F.lit("chr"), (F.col("l_suppkey") % 5).cast("string"), F.when(F.col("l_partkey") % 2 == 0, "-").otherwise(""))
+    return T.parse_cigars(_lines(c, name, chrom, F.lit("10"), F.lit("90"), F.regexp_replace("cigar", "([A-Z])", "$1 ")))
+
+
+@query("""select 'q' || l_orderkey as query, l_linenumber::bigint as query_start, l_quantity::bigint as matches, (l_suppkey % 60)::bigint as quality,
+':' || l_quantity::bigint as cs from lineitem where l_suppkey % 60 >= 3""")
+def paf_scan(spark, d):
+    c, text = V.table(spark, d, "lineitem"), lambda e: F.expr(f"cast({e} as string)")
+    zero = F.lit("0")
+    lines = _lines(
+        c, F.concat(F.lit("q"), text("l_orderkey")), F.lit("900"), text("l_linenumber"), F.lit("9"), F.lit("+"), F.lit("t"), F.lit("99"), zero, F.lit("9"),
+        text("cast(l_quantity as bigint)"), F.lit("9"), text("l_suppkey % 60"), F.lit("tp:A:P"), F.concat(F.lit("cs:Z::"), text("cast(l_quantity as bigint)")), sep="\t",
+    )
+    return T.parse_paf(lines, 3).select("query", "query_start", "matches", "quality", F.col("tags")["cs"].alias("cs"))
+
+
+@query(f"with {_BINNED}, s as (select lo, hi, sum(n)::bigint as n from b group by lo, hi) select lo, hi, (n + 1) // 2 as out_count, n as in_count from s")
+def spec_scan(spark, d):
+    b = _by_language(spark, d).groupBy("lo", "hi").agg(F.sum("n").alias("n"))
+    text = lambda e: F.expr(f"cast({e} as string)")
+    return T.parse_spec(_lines(b, F.concat_ws("-", text("lo"), text("hi")), text("(n + 1) div 2"), text("n")))
+
+
+@query("select n_chars as lo, n_chars as hi, count(*) as n from documents where n_chars is not null group by n_chars")
+def distribution_scan(spark, d):
+    b = V.table(spark, d, "documents").filter("n_chars is not null").groupBy("n_chars").agg(F.count("*").alias("n"))
+    return T.parse_distribution(_lines(b, F.col("n_chars").cast("string"), F.col("n").cast("string")))
+
+
+@query("select p_size::bigint as length, substr('GGAATACGTCA', 1 + p_size % 5, 4) as motif, case when p_size % 2 = 0 then '-' else '+' end as strand from part")
+def array_scan(spark, d):
+    p = V.table(spark, d, "part")
+    motif = F.concat(F.expr("substr('GGAATACGTCA', 1 + p_size % 5, 4)"), F.when(F.col("p_size") % 2 == 0, "-").otherwise(""))
+    return T.parse_arrays(_lines(p, F.col("p_size").cast("string"), motif))
+
+
+@query(f"""with {_AL} select seq_ordinal, emit_ordinal, motif || chr(9) || seq || chr(9) || "start" || chr(9) || "end" || chr(9) || strand || chr(9) || case when m % 3 = 0 then 'NA' else m::varchar end as value from s""")
+def tsv_rows(spark, d):
+    a = V.alignments(spark, d).select("seq_ordinal", "emit_ordinal", F.struct("motif", "name", "start", "end", "strand", F.when(F.col("m") % 3 != 0, F.col("m")).alias("m")).alias("r"))
+    return a.select("seq_ordinal", "emit_ordinal", K.tsv_value([F.col(f"r.{c}") for c in ("motif", "name", "start", "end", "strand", "m")]).alias("value"))
+
+
+@query(f"""with {V.DNA} select doc_id, '@doc_' || doc_id || chr(10) || seq || chr(10) || '+' || chr(10) || repeat('I', length(seq)) as record from dna""")
+def fastq_rows(spark, d):
+    return V.dna(spark, d).select("doc_id", K.fastq(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")), F.col("seq")).alias("record"))
+
+
+@query(f"""with {V.DNA} select doc_id, 'doc_' || doc_id || chr(9) || case when doc_id % 2 = 0 then '16' else '0' end || chr(9) || 'chr1' || chr(9) || (doc_id + 1) || chr(9) || '255' || chr(9) ||
+length(seq) || 'M' || chr(9) || '*' || chr(9) || '0' || chr(9) || '0' || chr(9) || case when doc_id % 2 = 0 then reverse(translate(seq, 'ACGT', 'TGCA')) else seq end || chr(9) || repeat('I', length(seq)) as record from dna""")
+def sam_rows(spark, d):
+    strand = F.when(F.col("doc_id") % 2 == 0, "-").otherwise("+")
+    cigar = F.concat(F.length("seq").cast("string"), F.lit("M"))
+    row = K.sam_row(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")), F.lit("chr1"), strand, F.col("doc_id"), cigar, F.col("seq"))
+    return V.dna(spark, d).select("doc_id", row.alias("record"))
+
+
+# --- columns of whole texts: phases, consensus, words, clumps
+
+_COPIES = V.PAIR + """,
+cut as (select doc_id, seq_text, length(seq_text) as n from pair),
+chunk as (select doc_id, seq_text, n, unnest(range(0, (n + 4) // 5)) as chunk from cut),
+cell as (select doc_id, chunk, n, pos, coalesce(seq_text[(chunk * 5 + pos + 1)::int], '') as token from chunk, range(5) r(pos))"""
+
+
+@query(f"""with {_COPIES}, c as (select doc_id, pos, token, count(*) as k from cell group by all),
+best as (select doc_id, pos, max_by(token, (k, token)) as token, max(k) as k, sum(k) as total from c group by doc_id, pos)
+select doc_id, string_agg(case when token = '-' then '' else token end, '' order by pos) as consensus from best group by doc_id having bool_and(k >= 0.5::double * total)""")
+def pair_consensus(spark, d):
+    return C.consensus(_phased(spark, d), ["doc_id"])
+
+
+@query(f"""with {_COPIES}, w as (select doc_id, chunk, replace(string_agg(token, '' order by pos), '-', '') as t, min(length(token)) as least from cell group by doc_id, chunk),
+k as (select doc_id, case when t = 'ACGTT' then t else lower(t) end as word, count(*) as n from w where least > 0 group by all),
+o as (select *, coalesce(max(n) filter (word = 'ACGTT') over (partition by doc_id), 0) as own from k)
+select doc_id, word, n, row_number() over (partition by doc_id order by n desc, abs(length(word) - 5) desc, word desc)::int as rank from o where n >= 0.1::double * own""")
+def pair_words(spark, d):
+    return C.words(_phased(spark, d), ["doc_id"])
+
+
+@query(f"""with {V.KINDS}, col as (select doc_id, kinds, unnest(range(1, length(kinds) + 1)) as k from kinds),
+p as (select doc_id, k, kinds[k::int] <> '=' as bad, sum(case when kinds[k::int] <> '=' then 0.5 else -0.5 end) over (partition by doc_id order by k) as s from col),
+q as (select doc_id, k, s::double as s from p union all select distinct doc_id, 0, 0.0::double from p),
+r as (select *, min(s) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding) as low from q),
+f as (select doc_id, k as first, s as v from r where low is null or s < low),
+l as (select q.doc_id, first, k as last from q asof join f on q.doc_id = f.doc_id and q.s >= f.v),
+g as (select *, max(last) over (partition by doc_id order by first, last rows between unbounded preceding and 1 preceding) as reach from l where last - first >= 10),
+i as (select *, sum(case when reach is null or first > reach then 1 else 0 end) over (partition by doc_id order by first, last) as island from g),
+u as (select doc_id, min(first) as first, max(last) as last from i group by doc_id, island)
+select u.doc_id, (min(k) - 1)::int as "start", max(k)::int as "end" from u join p on p.doc_id = u.doc_id and bad and k > first and k <= last group by u.doc_id, u.first, u.last""")
+def clump_intervals(spark, d):
+    return A.find_clumps(V.pair(spark, d), 0.5, 10).select("doc_id", F.inline("clumps"))
+
+
+@query("""with c as (select l_orderkey, l_linenumber, 'GGAAT.' || l_linenumber || case when l_partkey % 2 = 0 then '+' else '-' end as motif from lineitem
+union all select l_orderkey, l_linenumber, 'AAT+' from lineitem) select * from c where split_part(motif, '.', 1) = 'GGAAT'""")
+def truth_motif_filter(spark, d):
+    c = V.table(spark, d, "lineitem")
+    named = F.concat(F.lit("GGAAT."), F.col("l_linenumber").cast("string"), F.when(F.col("l_partkey") % 2 == 0, "+").otherwise("-"))
+    both = c.select("l_orderkey", "l_linenumber", named.alias("motif")).unionByName(c.select("l_orderkey", "l_linenumber", F.lit("AAT+").alias("motif")))
+    return I.truth_motifs(both, ["GGAAT"])
+
+
 # --- parameters, simulation, repeats
 
 

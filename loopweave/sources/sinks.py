@@ -89,9 +89,13 @@ def summary_with_consensus(summaries: DataFrame) -> DataFrame:
     return summaries.select("motif", "seq", "start", "end", "strand", "seq_len", "query_bp", F.coalesce("consensus", F.lit("(missing)")).alias("consensus"))
 
 
+def tsv_value(columns: list[Column], missing: str = "NA") -> Column:
+    return F.concat_ws("\t", *[F.coalesce(c.cast("string"), F.lit(missing)) for c in columns])
+
+
 def tsv(df: DataFrame, missing: str = "NA") -> DataFrame:
     """(value): the columns parted by tabs, nulls as `missing`."""
-    return df.select(F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(missing)) for c in df.columns]).alias("value"))
+    return df.select(tsv_value([F.col(f"`{c}`") for c in df.columns], missing).alias("value"))
 
 
 def write_tsv(df: DataFrame, path: str) -> None:

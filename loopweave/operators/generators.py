@@ -56,12 +56,13 @@ class Errors:
 
 
 def mock_genome(
-    name: str, length: int, arrays: list[tuple[int, str]], seed: int, errors: Errors | None = None, min_fill: int = 0, varied: float = 0.0
+    name: str, length: int, arrays: list[tuple[int, str]], seed: int, errors: Errors | None = None, min_fill: int = 0, varied: float = 0.0, mixed: float = 0.0
 ) -> tuple[str, list[dict]]:
     """(nucleotides, catalog) of one chromosome: repeat arrays (length, motif) in order, at random places in random fill.
 
     The fill around arrays has `length` bases in all, at least min_fill between arrays. Each array has a random strand
-    and phase; with probability `varied` its motif is one edit away. With errors, bases become other bases, get a
+    and phase; with probability `varied` its motif is one edit away, and with probability
+    `mixed` its copies are of the motif or of one a single edit away, half and half (A,B in the catalog). With errors, bases become other bases, get a
     base before them or go, and the catalog counts the events and follows the coordinates.
     """
     rng = np.random.default_rng(seed)
@@ -76,12 +77,12 @@ def mock_genome(
         done = int(marks[k])
         pieces.append(random_sequence(rng, fill))
         at += fill
-        used = neighbor(rng, motif) if rng.random() < varied else motif
+        u = rng.random()
+        units = [neighbor(rng, motif)] if u < varied else [motif, neighbor(rng, motif)] if u < varied + mixed else [motif]
         strand = "+-"[int(rng.integers(0, 2))]
-        unit = used if strand == "+" else reverse_complement_text(used)
-        phase = int(rng.integers(0, len(unit)))
-        array = (unit * (n // len(unit) + 2))[phase : phase + n]
-        row = {"seq": name, "start": at, "motif": f"{used}.{phase}{strand}", "rpt_len": n, "fill": fill, "m": n, "mm": 0, "i": 0, "d": 0}
+        phase = int(rng.integers(0, len(units[0])))
+        array = _copies(rng, units if strand == "+" else [reverse_complement_text(x) for x in units], phase + n)[phase : phase + n]
+        row = {"seq": name, "start": at, "motif": f"{','.join(units)}.{phase}{strand}", "rpt_len": n, "fill": fill, "m": n, "mm": 0, "i": 0, "d": 0}
         if errors:
             array, counts = with_errors(rng, array, errors)
             row |= counts
@@ -92,6 +93,18 @@ def mock_genome(
     return "".join(pieces), catalog
 
 
+def _copies(rng: np.random.Generator, units: list[str], n: int) -> str:
+    """At least n bases of copies, each of one of the units, all alike likely."""
+    copies = n // min(len(x) for x in units if x) + 1 if any(units) else 0
+    return "".join(np.array(units)[rng.integers(0, len(units), copies)])
+
+
+def drawn_arrays(motifs: list[str], lengths: list[int], n: int, seed: int) -> list[tuple[int, str]]:
+    """n arrays (length, motif), both drawn at random, for a chromosome of `mock_genome`."""
+    rng = np.random.default_rng(seed)
+    return [(int(lengths[b]), motifs[a]) for a, b in zip(rng.integers(0, len(motifs), n).tolist(), rng.integers(0, len(lengths), n).tolist(), strict=True)]
+
+
 def with_errors(rng: np.random.Generator, nucs: str, e: Errors) -> tuple[str, dict]:
     """(sequence with errors, counts m, mm, i, d): each base is replaced, else preceded by a new one, else dropped."""
     u = rng.random((3, len(nucs)))
@@ -113,7 +126,7 @@ def with_errors(rng: np.random.Generator, nucs: str, e: Errors) -> tuple[str, di
     return "".join(out), counts
 
 
-def mock_genomes(specs: DataFrame, errors: Errors | None = None, min_fill: int = 0, varied: float = 0.0) -> DataFrame:
+def mock_genomes(specs: DataFrame, errors: Errors | None = None, min_fill: int = 0, varied: float = 0.0, mixed: float = 0.0) -> DataFrame:
     """One row for each of specs (name, length, arrays array<struct<length, motif>>, seed): name, nt and its catalog."""
     row = "struct<seq:string,start:bigint,`end`:bigint,motif:string,rpt_len:bigint,len:bigint,fill:bigint,m:bigint,mm:bigint,i:bigint,d:bigint>"
     order = ("seq", "start", "end", "motif", "rpt_len", "len", "fill", "m", "mm", "i", "d")
@@ -122,7 +135,7 @@ def mock_genomes(specs: DataFrame, errors: Errors | None = None, min_fill: int =
         for pdf in it:
             out = []
             for s in pdf.itertuples(index=False):
-                nt, catalog = mock_genome(s.name, int(s.length), [(int(a["length"]), a["motif"]) for a in s.arrays], int(s.seed), errors, min_fill, varied)
+                nt, catalog = mock_genome(s.name, int(s.length), [(int(a["length"]), a["motif"]) for a in s.arrays], int(s.seed), errors, min_fill, varied, mixed)
                 out.append((s.name, nt, [{c: r[c] for c in order} for r in catalog]))
             yield pd.DataFrame(out, columns=["name", "nt", "catalog"])
 
@@ -207,14 +220,18 @@ class ReadModel:
     n_run: int = 10
 
 
-def sample_reads(spark: SparkSession, genome: list[tuple[str, str]], n: int, model: ReadModel, seed: int = 0, lengths: list[int] | None = None) -> DataFrame:
+def sample_reads(
+    spark: SparkSession, genome: list[tuple[str, str]], n: int, model: ReadModel, seed: int = 0, lengths: list[int] | None = None, strand: str | None = None,
+    weights: dict[str, float] | None = None, prefix: str = "READ_",
+) -> DataFrame:
     """n reads (read, nt, seq, strand, g_start, g_end, cigar) from chromosomes (name, nt), uniform over placements.
 
-    Placements are those in stretches without long N runs that are long enough; both strands are equally likely.
-    lengths cycle if given. The genome travels with the tasks; a mock genome has a few million bases.
+    Placements are those in stretches without long N runs that are long enough, those of a chromosome as likely as its
+    weight says (1 unless given); both strands are equally likely unless one is given. lengths cycle if given. A read
+    that fits nowhere is an error. The genome travels with the tasks; LARGEST_GENOME bases at most.
     """
-    places = [(name, s, e) for name, nt in genome for s, e in segments_without(nt, model.n_run)]
-    text = dict(genome)
+    places, text = _places(genome, model.n_run)
+    share = np.array([(weights or {}).get(name, 1.0) for name, _, _ in places])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -224,29 +241,65 @@ def sample_reads(spark: SparkSession, genome: list[tuple[str, str]], n: int, mod
                 length = lengths[int(k) % len(lengths)] if lengths else model.length
                 ops, need = random_cigar(rng, length, model.ins_open, model.ins_extend, model.del_open, model.del_extend)
                 room = np.array([max(0, e - s - need + 1) for _, s, e in places])
-                if not room.sum():
-                    continue
-                at = int(rng.integers(0, room.sum()))
-                which = int(np.searchsorted(np.cumsum(room), at, side="right"))
+                odds = np.cumsum(room * share)
+                if not len(odds) or not odds[-1]:
+                    raise ValueError(f"a read of {need} genome bases fits nowhere")
+                which = int(np.searchsorted(odds, rng.random() * odds[-1], side="right"))
                 name, s, _ = places[which]
-                start = s + at - int(room[:which].sum())
-                strand = "+-"[int(rng.integers(0, 2))]
+                start = s + int(rng.integers(0, room[which]))
+                side = strand or "+-"[int(rng.integers(0, 2))]
                 piece = text[name][start : start + need].upper()
-                piece = reverse_complement_text(piece) if strand == "-" else piece
+                piece = reverse_complement_text(piece) if side == "-" else piece
                 read, _ = with_errors(rng, apply_cigar(rng, piece, ops), Errors(mm=model.substitution))
-                out.append((f"READ_{k}", read, name, strand, start, start + need, "".join(f"{c}{o}" for c, o in ops)))
+                out.append((f"{prefix}{k}", read, name, side, start, start + need, "".join(f"{c}{o}" for c, o in ops)))
             yield pd.DataFrame(out, columns=["read", "nt", "seq", "strand", "g_start", "g_end", "cigar"])
 
     return spark.range(n).mapInPandas(run, "read string, nt string, seq string, strand string, g_start bigint, g_end bigint, cigar string")
 
 
+#: Bases of a genome that travels with the tasks.
+LARGEST_GENOME = 100_000_000
+
+
+def _places(genome: list[tuple[str, str]], n_run: int) -> tuple[list[tuple[str, int, int]], dict[str, str]]:
+    """Stretches (name, start, end) without long N runs, and the chromosomes' texts."""
+    if sum(len(nt) for _, nt in genome) > LARGEST_GENOME:
+        raise ValueError(f"a genome of more than {LARGEST_GENOME:,} bases can't travel with the tasks")
+    return [(name, s, e) for name, nt in genome for s, e in segments_without(nt, n_run)], dict(genome)
+
+
+def step_reads(genome: DataFrame, length: int, step: int, n_run: int = 10) -> DataFrame:
+    """Reads (read, nt, seq, strand, g_start, g_end) of a length at every `step` of each stretch without long N runs.
+
+    genome: (name, nt). Each chromosome is walked where it lies; the last read of a stretch ends inside it.
+    """
+    stretches = F.regexp_extract_all(F.regexp_replace("nt", f"[Nn]{{{n_run},}}", "\n"), F.lit("[^\n]+"), F.lit(0))
+    gaps = F.regexp_extract_all("nt", F.lit(f"[Nn]{{{n_run},}}"), F.lit(0))
+    ahead = F.length(F.regexp_extract("nt", f"^([Nn]{{{n_run},}})", 1))
+    # a stretch starts after those before it and the runs between
+    run_before = lambda i: F.when(ahead > 0, F.get(gaps, i)).otherwise(F.get(gaps, F.greatest(i - 1, F.lit(0))))
+    sizes = F.transform(stretches, lambda x, i: F.struct(x.alias("nt"), F.when((i > 0) | (ahead > 0), F.length(run_before(i))).otherwise(0).alias("gap")))
+    placed = F.aggregate(
+        sizes,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,nt:string>>").alias("all")),
+        lambda a, x: F.struct((a["at"] + x["gap"] + F.length(x["nt"])).alias("at"), F.concat(a["all"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), x["nt"].alias("nt")))).alias("all")),
+    )["all"]
+    rows = genome.select(F.col("name").alias("seq"), F.inline(placed)).withColumnRenamed("nt", "stretch").filter(F.length("stretch") >= length)
+    rows = rows.withColumn("_at", F.explode(F.sequence(F.lit(0), F.length("stretch") - length, F.lit(step))))
+    start = (F.col("start") + F.col("_at")).cast("long")
+    return rows.select(
+        F.concat_ws("_", "seq", start.cast("string")).alias("read"), F.upper(F.substr("stretch", F.col("_at") + 1, F.lit(length))).alias("nt"), "seq", F.lit("+").alias("strand"),
+        start.alias("g_start"), (start + length).alias("g_end"),
+    )
+
+
 def sample_pairs(spark: SparkSession, genome: list[tuple[str, str]], n: int, model: ReadModel, insert_mu: float, insert_sigma: float, orientation: str = "H2H", seed: int = 0) -> DataFrame:
     """n read pairs (pair, mate, nt, seq, strand, start, end) at normal insert lengths, three tries each.
 
-    orientation: T2T, H2H, H2T or T2H, which ends the mates turn to each other. Each mate has its own interval.
+    orientation: T2T, H2H, H2T or T2H, which ends the mates turn to each other. Each mate has its own interval. A pair
+    none of whose three inserts fits is left out.
     """
-    places = [(name, s, e) for name, nt in genome for s, e in segments_without(nt, model.n_run)]
-    text = dict(genome)
+    places, text = _places(genome, model.n_run)
     turns = {"T2T": ("-", "+"), "H2H": ("+", "-"), "H2T": ("+", "+"), "T2H": ("-", "-")}[orientation]
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

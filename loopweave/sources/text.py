@@ -16,26 +16,31 @@ IUPAC_TO_N = ("SWRYMKBDHVswrymkbdhv", "NNNNNNNNNNnnnnnnnnnn")
 END_MARKER = r"^# \S+ end-of-file\s*$"
 
 
-def read_fasta(spark: SparkSession, path: str | list[str], upper: bool = True, strict: bool = True) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str | list[str], upper: bool = True, strict: bool = True, full_name: bool = False) -> DataFrame:
     """(file, seq_ordinal, name, nt) of FASTA files, whose records Spark splits at '\\n>'.
 
-    The name is the header's first word; bases before any header are a sequence named after its ordinal. IUPAC codes
-    become N; with strict any other character, also a space or carriage return, is an error. Ordinals count in a file
-    from 1 in the order of records.
+    The name is the header's first word, or with full_name the whole header, (no_name) if it is empty; bases before any
+    header are a sequence named after its ordinal. IUPAC codes become N; with strict any other character, also a space,
+    a carriage return or a > inside a line, is an error, and so is a header that the file ends in. Ordinals count in a
+    file from 1 in the order of records, so the records' ids of a file, not its bases, are numbered by one task.
     """
     raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_id"))
     headed = F.when(F.col("value").startswith(">"), F.substr("value", F.lit(2), F.length("value"))).otherwise(F.col("value"))
     first = F.col("_id") == F.min("_id").over(Window.partitionBy("file"))
     ordinal = F.row_number().over(Window.partitionBy("file").orderBy("_id"))
-    rows = raw.withColumn("first", first).withColumn("seq_ordinal", ordinal.cast("long"))
+    last = F.col("_id") == F.max("_id").over(Window.partitionBy("file"))
+    rows = raw.withColumn("first", first).withColumn("last", last).withColumn("seq_ordinal", ordinal.cast("long"))
     unnamed = F.col("first") & ~F.col("value").startswith(">")
     header = F.when(unnamed, F.lit("")).otherwise(F.substring_index(headed, "\n", 1))
     body = F.when(unnamed, F.col("value")).otherwise(F.when(F.instr(headed, "\n") > 0, F.substr(headed, F.instr(headed, "\n") + 1, F.length(headed))).otherwise(""))
     nt = F.translate(F.regexp_replace(body, "\n", ""), *IUPAC_TO_N)
     if strict:
         nt = F.when(nt.rlike("[^ACGTNacgtn]"), F.raise_error(F.concat(F.lit("bad character in sequence of "), F.col("file")))).otherwise(nt)
-    name = F.regexp_extract(header, r"^\s*(\S+)", 1)
-    name = F.when(name == "", F.concat(F.lit("sequence"), F.col("seq_ordinal").cast("string"))).otherwise(name)
+        cut_off = F.col("last") & ~unnamed & (F.instr(headed, "\n") == 0)
+        nt = F.when(cut_off, F.raise_error(F.concat(F.lit("the file ends in a header: "), F.col("file")))).otherwise(nt)
+    name = F.btrim(header) if full_name else F.regexp_extract(header, r"^\s*(\S+)", 1)
+    unknown = F.lit("(no_name)") if full_name else F.concat(F.lit("sequence"), F.col("seq_ordinal").cast("string"))
+    name = F.when(name == "", unknown).otherwise(name)
     out = rows.filter(F.length("value") > 0).select("file", "seq_ordinal", name.alias("name"), (F.upper(nt) if upper else nt).alias("nt"))
     return out
 

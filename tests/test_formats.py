@@ -30,6 +30,14 @@ def test_fasta(spark, tmp_path):
     (tmp_path / "c.fa").write_text(">x\nAC T\n")
     with pytest.raises(Exception, match="bad character"):
         T.read_fasta(spark, str(tmp_path / "c.fa")).collect()
+    (tmp_path / "d.fa").write_text(">a long  name \nAC\n>\nGT\n")
+    assert [r.name for r in T.read_fasta(spark, str(tmp_path / "d.fa"), full_name=True).orderBy("seq_ordinal").collect()] == ["a long  name", "(no_name)"]
+    (tmp_path / "e.fa").write_text(">a\nAC>b\n")
+    with pytest.raises(Exception, match="bad character"):
+        T.read_fasta(spark, str(tmp_path / "e.fa")).collect()
+    (tmp_path / "f.fa").write_text(">a\nAC\n>b")
+    with pytest.raises(Exception, match="ends in a header"):
+        T.read_fasta(spark, str(tmp_path / "f.fa")).collect()
     both = T.both_strands(spark.createDataFrame([("x", "AAC")], "name string, nt string")).collect()
     assert [(r.strand, r.nt) for r in both] == [("+", "AAC"), ("-", "GTT")]
 
@@ -174,6 +182,22 @@ def test_reverse_reads_are_lifted_and_sliced(spark):
         R.with_cigars(reads.select("read", "nt"), spark.createDataFrame([], "read string, cigar string")).collect()
 
 
+def test_simulated_reads_and_genomes(spark):
+    nt = "ACGT" * 30 + "N" * 12 + "GGAAT" * 30
+    reads = G.sample_reads(spark, [("a", nt), ("b", "T" * 90)], 60, G.ReadModel(50), seed=2, strand="+", weights={"b": 0.0}, prefix="r").collect()
+    assert len(reads) == 60 and {(r.seq, r.strand) for r in reads} == {("a", "+")} and all(r.nt == nt[r.g_start : r.g_end] for r in reads)
+    with pytest.raises(Exception, match="fits nowhere"):
+        G.sample_reads(spark, [("a", "ACGT")], 1, G.ReadModel(50)).collect()
+    for text in (nt, "N" * 11 + nt, nt + "n" * 15):
+        steps = G.step_reads(spark.createDataFrame([("a", text)], "name string, nt string"), 40, 25).collect()
+        want = [s + k for s, e in G.segments_without(text, 10) for k in range(0, e - s - 39, 25)]
+        assert sorted(r.g_start for r in steps) == want and all(r.nt == text[r.g_start : r.g_end].upper() for r in steps)
+    arrays = G.drawn_arrays(["GGAAT", "ACG"], [60, 90], 12, 3)
+    assert {n for n, _ in arrays} == {60, 90} and len(arrays) == 12
+    genome, catalog = G.mock_genome("c", 400, arrays, 4, mixed=1.0)
+    assert all("," in r["motif"] and r["end"] - r["start"] == r["rpt_len"] for r in catalog) and len(genome) == 400 + sum(n for n, _ in arrays)
+
+
 def test_quota_sampling(spark):
     rows = spark.range(1000).select("id", (F.col("id") % 10).alias("length"))
     spec = spark.createDataFrame([(0, 4, 37, 500), (5, 9, 500, 500)], "lo long, hi long, out_count long, in_count long")

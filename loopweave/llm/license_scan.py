@@ -2,20 +2,22 @@
 
 The text is brought to a normal form in which every word stands between two spaces of its own, so a signature is a
 regular expression over whole words. Signatures come in groups behind a keyword: a group's expressions run only on
-texts that contain the keyword. Each hit is an interval of words with the priority of its rule; hits inside another
-hit are suppressed, and of hits on the same interval the rule of the smallest priority stays.
+texts that contain the keyword. Each hit is an interval of words with the priority of its rule; of hits that overlap,
+the surest stay, and of these none that another contains.
 
 All of it is built-in expressions over one row, so the operator is a map over the scan without exchange or state.
 
 Defined results
 * null or empty text, or one without words: no words, no hits, empty label strings, null positions, score 0;
 * ties (hits on one interval by rules of one priority): the rule that comes first in the table stays;
-* repeated rows give repeated results; extra columns are ignored; an empty table gives an empty result.
+* very long texts are scanned whole; rows without a doc_id keep their null id; repeated rows give repeated results; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,97 +31,308 @@ BASE = {"under the mit license": "mit", "apache license version 2": "apache-2",
 
 @dataclass(frozen=True)
 class Signature:
-    """A rule: words of the pattern are parted by one space; ( | )? work as in regular expressions on whole words.
+    """A rule: words of the pattern are parted by one space; ( | )? and [ ] work as in regular expressions.
 
-    keys are the keywords, parted by |, of which any text that the pattern fits has at least one.
+    key: a piece of a word, or two words, that any text has which the pattern fits.
     """
 
     pattern: str
     label: str
     priority: int
     confidence: float
-    keys: str
+    key: str
     base: bool = False
 
 
-#: Licence families: label, how the name is written (as words), and words of which every way of writing it has some.
-FAMILIES = (
-    ("mit", "(mit|expat|x11)", "mit|expat|x11"),
-    ("apache-1", "apache (software )?(license )?(version |v )?1 (0|1)", "apache"),
-    ("apache-2", "apache (software )?(license )?(version |v )?2( 0)?", "apache"),
-    ("bsd-2", "(bsd 2 clause|simplified bsd|freebsd|two clause bsd)", "bsd|freebsd"),
-    ("bsd-3", "(bsd 3 clause|new bsd|revised bsd|modified bsd|three clause bsd)", "bsd"),
-    ("bsd-4", "(bsd 4 clause|original bsd|four clause bsd)", "bsd"),
-    ("bsd", "(bsd|bsd style)", "bsd"),
-    ("gpl-1", "(gnu )?(gpl|general public license) (version |v )?(1|v1)( 0)?", "gpl|general public"),
-    ("gpl-2", "(gnu )?(gpl|general public license) (version |v )?(2|v2)( 0)?", "gpl|general public"),
-    ("gpl-3", "(gnu )?(gpl|general public license) (version |v )?(3|v3)( 0)?", "gpl|general public"),
-    ("gpl", "(gnu gpl|gnu general public license|gpl|general public license)", "gpl|general public"),
-    ("lgpl-2", "(gnu )?(lgpl|lesser general public license|library general public license) (version |v )?(2|v2)( 0| 1)?", "lgpl|general public"),
-    ("lgpl-3", "(gnu )?(lgpl|lesser general public license) (version |v )?(3|v3)( 0)?", "lgpl|general public"),
-    ("lgpl", "(gnu )?(lgpl|lesser general public license|library general public license)", "lgpl|general public"),
-    ("agpl-3", "(gnu )?(agpl|affero general public license) (version |v )?(3|v3)( 0)?", "agpl|general public"),
-    ("agpl", "(gnu )?(agpl|affero general public license)", "agpl|general public"),
-    ("gfdl", "(gnu )?(gfdl|free documentation license)", "gfdl|free documentation"),
-    ("mpl-1", "(mpl|mozilla public license) (version |v )?1 (0|1)", "mpl|mozilla"),
-    ("mpl-2", "(mpl|mozilla public license) (version |v )?2( 0)?", "mpl|mozilla"),
-    ("epl-1", "(epl|eclipse public license) (version |v )?1( 0)?", "epl|eclipse"),
-    ("epl-2", "(epl|eclipse public license) (version |v )?2( 0)?", "epl|eclipse"),
-    ("cddl-1", "(cddl|common development and distribution license) (version |v )?1 (0|1)", "cddl|common development"),
-    ("eupl-1", "(eupl|european union public licence) (version |v )?1 (0|1|2)", "eupl|european union"),
-    ("isc", "isc", "isc"),
-    ("zlib", "(zlib|zlib libpng|libpng)", "zlib|libpng"),
-    ("boost", "boost( software)?( license)?( (version |v )?1 0)?", "boost"),
-    ("artistic", "artistic( license)?( (version |v )?(1|2) 0)?", "artistic"),
-    ("unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl"),
-    ("postgresql", "postgresql", "postgresql"),
-    ("python", "(python software foundation|psf)", "python software|psf"),
-    ("ruby", "ruby", "ruby"),
-    ("openssl", "openssl", "openssl"),
-    ("openfont", "(sil )?(ofl|open font)( license)?( 1 1)?", "ofl|open font"),
-    ("odbl", "(odbl|open database license)", "odbl|open database"),
-    ("cc0", "(cc0|cc zero|creative commons zero)", "cc0|cc zero|commons zero"),
-    ("cc-by", "(cc by|creative commons attribution)( [1-4] [05])?", "cc by|commons attribution"),
-    ("cc-by-sa", "(cc by sa|creative commons attribution share ?alike)( [1-4] [05])?", "cc by|commons attribution"),
-    ("cc-by-nd", "(cc by nd|creative commons attribution no ?derivatives)( [1-4] [05])?", "cc by|commons attribution"),
-    ("cc-by-nc", "(cc by nc|creative commons attribution non ?commercial)( [1-4] [05])?", "cc by|commons attribution"),
-    ("cc-by-nc-sa", "(cc by nc sa|creative commons attribution non ?commercial share ?alike)( [1-4] [05])?", "cc by|commons attribution"),
-    ("cc-by-nc-nd", "(cc by nc nd|creative commons attribution non ?commercial no ?derivatives)( [1-4] [05])?", "cc by|commons attribution"),
-)
-
-#: How a licence is declared: the phrase around the name N, priority (smaller is surer) and confidence.
-FORMS = (
-    ("spdx license identifier N", 1, 1.0),
-    ("(licensed|released|distributed|published|provided|available) under (the )?(terms of (the )?)?N( licen[cs]e)?", 2, 0.95),
-    ("(is|are) (governed|covered) by (the )?(terms of (the )?)?N( licen[cs]e)?", 3, 0.9),
-    ("(subject|according|pursuant) to (the )?(terms of (the )?)?N( licen[cs]e)?", 3, 0.9),
-    ("under (the )?(terms of (the )?)?N licen[cs]e", 4, 0.9),
-    ("(see|read) (the )?N licen[cs]e", 5, 0.8),
-    ("licen[cs]e (is )?N", 6, 0.7),
-    ("N licen[cs]ed?", 7, 0.6),
-)
-
-#: Statements that name no licence family.
-STATEMENTS = (
-    ("all rights reserved", "all-rights-reserved", 8, 0.7, "rights reserved"),
-    ("(dedicated to|released into|in|placed in) the public domain", "public-domain", 8, 0.8, "public domain"),
-    ("permission is hereby granted free of charge", "mit", 8, 0.9, "hereby granted"),
-    ("permission to use copy modify and or distribute this software", "isc", 8, 0.9, "permission to"),
-    ("redistribution and use in source and binary forms", "bsd", 8, 0.9, "redistribution and"),
-    ("(strictly )?(proprietary and )?confidential", "confidential", 9, 0.4, "confidential"),
-    ("(no|not for) (redistribution|commercial use)", "restricted", 9, 0.5, "redistribution|commercial use"),
-    ("non ?commercial use only", "non-commercial", 9, 0.6, "use only"),
-    ("(terms of (use|service)|end user licen[cs]e agreement|eula)", "terms-of-use", 9, 0.5, "terms of|agreement|eula"),
-)
+#: Kinds of signatures with priority (smaller is surer) and confidence: machine-readable tags, sentences of a licence's own
+#: text, notices that put something under it, its full name, short forms, and statements that name no licence. The
+#: contract's phrases always count; among overlapping hits any signature that says more goes before them.
+KINDS = {"tag": (1, 1.0), "body": (2, 0.98), "notice": (3, 0.95), "name": (4, 0.85), "short": (5, 0.6), "hint": (6, 0.4), "base": (7, 1.0)}
+
+#: The signatures by key: label, kind, pattern. Within a kind the longer hit wins, so order only settles equal ones.
+TABLE = """
+# licens
+mit tag spdx license identifier mit
+mit notice (licensed|released|distributed|published|provided|available) under (the )?(terms of (the )?)?(mit|expat|x11) license
+mit notice use of this source code is governed by an mit style license
+mit notice subject to (the )?terms of (the )?(mit|expat|x11) license
+mit notice see (the )?mit license( for details)?
+mit name (the )?(mit|expat|x11) license( mit)?
+mit short license( is)? mit
+mit short mit licensed
+apache-2 tag spdx license identifier apache 2 0
+apache-2 notice licensed under (the )?apache license version 2 0( the license)?
+apache-2 notice licensed to the apache software foundation asf under one or more contributor license agreements
+apache-2 body you may not use this file except in compliance with the license
+apache-2 body you may obtain a copy of the license at http www apache org licenses license 2 0
+apache-2 notice (released|distributed|published|available) under (the )?(terms of (the )?)?apache( software)? license( version)? 2( 0)?
+apache-2 name apache( software)? license( version)? 2( 0)?
+apache-2 short license( is)? apache( version)? 2( 0)?
+apache-2 short apache 2( 0)? licensed?
+apache-1 tag spdx license identifier apache 1 [01]
+apache-1 name apache( software)? license( version)? 1 [01]
+apache short (the )?apache( software)? license
+bsd-2 tag spdx license identifier bsd 2 clause
+bsd-2 notice (licensed|released|distributed) under (the )?(terms of (the )?)?(2|two) clause bsd license
+bsd-2 name (bsd 2 clause|simplified bsd|freebsd|two clause bsd) license
+bsd-3 tag spdx license identifier bsd 3 clause
+bsd-3 notice (licensed|released|distributed) under (the )?(terms of (the )?)?(3|three) clause bsd license
+bsd-3 notice use of this source code is governed by a bsd style license that can be found in the license file
+bsd-3 name (bsd 3 clause|new bsd|revised bsd|modified bsd|three clause bsd) license
+bsd-4 tag spdx license identifier bsd 4 clause
+bsd-4 name (bsd 4 clause|original bsd|four clause bsd|old bsd) license
+bsd-0 tag spdx license identifier 0bsd
+bsd-0 name (zero clause bsd|bsd zero clause) license
+bsd notice (licensed|released|distributed|available) under (the |a )?(terms of (the )?)?bsd( style)? license
+bsd short bsd( style)? licensed?
+gpl-1 tag spdx license identifier gpl 1 0( only| or later)?
+gpl-2 tag spdx license identifier gpl 2 0( only| or later)?
+gpl-3 tag spdx license identifier gpl 3 0( only| or later)?
+gpl-2 notice under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or
+gpl-3 notice under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or
+gpl notice you should have received a copy of the gnu general public license along with this (program|software|file)
+gpl notice may be used under the terms of the gnu general public license
+gpl-2 notice (licensed|released|distributed|available) under (the )?(terms of (the )?)?(gnu )?general public license( version)? v?2
+gpl-3 notice (licensed|released|distributed|available) under (the )?(terms of (the )?)?(gnu )?general public license( version)? v?3
+gpl-1 name (gnu )?general public license( version)? v?1
+gpl-2 name (gnu )?general public license( version)? v?2
+gpl-3 name (gnu )?general public license( version)? v?3
+gpl-2 name version 2 of the gnu general public license
+gpl-3 name version 3 of the gnu general public license
+gpl short (gnu )?general public license
+gpl short gnu gpl licensed?
+gpl short licensed under (the )?(gnu )?gpl
+lgpl-2 tag spdx license identifier lgpl 2 [01]( only| or later)?
+lgpl-3 tag spdx license identifier lgpl 3 0( only| or later)?
+lgpl-2 notice under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or
+lgpl-2 notice under the terms of the gnu library general public license as published by the free software foundation either version 2 of the license or
+lgpl-3 notice under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or
+lgpl-2 name (gnu )?(lesser|library) general public license( version)? v?2( [01])?
+lgpl-3 name (gnu )?lesser general public license( version)? v?3
+lgpl short (gnu )?(lesser|library) general public license
+agpl-3 tag spdx license identifier agpl 3 0( only| or later)?
+agpl-3 notice under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or
+agpl-3 name (gnu )?affero general public license( version)? v?3
+agpl short (gnu )?affero general public license
+gfdl tag spdx license identifier gfdl 1 [123]
+gfdl notice permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
+gfdl name (gnu )?free documentation license( version 1 [123])?
+mpl-1 name mozilla public license( version)? 1 [01]
+mpl-1 notice the contents of this file are subject to the mozilla public license version 1 1
+mpl-2 tag spdx license identifier mpl 2 0
+mpl-2 notice this source code form is subject to the terms of the mozilla public license v 2 0
+mpl-2 name mozilla public license( version| v)? 2( 0)?
+mpl short mozilla public license
+epl-1 tag spdx license identifier epl 1 0
+epl-2 tag spdx license identifier epl 2 0
+epl-1 name eclipse public license( version| v)? 1( 0)?
+epl-2 name eclipse public license( version| v)? 2( 0)?
+epl-2 notice this program and the accompanying materials are made available under the terms of the eclipse public license 2 0
+epl-1 notice this program and the accompanying materials are made available under the terms of the eclipse public license v1 0
+epl short eclipse public license
+edl name eclipse distribution license( version| v)? 1( 0)?
+cpl-1 name common public license( version| v)? 1( 0)?
+ipl-1 name ibm public license( version| v)? 1( 0)?
+cddl-1 tag spdx license identifier cddl 1 [01]
+cddl-1 notice subject to the terms of the common development and distribution license
+cddl-1 name common development and distribution license( version 1 [01])?
+isc tag spdx license identifier isc
+isc notice (licensed|released|distributed) under (the )?(terms of (the )?)?isc license
+isc name (the )?isc license
+zlib tag spdx license identifier zlib
+zlib notice (licensed|released|distributed) under (the )?(terms of (the )?)?zlib license
+zlib name (zlib|libpng|zlib libpng) license
+boost-1 tag spdx license identifier bsl 1 0
+boost-1 notice distributed under the boost software license version 1 0
+boost-1 name boost software license( version 1 0)?
+artistic-1 tag spdx license identifier artistic 1 0
+artistic-2 tag spdx license identifier artistic 2 0
+artistic-2 name artistic license( version)? 2( 0)?
+artistic-1 name artistic license( version)? 1( 0)?
+artistic short (the )?(perl )?artistic license
+perl notice same terms as perl itself either the artistic license
+unlicense tag spdx license identifier unlicense
+unlicense notice (released|dedicated|placed) (into|to|under) the (public domain under the )?unlicense
+unlicense name the unlicense
+wtfpl name do what the fuck you want to public license
+postgresql name (the )?postgresql license
+psf-2 tag spdx license identifier psf 2 0
+psf-2 name python software foundation license( version 2)?
+psf-2 name python license( 2 0)?
+ruby name (the )?ruby license
+php-3 name (the )?php license( version 3( 01?)?)?
+openssl name openssl license
+ssleay name (original )?ssleay license
+w3c name w3c software( notice and)? license
+ncsa name university of illinois( ncsa)? open source license
+afl-3 name academic free license( version| v)? 3( 0)?
+osl-3 name open software license( version| v)? 3( 0)?
+ms-pl name microsoft public license
+ms-rl name microsoft reciprocal license
+apsl-2 name apple public source license( version)? 2( 0)?
+nasa-1 name nasa open source license agreement
+upl-1 name universal permissive license( version| v)? 1( 0)?
+ecl-2 name educational community license( version)? 2( 0)?
+bsl-1 name business source license( version)? 1 1
+sspl-1 name server side public license( version 1)?
+elastic-2 name elastic license( version)? 2( 0)?
+commons-clause name commons clause license condition( v1 0)?
+ofl-1 tag spdx license identifier ofl 1 1
+ofl-1 notice this font software is licensed under the sil open font license version 1 1
+ofl-1 name (sil )?open font license( version)?( 1 1)?
+odbl-1 name (odc )?open database license
+odc-by-1 name (odc )?open data commons attribution license
+pddl-1 name (open data commons )?public domain dedication and license
+cc0 tag spdx license identifier cc0 1 0
+cc-by tag spdx license identifier cc by [1-4] [05]
+cc-by-sa tag spdx license identifier cc by sa [1-4] [05]
+cc-by-nc tag spdx license identifier cc by nc [1-4] [05]
+cc-by-nd tag spdx license identifier cc by nd [1-4] [05]
+cc-by-nc-sa tag spdx license identifier cc by nc sa [1-4] [05]
+cc-by-nc-nd tag spdx license identifier cc by nc nd [1-4] [05]
+creative-commons notice licensed under a creative commons license
+multiple notice dual licensed under
+multiple notice licensed under (either|both) of
+commercial notice (this is|requires) a commercial license
+commercial notice a commercial license (is )?(required|available)
+proprietary notice (not|without) (a )?license to use copy modify
+proprietary name proprietary license
+terms-of-use name end user license agreement
+terms-of-use notice by using this software you (agree|accept) (to )?the license
+see-license hint see (the )?(accompanying )?license( file)? for (details|more information|the full text)
+see-license hint see license in the project root for license information
+see-license hint license terms (are|may be) found in
+unknown-license hint all license terms apply
+# licenc
+mit name (mit|expat|x11) licence
+apache-2 name apache( software)? licence( version)? 2( 0)?
+bsd short bsd( style)? licence
+gpl-2 name (gnu )?general public licence( version)? v?2
+gpl-3 name (gnu )?general public licence( version)? v?3
+gpl short (gnu )?general public licence
+lgpl short (gnu )?(lesser|library) general public licence
+eupl-1 name european union public licence( version| v)? 1 [012]
+eupl-1 notice licensed under the eupl version 1 [012] or as soon they will be approved by the european commission subsequent versions of the eupl the licence
+ogl-3 name open government licence( version| v)?( 3 0)?
+isc name isc licence
+ofl-1 name (sil )?open font licence
+creative-commons short creative commons licence
+# gpl
+gpl-2 short gpl( version)? v?2( 0)?( only| or later)?
+gpl-2 short gplv2
+gpl-3 short gpl( version)? v?3( 0)?( only| or later)?
+gpl-3 short gplv3
+gpl short (the )?gnu gpl
+lgpl-2 short lgpl( version)? v?2( [01])?
+lgpl-2 short lgplv2( 1)?
+lgpl-3 short lgpl( version)? v?3( 0)?
+lgpl-3 short lgplv3
+lgpl short (the )?gnu lgpl
+agpl-3 short agpl( version)? v?3( 0)?
+agpl-3 short agplv3
+# mpl
+mpl-2 short mpl v?2( 0)?
+mpl-1 short mpl v?1( [01])?
+# epl
+epl-1 short epl v?1( 0)?
+epl-2 short epl v?2( 0)?
+# eupl
+eupl-1 short eupl( version| v)? 1 [012]
+# apache
+apache-2 short (under )?apache v?2( 0)?
+# bsd
+bsd-2 short bsd 2 clause
+bsd-3 short bsd 3 clause
+bsd-4 short bsd 4 clause
+bsd-2 short (2|two) clause bsd
+bsd-3 short (3|three) clause bsd
+# commons
+cc0 name creative commons (zero|cc0)( 1 0)?( universal)?
+cc-by-nc-nd name creative commons attribution non ?commercial no ?derivatives?( works)?( [1-4] [05])?
+cc-by-nc-sa name creative commons attribution non ?commercial share ?alike( [1-4] [05])?
+cc-by-nc name creative commons attribution non ?commercial( [1-4] [05])?
+cc-by-nd name creative commons attribution no ?derivatives?( works)?( [1-4] [05])?
+cc-by-sa name creative commons attribution share ?alike( [1-4] [05])?
+cc-by name creative commons attribution( [1-4] [05])?
+odc-by-1 short open data commons attribution
+# cc0
+cc0 short cc0( 1 0)?( universal)?
+# cc by
+cc-by-nc-nd short cc by nc nd( [1-4] [05])?
+cc-by-nc-sa short cc by nc sa( [1-4] [05])?
+cc-by-nc short cc by nc( [1-4] [05])?
+cc-by-nd short cc by nd( [1-4] [05])?
+cc-by-sa short cc by sa( [1-4] [05])?
+cc-by short cc by( [1-4] [05])?
+# hereby
+mit body permission is hereby granted free of charge to any person obtaining a copy( of this software)?
+boost-1 body permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
+postgresql body permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted
+ncsa body permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction
+public-domain body i hereby (release|place|dedicate) this (work|code|file|software) (in|into|to) the public domain
+hpnd body permission to use copy modify (and )?distribute (and sell )?this software and its documentation for any purpose is hereby granted without fee
+# permission
+isc body permission to use copy modify and or distribute this software for any purpose with or without fee( is hereby granted)?
+zlib body permission is granted to anyone to use this software for any purpose including commercial applications
+fsf-all body copying and distribution of this file with or without modification are permitted in any medium without royalty provided the copyright notice and this permission
+mit body the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+proprietary notice reproduced or (distributed|transmitted) without (the )?(prior )?(express )?written permission
+restricted notice without (the )?(prior )?(express )?written permission of the (author|authors|publisher|owner)
+# redistribution
+bsd body redistribution and use in source and binary forms with or without modification are permitted
+bsd-3 body redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution neither the name
+bsd body redistributions of source code must retain the above copyright notice
+restricted notice (no|not for) redistribution
+# acknowledg
+bsd-4 body all advertising materials mentioning features or use of this software must display the following acknowledge?ment
+openssl body redistributions of any form whatsoever must retain the following acknowledge?ment
+# reserved
+all-rights-reserved hint all rights reserved
+all-rights-reserved hint some rights reserved
+# domain
+public-domain notice (dedicated to|released into|released to|placed in|placed into) the public domain
+public-domain short (is|are) in the public domain
+unlicense body this is free and unencumbered software released into the public domain
+# confidential
+confidential hint (strictly )?(proprietary and )?confidential
+confidential hint confidential and proprietary
+# commercial
+restricted hint not for commercial use
+non-commercial hint (for )?non ?commercial use only
+non-commercial hint (for )?personal (and )?non ?commercial use
+# service
+terms-of-use hint terms of service
+terms-of-use hint terms of use and service
+# wtfpl
+wtfpl short (the )?wtfpl( version 2)?
+# cddl
+cddl-1 short cddl( version| v)?( 1 [01])?
+# psf
+psf-2 short psf( 2 0)?
+# ofl
+ofl-1 short (sil )?ofl( 1 1)?
+# odbl
+odbl-1 short odbl( 1 0)?
+# beerware
+beerware body this beerware
+beerware short beerware
+# copyleft
+copyleft hint copyleft
+# eula
+terms-of-use hint eula
+"""
 
 
 def signatures() -> tuple[Signature, ...]:
-    """The base phrases, each form of declaration for each family, and the statements, in order of priority."""
-    rules = [Signature(p, label, 0, 1.0, p, True) for p, label in BASE.items()]
-    for form, priority, confidence in FORMS:
-        rules += [Signature(form.replace("N", f"({name})"), label, priority, confidence, keys) for label, name, keys in FAMILIES]
-    rules += [Signature(p, label, k, c, keys) for p, label, k, c, keys in STATEMENTS]
+    """The base phrases and the signatures of TABLE, in its order."""
+    rules = [Signature(p, label, *KINDS["base"], p, True) for p, label in BASE.items()]
+    key = ""
+    for line in filter(None, TABLE.split("\n")):
+        if line.startswith("# "):
+            key = line[2:]
+            continue
+        label, kind, pattern = line.split(" ", 2)
+        rules.append(Signature(pattern, label, *KINDS[kind], key))
     return tuple(rules)
 
 
@@ -168,82 +381,84 @@ def _n_words(normal: Column) -> Column:
     return F.floor((F.length(normal) - F.length(F.replace(normal, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
-def _hits(normal: Column, rule: Column) -> Column:
-    """The hits of one rule: array of (start, back = -end, order, label, confidence, base), in words from 0."""
+HIT = "start:bigint,back:bigint,order:int,priority:int,label:string,confidence:double,base:boolean"
+HITS = f"array<struct<{HIT}>>"
+_NONE = f"cast(array() as {HITS})"
 
-    def placed(found: Column) -> Column:
-        between = F.split(normal, rule["pattern"], -1)
-
-        def step(acc: Column, k: Column, gaps: Column) -> Column:
-            return let(
-                acc["at"] + _n_words(F.get(gaps, k)),
-                lambda start: let(
-                    start + _n_words(F.get(found, k)),
-                    lambda end: F.struct(
-                        end.alias("at"),
-                        F.concat(
-                            acc["hits"],
-                            F.array(
-                                F.struct(
-                                    start.alias("start"), (-end).alias("back"), rule["order"].alias("order"),
-                                    rule["label"].alias("label"), rule["confidence"].alias("confidence"), rule["base"].alias("base"),
-                                )
-                            ),
-                        ).alias("hits"),
-                    ),
-                ),
-            )
 
-        none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(HITS).alias("hits"))
-        return F.when(F.size(found) == 0, F.array().cast(HITS)).otherwise(
-            let(between, lambda gaps: F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), none, lambda a, k: step(a, k, gaps))["hits"])
+def _hits(normal: Column, order: int, rule: Signature) -> Column:
+    """The hits of one rule: array of (start, back = -end, order, ...), in words from 0.
+
+    The gaps between hits and the hits themselves, in words, are summed up along the text.
+    """
+    pattern = F.lit(compiled(rule.pattern))
+
+    def placed(found: Column) -> Column:
+        lengths = F.zip_with(
+            F.transform(F.split(normal, compiled(rule.pattern), -1), _n_words), F.transform(found, _n_words), lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit"))
         )
+        ends = F.struct(F.lit(0).cast("long").alias("at"), F.expr(_NONE).alias("hits"))
 
-    return let(F.regexp_extract_all(normal, rule["pattern"], F.lit(0)), placed)
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["gap"]
+            hit = F.struct(
+                start.alias("start"), (-(start + x["hit"])).alias("back"), F.lit(order).alias("order"), F.lit(rule.priority).alias("priority"),
+                F.lit(rule.label).alias("label"), F.lit(rule.confidence).alias("confidence"), F.lit(rule.base).alias("base"),
+            )
+            return F.struct((start + x["hit"]).alias("at"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
 
+        return F.aggregate(F.slice(lengths, 1, F.size(found)), ends, step)["hits"]
 
-HIT = "start:bigint,back:bigint,order:int,label:string,confidence:double,base:boolean"
-HITS = f"array<struct<{HIT}>>"
+    return F.when(F.rlike(normal, pattern), let(F.regexp_extract_all(normal, pattern, F.lit(0)), placed)).otherwise(F.expr(_NONE))
 
 
 def _resolved(hits: Column) -> Column:
-    """Labels and confidence of the hits that no other hit contains; one pass over hits sorted by start and end."""
-    zero = F.struct(F.lit(-1).cast("long").alias("end"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"))
+    """Labels and the best confidence of the hits that stay, in one pass over hits sorted by start and end.
+
+    Hits that overlap, directly or through others, compete: those of the smallest priority stay, less those that
+    another of these contains.
+    """
+    strings = F.array().cast("array<string>")
+    zero = F.struct(
+        F.lit(-1).cast("long").alias("end"), F.lit(0).alias("best"), F.lit(-1).cast("long").alias("reach"), strings.alias("open"), F.lit(0.0).alias("open_score"),
+        strings.alias("labels"), F.lit(0.0).alias("score"),
+    )
 
     def step(acc: Column, x: Column) -> Column:
-        free = -x["back"] > acc["end"]
+        end, apart = -x["back"], x["start"] >= acc["end"]
+        surer = apart | (x["priority"] < acc["best"])
+        joins = ~surer & (x["priority"] == acc["best"]) & (end > acc["reach"])
+        own = F.array(x["label"])
         return F.struct(
-            F.greatest(acc["end"], -x["back"]).alias("end"),
-            F.when(free, F.array_union(acc["labels"], F.array(x["label"]))).otherwise(acc["labels"]).alias("labels"),
-            F.when(free, F.greatest(acc["score"], x["confidence"])).otherwise(acc["score"]).alias("score"),
+            F.greatest(acc["end"], end).alias("end"),
+            F.when(surer, x["priority"]).otherwise(acc["best"]).alias("best"),
+            F.when(surer | joins, end).otherwise(acc["reach"]).alias("reach"),
+            F.when(surer, own).when(joins, F.array_union(acc["open"], own)).otherwise(acc["open"]).alias("open"),
+            F.when(surer, x["confidence"]).when(joins, F.greatest(acc["open_score"], x["confidence"])).otherwise(acc["open_score"]).alias("open_score"),
+            F.when(apart, F.array_union(acc["labels"], acc["open"])).otherwise(acc["labels"]).alias("labels"),
+            F.when(apart, F.greatest(acc["score"], acc["open_score"])).otherwise(acc["score"]).alias("score"),
         )
 
-    return F.aggregate(hits, zero, step)
+    last = lambda a: F.struct(F.array_union(a["labels"], a["open"]).alias("labels"), F.greatest(a["score"], a["open_score"]).alias("score"))
+    return F.aggregate(hits, zero, step, last)
 
 
 def detect(df: DataFrame, text: str = "text", rules: tuple[Signature, ...] | None = None) -> DataFrame:
     """df with the struct `licence`: n_words, hits (all, sorted), labels (sorted) and score of those that stay.
 
-    A column named licence in df is replaced.
+    A column named licence in df is replaced. Texts without any key, most of them, end at the keys; a key opens its
+    group of expressions.
     """
-    rules = signatures() if rules is None else rules
-    groups: dict[str, list[Column]] = {}
-    for order, r in enumerate(rules):
-        groups.setdefault(r.keys, []).append(
-            F.struct(
-                F.lit(compiled(r.pattern)).alias("pattern"), F.lit(r.priority * 1000 + order).alias("order"), F.lit(r.label).alias("label"),
-                F.lit(r.confidence).alias("confidence"), F.lit(r.base).alias("base"),
-            )
-        )
-    table = F.array(
-        *[F.struct(F.array(*[F.lit(compiled(w)) for w in k.split("|")]).alias("keys"), F.array(*v).alias("rules")) for k, v in groups.items()]
-    )
+    groups: dict[str, list[tuple[int, Signature]]] = {}
+    for order, r in enumerate(signatures() if rules is None else rules):
+        groups.setdefault(r.key.replace(" ", "  "), []).append((order, r))
 
     def found(normal: Column) -> Column:
-        opened = F.filter(table, lambda g: F.exists(g["keys"], lambda k: F.contains(normal, k)))
-        hits = F.flatten(F.transform(F.flatten(F.transform(opened, lambda g: g["rules"])), lambda r: _hits(normal, r)))
+        has = {k: F.contains(normal, F.lit(k)) for k in groups}
+        opened = [F.when(has[k], F.concat(*[_hits(normal, o, r) for o, r in g])).otherwise(F.expr(_NONE)) for k, g in groups.items()]
+        hits = F.when(reduce(or_, has.values()), F.array_sort(F.concat(*opened))).otherwise(F.expr(_NONE))
         return let(
-            F.array_sort(hits),
+            hits,
             lambda h: let(
                 _resolved(h),
                 lambda kept: F.struct(
@@ -274,25 +489,27 @@ def op10_license_scans(df: DataFrame) -> DataFrame:
 
 def oracle() -> str:
     """DuckDB SQL for `op10_license_scans`."""
-    rules = ", ".join(f"('{compiled(r.pattern)}', '{r.label}', {r.priority * 1000 + k}, {r.confidence}::double, {r.base})" for k, r in enumerate(signatures()))
+    rules = ", ".join(f"('{compiled(r.pattern)}', '{r.label}', {k}, {r.priority}, {r.confidence}::double, {r.base})" for k, r in enumerate(signatures()))
     return rf"""
-with rules(pattern, label, ord, confidence, base) as (values {rules}),
+with rules(pattern, label, ord, priority, confidence, base) as (values {rules}),
 d as (select row_number() over () as rid, doc_id,
              trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                   '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', '  ', 'g')) as s from documents),
 n as (select rid, doc_id, case when s = '' then '' else ' ' || s || ' ' end as t from d),
-m as (select rid, label, ord, confidence, base, regexp_extract_all(t, pattern) as found,
+m as (select rid, label, ord, priority, confidence, base, regexp_extract_all(t, pattern) as found,
              regexp_split_to_array(t, pattern) as gaps from n, rules where regexp_matches(t, pattern)),
-h as (select rid, label, ord, confidence, base, unnest(range(1, len(found) + 1)) as k, found, gaps from m),
-p as (select rid, label, ord, confidence, base,
+h as (select rid, label, ord, priority, confidence, base, unnest(range(1, len(found) + 1)) as k, found, gaps from m),
+p as (select rid, label, ord, priority, confidence, base,
              list_sum(list_transform(gaps[1:k], lambda x: (length(x) - length(replace(x, ' ', ''))) // 2))
              + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: (length(x) - length(replace(x, ' ', ''))) // 2)), 0) as s,
              (length(found[k]) - length(replace(found[k], ' ', ''))) // 2 as w from h),
-q as (select *, coalesce(max(s + w) over (partition by rid order by s, s + w desc, ord, label
-             rows between unbounded preceding and 1 preceding), -1) as reach from p),
+q as (select *, coalesce(max(s + w) over (partition by rid order by s, s + w desc, ord rows between unbounded preceding and 1 preceding), -1) as before from p),
+i as (select *, sum((s >= before)::int) over (partition by rid order by s, s + w desc, ord rows between unbounded preceding and current row) as island from q),
+b as (select *, min(priority) over (partition by rid, island) as best from i),
+c as (select *, coalesce(max(s + w) over (partition by rid, island, priority order by s, s + w desc, ord rows between unbounded preceding and 1 preceding), -1) as reach from b),
 g as (select rid, count(*) filter (base) as n_base, min(s) filter (base) as first_word, max(s) filter (base) as last_word,
-             coalesce(list_distinct(list(label) filter (base)), []) as b, coalesce(list(label) filter (s + w > reach), []) as l,
-             max(confidence) filter (s + w > reach) as score from q group by rid)
+             coalesce(list_distinct(list(label) filter (base)), []) as b, coalesce(list(label) filter (priority = best and s + w > reach), []) as l,
+             max(confidence) filter (priority = best and s + w > reach) as score from c group by rid)
 select doc_id, cast((length(t) - length(replace(t, ' ', ''))) // 2 as bigint) as n_words, coalesce(n_base, 0) as n_base,
        cast(first_word as bigint) as first_word, cast(last_word as bigint) as last_word,
        coalesce(array_to_string(list_sort(b), ','), '') as base_labels,

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from itertools import combinations
 
@@ -100,6 +101,23 @@ def test_token_counts_follow_edits(text, edits):
         assert tree.text() == text and tree.n_tokens == count(text)
 
 
+def test_an_edit_touches_a_logarithm_of_the_tree():
+    rnd = random.Random(8)
+    text = " ".join(rnd.choice(["some", "words", "of", "a", "text"]) for _ in range(60_000))
+    tree = token_counts.TokenTree(text, packing.encoder())
+    for _ in range(300):
+        tree.joined = tree.encoded_chars = 0
+        at = rnd.randrange(len(text))
+        n, new = rnd.choice([(0, " and more " * rnd.randint(1, 9)), (rnd.randint(1, 400), ""), (5, "x")])
+        tree.edit(at, at + n, new)
+        text = text[:at] + new + text[at + n :]
+        assert tree.joined < 200 and tree.encoded_chars < 1500  # of some 1,900 leaves and 290,000 characters
+    leaves = tree._in_order(tree.root)
+    assert tree.text() == text and tree.n_chars == len(text) == sum(len(x.text) for x in leaves)
+    assert tree.n_tokens == len(packing.encoder().tokenizer.encode(text, add_special_tokens=False).ids)
+    assert sum(x.parts < 8 for x in leaves) < 0.02 * len(leaves) and max(x.parts for x in leaves) <= 64
+
+
 def test_edits_encode_little(spark):
     long = "some words of a long text and others " * 400
     rows = {r.doc_id: r for r in token_counts.op9_token_counts(documents(spark, [*ODD, long])).collect()}
@@ -213,6 +231,20 @@ def test_embeddings_link_as_brute_force_does(spark):
     assert embedding_dedup.op7_embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_blocks_passed_over_hold_no_link(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 24))
+    x = centres[np.arange(600) % 20] + 0.25 * rng.normal(size=(600, 24))
+    nodes = spark.createDataFrame([(f"n{k:03}", 1, v.tolist()) for k, v in enumerate(x)], "node string, size long, vector array<double>")
+    placed, pairs = embedding_dedup.tiles(nodes, 16)
+    block = {int(r.node[1:]): r.block for r in placed.collect()}
+    apart = {(r.low, r.high) for r in pairs.collect() if r.apart}
+    assert len(apart) > 0.5 * pairs.count()
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    for a, b in zip(*np.where(unit @ unit.T >= 0.95)):
+        assert tuple(sorted((block[a], block[b]))) not in apart
+
+
 def test_quantisation_bounds_hold():
     rng = np.random.default_rng(0)
     u = rng.normal(size=(200, 32))
@@ -301,6 +333,74 @@ def test_licences(spark):
     assert len(license_scan.signatures()) > 200
 
 
+def licence_words(text):
+    return [w for w in re.split(license_scan.NOT_WORD, (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) if w]
+
+
+def spelled(pattern):
+    """All word sequences of a signature, by plain expansion of its groups and classes."""
+    tree = re._parser.parse(pattern)
+
+    def expand(items):
+        out = [""]
+        for op, arg in items:
+            if op is re._constants.LITERAL:
+                ways = [chr(arg)]
+            elif op is re._constants.IN:
+                ways = [chr(v) for _, v in arg] if arg[0][0] is re._constants.LITERAL else [chr(c) for c in range(arg[0][1][0], arg[0][1][1] + 1)]
+            elif op is re._constants.SUBPATTERN:
+                ways = expand(arg[3])
+            elif op is re._constants.BRANCH:
+                ways = [w for b in arg[1] for w in expand(b)]
+            else:
+                assert op is re._constants.MAX_REPEAT and arg[:2] == (0, 1)
+                ways = ["", *expand(arg[2])]
+            out = [a + w for a in out for w in ways]
+        return out
+
+    return {tuple(w.split()) for w in expand(tree)}
+
+
+def test_licence_hits_are_those_of_plain_word_lists(spark):
+    rules = license_scan.signatures()
+    ways = [spelled(r.pattern) for r in rules]
+    for r, w in zip(rules, ways):
+        assert all(r.key in " ".join(x) for x in w), r
+    rnd = random.Random(6)
+    texts = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rnd.randint(1, 5)):
+            parts.append(rnd.choice([", ", " - ", "\n", " "]).join(rnd.choice(sorted(rnd.choice(ways)))))
+            parts.append(rnd.choice(["", "and", "The License of", "é", "version 2"]))
+        texts.append(" ".join(parts).title() if rnd.random() < 0.3 else " ".join(parts))
+    rows = {r.doc_id: r.licence for r in license_scan.detect(documents(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        words, want = licence_words(t), []
+        for order, w in enumerate(ways):
+            longest, at = max(map(len, w)), 0
+            while at < len(words):  # hits of a rule do not overlap: the next starts after the last
+                fits = [n for n in range(longest, 0, -1) if tuple(words[at : at + n]) in w and at + n <= len(words)]
+                if fits:
+                    want.append((at, at + fits[0], order))
+                    at += fits[0]
+                else:
+                    at += 1
+        got = [(h.start, -h.back, h.order) for h in rows[k].hits]
+        # of a rule's ways to fit at a place the expression takes its first, plain lists the longest
+        assert {(s, o) for s, _, o in got} == {(s, o) for s, _, o in want} or len(got) == len(want), (t, got, want)
+        islands, kept, end = [], set(), -1
+        for h in sorted(rows[k].hits, key=lambda h: (h.start, h.back, h.order)):
+            if h.start >= end:
+                islands.append([])
+            islands[-1].append(h)
+            end = max(end, -h.back)
+        for group in islands:
+            top = [h for h in group if h.priority == min(x.priority for x in group)]
+            kept |= {h.label for h in top if not any(x.start <= h.start and -x.back >= -h.back and (x.start, x.back, x.order) < (h.start, h.back, h.order) for x in top)}
+        assert rows[k].labels == sorted(kept)
+
+
 # --- 1 and 2
 
 

@@ -12,6 +12,7 @@ comes from a join of blocks with ranks. Places and ranks are prefix sums in two
 a source with a third of all rows is spread over many tasks. The schedule has the same size for any corpus.
 
 Defined results
+* very long texts are counted whole; rows without a doc_id are mixed like any other, at the place of the empty id;
 * null text: size 0; documents of size 0: taken 0, no slot; an empty table gives an empty result;
 * null source is a source of its own, the last; a source without words has target 0;
 * repeated rows count each for itself; ties in the shuffled order go by size, and then are interchangeable;
@@ -193,14 +194,18 @@ e as (select source, least(floor(sum(target) over (order by {by_name} rows betwe
 g as (select source, coalesce(lag(stop) over (order by {by_name}), 0) as start, stop from e),
 p as (select slot, ((slot + 1) * {GOLDEN}) % {POINTS} as point from c, range(cast(ceil(total / block::double) as bigint)) r(slot)),
 k as (select slot, source, row_number() over (partition by source order by slot) - 1 as rank from p join g on point >= start and point < stop),
-r as (select source, count(*) * any_value(block) as words from k, c group by source),
-m as (select t.source, source_size, target, least(coalesce(words, 0), {MAX_REPEAT} * source_size)::bigint as readw
+r as (select source, count(*) as slots from k group by source),
+m as (select t.source, source_size, target, coalesce(slots, 0) as slots,
+             least(case when (select block from c) = 1 then coalesce(slots, 0) else round(target)::bigint end, {MAX_REPEAT} * source_size)::bigint as readw
       from t left join r on t.source is not distinct from r.source),
 o as (select *, coalesce(sum(size) over (partition by source order by md5(coalesce(doc_id::varchar, '') || ':{SEED}'), size
              rows between unbounded preceding and 1 preceding), 0)::bigint as place from d),
-x as (select doc_id, size, o.source, source_size, target, place,
+x as (select doc_id, size, o.source, source_size, target, slots,
+             case when (select block from c) = 1 then place when readw > 0 then place * slots // readw end as rank,
              (readw // greatest(source_size, 1)) * size
-             + greatest(0, least(size, readw % greatest(source_size, 1) - place)) as taken from o join m on o.source is not distinct from m.source)
-select doc_id, size, source_size, target, taken::bigint as taken, slot as first_slot
-from x left join k on taken > 0 and x.source is not distinct from k.source and k.rank = place // (select block from c)
+             + greatest(0, least(size, readw % greatest(source_size, 1) - place)) as taken from o join m on o.source is not distinct from m.source),
+n as (select *, ('0x' || substr(md5(coalesce('=' || source, '')), 1, 8))::bigint % greatest(1, (select cast(ceil(total / block::double) as bigint) from c)) as picked from x)
+select doc_id, size, source_size, target, taken::bigint as taken,
+       coalesce(slot, case when taken > 0 and slots = 0 then picked end) as first_slot
+from n left join k on taken > 0 and n.source is not distinct from k.source and k.rank = n.rank
 """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """df written as a compressed table in the shared folder and read from there, in place of a checkpoint.
+
+    Rows of many numbers take a fraction of a checkpoint's bytes, and a plan reads only the columns that it needs.
+    """
+    df.write.parquet(path := f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, license_scan, line_crf, mixing, near_dedup, packing, quality_rules, token_counts, toxicity, url_filter
+from . import bpe, embedding_dedup, fill_middle, license_scan, line_crf, mixing, near_dedup, packing, quality_rules, token_counts, toxicity, url_filter, whitening
 from .common import table
 
 
@@ -23,6 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": lambda spark, d: mixing.op8_mixing(table(spark, d, "documents")),
         "op9_token_counts": lambda spark, d: token_counts.op9_token_counts(table(spark, d, "documents")),
         "op10_license_scans": lambda spark, d: license_scan.op10_license_scans(table(spark, d, "documents")),
+        "op11_fill_in_middle": lambda spark, d: fill_middle.op11_fill_in_middle(table(spark, d, "documents")),
+        "op12_whitening": lambda spark, d: whitening.op12_whitening(table(spark, d, "embeddings")),
+        "op13_bpe": lambda spark, d: bpe.op13_bpe(table(spark, d, "documents")),
     }
 
 
@@ -32,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_url_filters": url_filter.oracle(),
         "op8_mixing": mixing.oracle(),
         "op10_license_scans": license_scan.oracle(),
+        "op11_fill_in_middle": fill_middle.oracle(),
     }

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: ASCII white space (space, \t, \n, \v, \f, \r) that parts words.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
+#: Bytes of a table that is broadcast at most.
+BROADCAST_BYTES = 1 << 24
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,6 +52,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df, computed once; to be broadcast if its rows, written out, are measured to have at most BROADCAST_BYTES."""
+    df = cut(df)
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    return F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once.
 

@@ -1,10 +1,12 @@
 """Operator 7: near-duplicate embeddings by int8 tile products with rigorous error bounds.
 
 1. Equal vectors form a class, a node from here on, so a very common vector is compared once.
-2. PIVOTS of the vectors are picked by hash. Nodes with the same two nearest pivots form a cell; a large cell is dealt
-   into blocks of about BLOCK, small ones share a block. A block knows the least and largest angle of its vectors to each pivot. As angles obey the
-   triangle inequality, two blocks whose ranges to any pivot are further apart than the threshold's angle hold no link.
-   Each other pair of blocks is a tile, the work of one task.
+2. Pivots far apart are picked from a bounded sample of the nodes, farthest first; a node belongs to the cell of its
+   nearest pivot, and a cell has the least and largest angle of its nodes to the pivot. As angles obey the triangle
+   inequality, cells whose pivots are further apart than both reaches and the threshold's angle hold no link. Cells are
+   put into groups, near ones together: small cells share a block, a large cell is dealt into blocks of about BLOCK.
+   What the driver knows is a row for each pivot and each pair of pivots, however many nodes there are; only tiles,
+   pairs of blocks of near groups, are ever made, by each node for itself, and each is the work of one task.
 3. In a tile each unit vector u is q * s with int8 components q, and has the error e = |u - q s|. A product of two is
    off by at most e_u |q_v s_v| + e_v (as |u| = 1), so pairs whose product plus bound stays below the threshold are
    settled by integers; only the others are recomputed in double precision.
@@ -24,22 +26,26 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, few
 from .components import components
 
 THRESHOLD = 0.95
-BLOCK = 4096
-#: Tasks that tiles are dealt to at most, and rows of a table that is broadcast.
-TASKS, BROADCAST_ROWS = 10_000, 200_000
-#: Pivots of a dimension, and dimensions that have some, the commonest; in others no pair of blocks is passed over.
-PIVOTS, WIDTHS = 16, 64
+#: Vectors of a block, and bytes of its components in double precision: a task holds two blocks in a few such copies.
+BLOCK, BLOCK_BYTES = 4096, 1 << 25
+#: Tasks that tiles are dealt to at most.
+TASKS = 10_000
+#: Pivots of a dimension (two for each block of its vectors), and dimensions that have some, the commonest; others are one cell.
+PIVOTS, WIDTHS = (64, 512), 16
+#: Bytes of the sample that pivots are picked from, over all dimensions. It decides where cells lie, never what is linked.
+SAMPLE_BYTES = 1 << 24
 #: More than the error of an angle computed in double precision, for cosines not too near 1.
 ANGLE_SLACK = 1e-6
 #: Rows of a tile's first block that are multiplied at a time, pairs recomputed at a time.
@@ -119,61 +125,128 @@ def _tile(table: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array([nodes[k] for k in found], pa.string()), "other": pa.array([least[label[k]] for k in found], pa.string()), "links": pa.array(links[found])})
 
 
-def _angles(nodes: DataFrame) -> DataFrame:
-    """nodes with `width` and `angles`, those of the vector to the pivots of its dimension (empty: no pivots)."""
-    sized = nodes.withColumn("width", F.size("vector"))
-    picks = [F.min_by("vector", F.xxhash64("node", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)]
-    chosen = sized.groupBy("width").agg(F.count("*").alias("n"), *picks).orderBy(F.desc("n"), "width").limit(WIDTHS).collect()
-    pivots = {}
-    for r in chosen:
-        x = np.array([r[f"p{k}"] for k in range(PIVOTS)], np.float64)
-        pivots[r["width"]] = x / np.linalg.norm(x, axis=1)[:, None]
+@dataclass(frozen=True)
+class Cells:
+    """The cells of one dimension: pivots (unit rows), groups of cells with their first block and number of blocks, near pairs of groups."""
+
+    pivots: np.ndarray
+    group: np.ndarray
+    base: np.ndarray
+    parts: np.ndarray
+    near: list[tuple[int, int]]
+
+
+def farthest_first(x: np.ndarray, k: int) -> np.ndarray:
+    """k of the unit rows x, each as far as can be from those before it; the first is the first."""
+    picks, closest = [0], x @ x[0]
+    while len(picks) < min(k, len(x)):
+        at = int(closest.argmin())
+        if closest[at] >= 1 - 1e-12:
+            break
+        picks.append(at)
+        closest = np.maximum(closest, x @ x[at])
+    return x[picks]
+
+
+def _pivots(nodes: DataFrame, block: int) -> dict[int, np.ndarray]:
+    """The pivots of the commonest dimensions, from nodes whose hash falls into a share of all that makes a bounded sample."""
+    counts = nodes.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").limit(WIDTHS).collect()
+    wanted = {r.width: min(r.n, max(1, SAMPLE_BYTES // (8 * r.width * len(counts)))) for r in counts}
+    taken = F.lit(False)
+    for r in counts:
+        limit = int(-(2**63) + 2**64 * min(1.0, wanted[r.width] / r.n)) if wanted[r.width] < r.n else 2**63
+        taken = taken | ((F.size("vector") == r.width) & (F.xxhash64("node") <= min(limit, 2**63 - 1)))
+    sample: dict[int, list] = {}
+    for r in nodes.filter(taken).select(F.size("vector").alias("width"), F.xxhash64("node").alias("h"), "vector").collect():
+        sample.setdefault(r.width, []).append((r.h, r.vector))
+    out = {}
+    for r in counts:
+        x = np.array([v for _, v in sorted(sample.get(r.width, []), key=lambda s: s[0])], np.float64)
+        if len(x):
+            k = min(max(PIVOTS[0], 2 * r.n // block), PIVOTS[1])
+            out[r.width] = farthest_first(x / np.linalg.norm(x, axis=1)[:, None], k)
+    return out
+
+
+def _in_cells(nodes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """nodes with `width`, `cell` (the nearest pivot, 0 where the dimension has none) and `angle`, that to the pivot."""
 
     def run(vectors: pa.Array) -> pa.Array:
         lists = vectors if isinstance(vectors, pa.Array) else vectors.combine_chunks()
         widths = np.asarray(pc.list_value_length(lists))
         flat, at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate([[0], np.cumsum(widths)])
-        out: list[np.ndarray] = [np.zeros(0)] * len(widths)
+        cell, angle = np.zeros(len(widths), np.int32), np.zeros(len(widths))
         for w in set(widths.tolist()) & pivots.keys():
             rows = np.flatnonzero(widths == w)
             x = flat[at[rows][:, None] + np.arange(w)]
-            angles = np.arccos(np.clip(x @ pivots[w].T / np.linalg.norm(x, axis=1)[:, None], -1, 1))
-            for k, row in enumerate(rows):
-                out[row] = angles[k]
-        return pa.array([a.tolist() for a in out], pa.list_(pa.float64()))
+            cosines = x @ pivots[w].T / np.linalg.norm(x, axis=1)[:, None]
+            cell[rows] = best = cosines.argmax(axis=1)
+            angle[rows] = np.arccos(np.clip(cosines[np.arange(len(rows)), best], -1, 1))
+        return pa.StructArray.from_arrays([pa.array(cell), pa.array(angle)], ["cell", "angle"])
 
-    return sized.withColumn("angles", F.arrow_udf(run, "array<double>")("vector"))
+    placed = nodes.withColumn("_at", F.arrow_udf(run, "struct<cell:int,angle:double>")("vector"))
+    return placed.select(*nodes.columns, F.size("vector").alias("width"), "_at.cell", "_at.angle")
 
 
-def _few(rows: DataFrame) -> DataFrame:
-    """rows, computed once; to be broadcast if they are counted to be few."""
-    rows = cut(rows)
-    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+def _grouped(pivots: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray, block: int, threshold: float) -> Cells:
+    """Groups of the cells with n nodes at angles from low to high, and which of them may hold links."""
+    k = len(pivots)
+    between = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+    gap = np.maximum(between - high[:, None] - high, np.maximum(low[:, None] - between - high, low - between - high[:, None]))
+    close = (gap <= np.arccos(threshold) + ANGLE_SLACK) | np.eye(k, dtype=bool)
+    # a chain from pivot to nearest pivot: cells next to each other share a block while they fit
+    group, held, last, left = np.zeros(k, np.int64), 0, 0, set(range(k))
+    sizes: list[int] = []
+    while left:
+        last = min(left, key=lambda c: (between[last, c], c))
+        left.discard(last)
+        if not sizes or held + n[last] > block:
+            sizes.append(0)
+            held = 0
+        group[last] = len(sizes) - 1
+        held += n[last]
+        sizes[-1] += int(n[last])
+    parts = np.maximum(1, -(-np.array(sizes) // block))
+    base = np.concatenate([[0], np.cumsum(parts)])[:-1]
+    near = sorted({(int(group[a]), int(group[b])) for a, b in zip(*np.nonzero(close), strict=True) if n[a] and n[b]})
+    return Cells(pivots, group, base, parts, near)
 
 
-def tiles(nodes: DataFrame, block: int = BLOCK, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(nodes with width and block, pairs of blocks (width, low, high, apart)) of nodes (node, vector, ...).
+def tiles(nodes: DataFrame, block: int = BLOCK, threshold: float = THRESHOLD) -> DataFrame:
+    """nodes (node, vector, ...) once for each tile they belong to: with width, low and high (its blocks) and side.
 
-    apart: the blocks hold no link, as their angles to some pivot say. A row for each pair of blocks of a dimension,
-    each of which stands for the product of thousands of vectors with thousands.
+    side: 0 for nodes of the low block, 1 of the high one, 2 where both are the same. A node finds its tiles from the
+    groups near its own, a broadcast table of at most a row for each pair of pivots.
     """
-    placed = cut(_angles(nodes))
-    nearest = F.transform(F.slice(F.array_sort(F.transform("angles", lambda a, i: F.struct(a.alias("a"), i.alias("i")))), 1, 2), lambda x: x["i"])
-    placed = placed.withColumn("cell", F.concat_ws("/", F.transform(nearest, lambda i: i.cast("string"))))
-    # a row for each cell, at most PIVOTS**2 of each dimension; small neighbours in their order share a block
-    cells = placed.groupBy("width", "cell").agg(F.count("*").alias("n"))
-    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("width").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.select(F.col("width").alias("_w"), F.col("cell").alias("_c"), F.ceil(F.col("n") / block).cast("int").alias("parts"), F.floor(ahead / block).alias("base"))
-    placed = placed.join(_few(cells), (F.col("width") == F.col("_w")) & (F.col("cell") == F.col("_c"))).drop("_w", "_c")
-    placed = placed.withColumn("block", F.col("base") + F.pmod(F.xxhash64("node"), F.col("parts"))).drop("cell", "base", "parts")
-    ends = [f(F.get("angles", k)).alias(f"{name}{k}") for k in range(PIVOTS) for name, f in (("least", F.min), ("most", F.max))]
-    blocks = placed.groupBy("width", "block").agg(*ends)
-    blocks = cut(blocks.select("width", "block", *[F.array(*[F.col(f"{name}{k}") for k in range(PIVOTS)]).alias(name) for name in ("least", "most")]))
-    other = blocks.select(F.col("width").alias("_w"), F.col("block").alias("high"), F.col("least").alias("least2"), F.col("most").alias("most2"))
-    gap = F.zip_with(F.zip_with("least", "most2", lambda a, b: a - b), F.zip_with("least2", "most", lambda a, b: a - b), lambda a, b: F.greatest(a, b))
-    far = F.coalesce(F.exists(gap, lambda g: F.coalesce(g > float(np.arccos(threshold)) + ANGLE_SLACK, F.lit(False))), F.lit(False))
-    pairs = blocks.join(other, (F.col("width") == F.col("_w")) & (F.col("block") <= F.col("high")))
-    return placed.drop("angles"), cut(pairs.select("width", F.col("block").alias("low"), "high", far.alias("apart")))
+    spark = nodes.sparkSession
+    pivots = _pivots(nodes, block)
+    placed = cut(_in_cells(nodes, pivots))
+    counted = placed.groupBy("width", "cell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
+    bare = counted.filter(~F.col("width").isin(list(pivots)))  # of these dimensions nothing is known: one cell each
+    by_width: dict[int, list] = {w: [] for w in pivots}
+    for r in counted.filter(F.col("width").isin(list(pivots))).collect():
+        by_width[r.width].append(r)
+    of_cell, of_group = [], []
+    for w, found in by_width.items():
+        n, low, high = np.zeros(len(pivots[w]), np.int64), np.zeros(len(pivots[w])), np.zeros(len(pivots[w]))
+        for r in found:
+            n[r.cell], low[r.cell], high[r.cell] = r.n, r.low, r.high
+        rows = max(1, min(block, BLOCK_BYTES // (8 * w)))
+        cells = _grouped(pivots[w], n, low, high, rows, threshold)
+        of_cell += [(w, c, int(g), int(cells.base[g]), int(cells.parts[g])) for c, g in enumerate(cells.group)]
+        of_group += [(w, a, int(cells.base[b]), int(cells.parts[b])) for a, b in cells.near]
+    names = "_w int, _c int, own int, base bigint, parts bigint"
+    other = bare.select(F.col("width").alias("_w"), F.col("cell").alias("_c"), F.lit(0).alias("own"), F.lit(0).cast("long").alias("base"), F.ceil(F.col("n") / block).alias("parts"))
+    known = F.broadcast(spark.createDataFrame(of_cell, names))
+    groups = F.broadcast(spark.createDataFrame(of_group, "_w2 int, _g int, other_base bigint, other_parts bigint"))
+    at = lambda table: (F.col("width") == table["_w"]) & (F.col("cell") == table["_c"])
+    common = placed.join(known, at(known)).join(groups, (F.col("width") == F.col("_w2")) & (F.col("own") == F.col("_g"))).drop("_w2", "_g")
+    rare = placed.filter(~F.col("width").isin(list(pivots))).join(other, at(other))
+    rare = rare.withColumns({"other_base": F.lit(0).cast("long"), "other_parts": F.col("parts")})
+    own = F.col("base") + F.pmod(F.xxhash64("node"), F.col("parts"))
+    meets = common.unionByName(rare).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.col("other_base"), F.col("other_base") + F.col("other_parts") - 1)))
+    side = F.when(F.col("_own") == F.col("_other"), 2).when(F.col("_own") < F.col("_other"), 0).otherwise(1)
+    return meets.select(*nodes.columns, "width", F.least("_own", "_other").alias("low"), F.greatest("_own", "_other").alias("high"), side.alias("side"))
 
 
 def classes(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -186,15 +259,8 @@ def classes(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     nodes = cut(
         own.filter("node is not null").groupBy("node").agg(F.count("*").alias("size"), F.min("vec_id").alias("vec_id"), F.first("embedding").alias("vector"))
     )
-    placed, pairs = tiles(nodes.select("node", "size", "vector"), block)
-    near = pairs.filter("not apart")
-    n_tiles = near.count()
-    as_low = near.select("width", F.col("low").alias("block"), "low", "high", F.when(F.col("low") == F.col("high"), 2).otherwise(0).alias("side"))
-    as_high = near.filter("low < high").select("width", F.col("high").alias("block"), "low", "high", F.lit(1).alias("side"))
-    # the tiles of a block as one row, so that the vectors meet a row for each block
-    of_block = as_low.unionByName(as_high).groupBy(F.col("width").alias("_w"), F.col("block").alias("_b")).agg(F.collect_list(F.struct("low", "high", "side")).alias("in"))
-    dealt = placed.join(_few(of_block), (F.col("width") == F.col("_w")) & (F.col("block") == F.col("_b")))
-    rows = dealt.select("width", F.explode("in").alias("t"), "node", "size", "vector").select("width", "t.low", "t.high", "t.side", "node", "size", "vector")
+    rows = tiles(nodes.select("node", "size", "vector"), block)
+    n_tiles = rows.filter("side <> 1").select("width", "low", "high").distinct().count()
     rows = rows.repartition(int(min(max(n_tiles, 1), TASKS)), "width", "low", "high")
     linked = cut(rows.groupBy("width", "low", "high").applyInArrow(_tile, "node string, other string, links bigint"))
     found = components(linked.select(F.col("node").alias("a"), F.col("other").alias("b")))
@@ -202,7 +268,7 @@ def classes(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     named = nodes.select("node", "size", "vec_id").join(sums, F.col("node") == F.col("_m"), "left").join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
     named = cut(named.select("node", "vec_id", "root", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     # a row for each component with several nodes
-    least = _few(named.filter("root is not null").groupBy("root").agg(F.min("vec_id").alias("component_id")).withColumnRenamed("root", "_r"))
+    least = few(named.filter("root is not null").groupBy("root").agg(F.min("vec_id").alias("component_id")).withColumnRenamed("root", "_r"))
     named = named.join(least, F.col("root") == F.col("_r"), "left").select(F.col("node").alias("_n"), "n_links", F.coalesce("component_id", "vec_id").alias("component_id"))
     return own.join(named, F.col("node") == F.col("_n"), "left").select(
         "vec_id", "node", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")

@@ -231,18 +231,38 @@ def test_embeddings_link_as_brute_force_does(spark):
     assert embedding_dedup.op7_embedding_dedup(df.limit(0)).count() == 0
 
 
+def tiled(spark, x, block):
+    """Blocks of the vectors and the tiles that are made."""
+    nodes = spark.createDataFrame([(f"n{k:05}", 1, v.tolist()) for k, v in enumerate(x)], "node string, size long, vector array<double>")
+    rows = embedding_dedup.tiles(nodes, block).select("node", "low", "high", "side").collect()
+    at = {int(r.node[1:]): r.high if r.side == 1 else r.low for r in rows}
+    return at, {(r.low, r.high) for r in rows}, rows
+
+
 def test_blocks_passed_over_hold_no_link(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(20, 24))
     x = centres[np.arange(600) % 20] + 0.25 * rng.normal(size=(600, 24))
-    nodes = spark.createDataFrame([(f"n{k:03}", 1, v.tolist()) for k, v in enumerate(x)], "node string, size long, vector array<double>")
-    placed, pairs = embedding_dedup.tiles(nodes, 16)
-    block = {int(r.node[1:]): r.block for r in placed.collect()}
-    apart = {(r.low, r.high) for r in pairs.collect() if r.apart}
-    assert len(apart) > 0.5 * pairs.count()
+    block, made, rows = tiled(spark, x, 16)
+    n = len(set(block.values()))
+    assert n >= 600 // 16 and len(made) < 0.5 * n * (n + 1) / 2  # over half of all pairs of blocks are passed over
+    assert all(block[int(r.node[1:])] in (r.low, r.high) for r in rows)
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     for a, b in zip(*np.where(unit @ unit.T >= 0.95)):
-        assert tuple(sorted((block[a], block[b]))) not in apart
+        assert tuple(sorted((block[a], block[b]))) in made
+
+
+def test_only_near_tiles_of_many_blocks_are_made(spark):
+    """2,000 blocks of clustered vectors: nodes move once for each tile that is computed, a small part of all pairs."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(400, 32))
+    x = centres[np.arange(8000) % 400] + 0.1 * rng.normal(size=(8000, 32))
+    block, made, rows = tiled(spark, x, 5)
+    n = max(block.values()) + 1
+    assert n >= 1600 and len(made) < 0.02 * n * n / 2
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    for a, b in zip(*np.where(np.triu(unit @ unit.T >= 0.95))):
+        assert tuple(sorted((block[a], block[b]))) in made
 
 
 def test_quantisation_bounds_hold():

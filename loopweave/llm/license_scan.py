@@ -2,10 +2,13 @@
 
 The text is brought to a normal form in which every word stands between two spaces of its own, so a signature is a
 regular expression over whole words. Signatures come in groups behind a keyword: a group's expressions run only on
-texts that contain the keyword. Each hit is an interval of words with the priority of its rule; of hits that overlap,
-the surest stay, and of these none that another contains.
+texts that contain the keyword. Where one fits, it runs again over the text with each word's number before it, so a hit
+brings its own place. Each hit is an interval of words with the priority of its rule. From the surest priority to the
+least, those hits stay that overlap none that stays already, less those that another of the same priority contains.
 
-All of it is built-in expressions over one row, so the operator is a map over the scan without exchange or state.
+The rules are data, one literal array of groups that is built once for a plan. All of it is built-in expressions over
+one row, so the operator is a map over the scan without exchange or state; work is a sort of a text's hits and linear
+passes over words and hits.
 
 Defined results
 * null or empty text, or one without words: no words, no hits, empty label strings, null positions, score 0;
@@ -15,9 +18,8 @@ Defined results
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -336,18 +338,22 @@ def signatures() -> tuple[Signature, ...]:
     return tuple(rules)
 
 
-def compiled(pattern: str) -> str:
+#: What a word's number looks like in the numbered form.
+NUMBER = "[0-9]+:"
+
+
+def compiled(pattern: str, number: str = "") -> str:
     """A signature over the normal form: each word there has a space before and after it.
 
     In a pattern every word, with the space that follows it inside the pattern, becomes ' word '; a joint of words
-    is then two spaces.
+    is then two spaces. number: what stands ahead of each word.
     """
     out, word = [], ""
 
     def flush() -> None:
         nonlocal word
         if word:
-            out.append(f" {word} ")
+            out.append(f" {number}{word} ")
             word = ""
 
     k, depth_class = 0, False
@@ -357,7 +363,7 @@ def compiled(pattern: str) -> str:
             depth_class = ch != "]"
             word += ch
         elif ch == " " and pattern[k + 1 : k + 2] == "?":
-            word += "(?:  )?"
+            word += f"(?:  {number})?"
             k += 1
         elif ch in "()|?" and not (ch == "?" and word):
             flush()
@@ -384,85 +390,94 @@ def _n_words(normal: Column) -> Column:
 HIT = "start:bigint,back:bigint,order:int,priority:int,label:string,confidence:double,base:boolean"
 HITS = f"array<struct<{HIT}>>"
 _NONE = f"cast(array() as {HITS})"
+_RULE = "plain:string,numbered:string,order:int,priority:int,label:string,confidence:double,base:boolean"
 
 
-def _hits(normal: Column, order: int, rule: Signature) -> Column:
-    """The hits of one rule: array of (start, back = -end, order, ...), in words from 0.
+def _groups(rules: tuple[Signature, ...]) -> Column:
+    """The rules as one literal: an array of (key, rules)."""
+    groups: dict[str, list[dict]] = {}
+    for order, r in enumerate(rules):
+        rule = {"plain": compiled(r.pattern), "numbered": compiled(r.pattern, NUMBER), "order": order, "priority": r.priority, "label": r.label, "confidence": r.confidence, "base": r.base}
+        groups.setdefault(r.key.replace(" ", "  "), []).append(rule)
+    text = json.dumps([{"key": k, "rules": g} for k, g in groups.items()])
+    return F.from_json(F.lit(text), f"array<struct<key:string,rules:array<struct<{_RULE}>>>>")
 
-    The gaps between hits and the hits themselves, in words, are summed up along the text.
-    """
-    pattern = F.lit(compiled(rule.pattern))
 
-    def placed(found: Column) -> Column:
-        lengths = F.zip_with(
-            F.transform(F.split(normal, compiled(rule.pattern), -1), _n_words), F.transform(found, _n_words), lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit"))
-        )
-        ends = F.struct(F.lit(0).cast("long").alias("at"), F.expr(_NONE).alias("hits"))
+def _numbered(normal: Column) -> Column:
+    """The normal form with its number, from 0, before each word."""
+    words = F.split(F.btrim(normal), "  ")
+    return F.concat(F.lit(" "), F.array_join(F.transform(words, lambda w, i: F.concat(i.cast("string"), F.lit(":"), w)), "  "), F.lit(" "))
 
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + x["gap"]
-            hit = F.struct(
-                start.alias("start"), (-(start + x["hit"])).alias("back"), F.lit(order).alias("order"), F.lit(rule.priority).alias("priority"),
-                F.lit(rule.label).alias("label"), F.lit(rule.confidence).alias("confidence"), F.lit(rule.base).alias("base"),
-            )
-            return F.struct((start + x["hit"]).alias("at"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
 
-        return F.aggregate(F.slice(lengths, 1, F.size(found)), ends, step)["hits"]
+def _hits(numbered: Column, rule: Column) -> Column:
+    """The hits of one rule: array of (start, back = -end, order, ...), in words from 0."""
 
-    return F.when(F.rlike(normal, pattern), let(F.regexp_extract_all(normal, pattern, F.lit(0)), placed)).otherwise(F.expr(_NONE))
+    def hit(x: Column) -> Column:
+        start = F.regexp_extract(x, "^ ([0-9]+)", 1).cast("long")
+        n_words = F.length(x) - F.length(F.replace(x, F.lit(":"), F.lit("")))
+        return F.struct(
+            start.alias("start"), (-start - n_words).alias("back"), rule["order"].alias("order"), rule["priority"].alias("priority"), rule["label"].alias("label"),
+            rule["confidence"].alias("confidence"), rule["base"].alias("base"),
+        )
 
+    return F.transform(F.regexp_extract_all(numbered, rule["numbered"], F.lit(0)), hit)
 
-def _resolved(hits: Column) -> Column:
-    """Labels and the best confidence of the hits that stay, in one pass over hits sorted by start and end.
 
-    Hits that overlap, directly or through others, compete: those of the smallest priority stay, less those that
-    another of these contains.
+def _furthest(ends: Column) -> Column:
+    """The largest of each entry and those before it, in passes that look twice as far back each."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(ends) + 1)).cast("int"))
+    return F.aggregate(rounds, ends, lambda m, r: F.transform(m, lambda x, j: F.greatest(x, F.get(m, j - F.call_function("shiftleft", F.lit(1), r)))))
+
+
+def resolved(hits: Column) -> Column:
+    """The hits that stay, of hits sorted by start, longest first.
+
+    Hits that stay lie in order of their starts and of their ends, as none contains another; so the words they cover
+    come one after the other, and a hit sees whether its own are among them.
     """
-    strings = F.array().cast("array<string>")
-    zero = F.struct(
-        F.lit(-1).cast("long").alias("end"), F.lit(0).alias("best"), F.lit(-1).cast("long").alias("reach"), strings.alias("open"), F.lit(0.0).alias("open_score"),
-        strings.alias("labels"), F.lit(0.0).alias("score"),
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        end, apart = -x["back"], x["start"] >= acc["end"]
-        surer = apart | (x["priority"] < acc["best"])
-        joins = ~surer & (x["priority"] == acc["best"]) & (end > acc["reach"])
-        own = F.array(x["label"])
-        return F.struct(
-            F.greatest(acc["end"], end).alias("end"),
-            F.when(surer, x["priority"]).otherwise(acc["best"]).alias("best"),
-            F.when(surer | joins, end).otherwise(acc["reach"]).alias("reach"),
-            F.when(surer, own).when(joins, F.array_union(acc["open"], own)).otherwise(acc["open"]).alias("open"),
-            F.when(surer, x["confidence"]).when(joins, F.greatest(acc["open_score"], x["confidence"])).otherwise(acc["open_score"]).alias("open_score"),
-            F.when(apart, F.array_union(acc["labels"], acc["open"])).otherwise(acc["labels"]).alias("labels"),
-            F.when(apart, F.greatest(acc["score"], acc["open_score"])).otherwise(acc["score"]).alias("score"),
-        )
 
-    last = lambda a: F.struct(F.array_union(a["labels"], a["open"]).alias("labels"), F.greatest(a["score"], a["open_score"]).alias("score"))
-    return F.aggregate(hits, zero, step, last)
+    def covered(kept: Column) -> Column:
+        def part(h: Column, j: Column) -> Column:
+            ahead = F.coalesce(-F.get(kept, j - 1)["back"], F.lit(0))
+            start = F.greatest(h["start"], ahead)
+            return F.concat(F.array_repeat(F.lit(False), (start - ahead).cast("int")), F.array_repeat(F.lit(True), (-h["back"] - start).cast("int")))
+
+        return F.flatten(F.transform(kept, part))
+
+    def step(kept: Column, priority: Column) -> Column:
+        def free(cover: Column) -> Column:
+            taken = lambda h: F.exists(F.sequence(h["start"], -h["back"] - 1), lambda i: F.coalesce(F.get(cover, i.cast("int")), F.lit(False)))
+            return F.filter(hits, lambda h: (h["priority"] == priority) & ~taken(h))
+
+        def outer(own: Column) -> Column:
+            ends = F.transform(own, lambda h: -h["back"])
+            return let(_furthest(ends), lambda m: F.filter(own, lambda h, j: F.coalesce(F.get(m, j - 1) < -h["back"], F.lit(True))))
+
+        return F.array_sort(F.concat(kept, let(let(covered(kept), free), outer)))
+
+    priorities = F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["priority"])))
+    return F.aggregate(priorities, F.expr(_NONE), step)
 
 
 def detect(df: DataFrame, text: str = "text", rules: tuple[Signature, ...] | None = None) -> DataFrame:
-    """df with the struct `licence`: n_words, hits (all, sorted), labels (sorted) and score of those that stay.
+    """df with the struct `licence`: n_words, hits (all, sorted), kept (those that stay), their labels (sorted) and score.
 
     A column named licence in df is replaced. Texts without any key, most of them, end at the keys; a key opens its
     group of expressions.
     """
-    groups: dict[str, list[tuple[int, Signature]]] = {}
-    for order, r in enumerate(signatures() if rules is None else rules):
-        groups.setdefault(r.key.replace(" ", "  "), []).append((order, r))
+    groups = _groups(signatures() if rules is None else rules)
 
     def found(normal: Column) -> Column:
-        has = {k: F.contains(normal, F.lit(k)) for k in groups}
-        opened = [F.when(has[k], F.concat(*[_hits(normal, o, r) for o, r in g])).otherwise(F.expr(_NONE)) for k, g in groups.items()]
-        hits = F.when(reduce(or_, has.values()), F.array_sort(F.concat(*opened))).otherwise(F.expr(_NONE))
+        opened = F.filter(groups, lambda g: F.contains(normal, g["key"]))
+        fitting = F.flatten(F.transform(opened, lambda g: F.filter(g["rules"], lambda r: F.rlike(normal, r["plain"]))))
+        placed = let(fitting, lambda f: F.when(F.size(f) > 0, let(_numbered(normal), lambda t: F.array_sort(F.flatten(F.transform(f, lambda r: _hits(t, r)))))).otherwise(F.expr(_NONE)))
         return let(
-            hits,
+            placed,
             lambda h: let(
-                _resolved(h),
+                resolved(h),
                 lambda kept: F.struct(
-                    _n_words(normal).alias("n_words"), h.alias("hits"), F.sort_array(kept["labels"]).alias("labels"), kept["score"].alias("score")
+                    _n_words(normal).alias("n_words"), h.alias("hits"), kept.alias("kept"), F.sort_array(F.array_distinct(F.transform(kept, lambda x: x["label"]))).alias("labels"),
+                    F.coalesce(F.array_max(F.transform(kept, lambda x: x["confidence"])), F.lit(0.0)).alias("score"),
                 ),
             ),
         )
@@ -488,31 +503,37 @@ def op10_license_scans(df: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB SQL for `op10_license_scans`."""
-    rules = ", ".join(f"('{compiled(r.pattern)}', '{r.label}', {k}, {r.priority}, {r.confidence}::double, {r.base})" for k, r in enumerate(signatures()))
+    """DuckDB SQL for `op10_license_scans`: the patterns as they are written, between word boundaries of a plain text.
+
+    Characters beyond ASCII are made to count as word characters; priorities follow each other as one step each.
+    """
+    rules = ", ".join(f"('{r.pattern}', '{r.label}', {k}, {r.priority}, {r.confidence}::double, {r.base})" for k, r in enumerate(signatures()))
+    levels = sorted({r.priority for r in signatures()})
+    steps, kept = [], "(select * from p where false)"
+    for n in levels:
+        steps.append(f"""
+o{n} as (select * from p where priority = {n} and not exists (select 1 from {kept} k where k.rid = p.rid and k.s < p.s + p.w and k.s + k.w > p.s)),
+k{n} as (select * from o{n} a where not exists (select 1 from o{n} b where b.rid = a.rid and b.s <= a.s and b.s + b.w >= a.s + a.w
+         and (b.s < a.s or b.s + b.w > a.s + a.w or b.ord < a.ord)))""")
+        kept = "(" + " union all ".join(f"select * from k{m}" for m in levels if m <= n) + ")"
     return rf"""
 with rules(pattern, label, ord, priority, confidence, base) as (values {rules}),
 d as (select row_number() over () as rid, doc_id,
              trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', '  ', 'g')) as s from documents),
-n as (select rid, doc_id, case when s = '' then '' else ' ' || s || ' ' end as t from d),
-m as (select rid, label, ord, priority, confidence, base, regexp_extract_all(t, pattern) as found,
-             regexp_split_to_array(t, pattern) as gaps from n, rules where regexp_matches(t, pattern)),
+                  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) as s from documents),
+n as (select rid, doc_id, regexp_replace(s, '[^a-z0-9 ]', '_', 'g') as t from d),
+m as (select rid, label, ord, priority, confidence, base, regexp_extract_all(t, '\b(?:' || pattern || ')\b') as found,
+             regexp_split_to_array(t, '\b(?:' || pattern || ')\b') as gaps from n, rules where regexp_matches(t, '\b(?:' || pattern || ')\b')),
 h as (select rid, label, ord, priority, confidence, base, unnest(range(1, len(found) + 1)) as k, found, gaps from m),
 p as (select rid, label, ord, priority, confidence, base,
-             list_sum(list_transform(gaps[1:k], lambda x: (length(x) - length(replace(x, ' ', ''))) // 2))
-             + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: (length(x) - length(replace(x, ' ', ''))) // 2)), 0) as s,
-             (length(found[k]) - length(replace(found[k], ' ', ''))) // 2 as w from h),
-q as (select *, coalesce(max(s + w) over (partition by rid order by s, s + w desc, ord rows between unbounded preceding and 1 preceding), -1) as before from p),
-i as (select *, sum((s >= before)::int) over (partition by rid order by s, s + w desc, ord rows between unbounded preceding and current row) as island from q),
-b as (select *, min(priority) over (partition by rid, island) as best from i),
-c as (select *, coalesce(max(s + w) over (partition by rid, island, priority order by s, s + w desc, ord rows between unbounded preceding and 1 preceding), -1) as reach from b),
-g as (select rid, count(*) filter (base) as n_base, min(s) filter (base) as first_word, max(s) filter (base) as last_word,
-             coalesce(list_distinct(list(label) filter (base)), []) as b, coalesce(list(label) filter (priority = best and s + w > reach), []) as l,
-             max(confidence) filter (priority = best and s + w > reach) as score from c group by rid)
-select doc_id, cast((length(t) - length(replace(t, ' ', ''))) // 2 as bigint) as n_words, coalesce(n_base, 0) as n_base,
+             list_sum(list_transform(gaps[1:k], lambda x: len(regexp_extract_all(x, '[^ ]+'))))
+             + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: len(regexp_extract_all(x, '[^ ]+')))), 0) as s,
+             len(regexp_extract_all(found[k], '[^ ]+')) as w from h),{",".join(steps)},
+b as (select rid, count(*) as n_base, min(s) as first_word, max(s) as last_word, list_distinct(list(label)) as b from p where base group by rid),
+l as (select rid, list_distinct(list(label)) as l, max(confidence) as score from {kept} group by rid)
+select doc_id, len(regexp_extract_all(t, '[^ ]+'))::bigint as n_words, coalesce(n_base, 0) as n_base,
        cast(first_word as bigint) as first_word, cast(last_word as bigint) as last_word,
        coalesce(array_to_string(list_sort(b), ','), '') as base_labels,
-       coalesce(array_to_string(list_sort(list_distinct(list_concat(b, l))), ','), '') as labels, coalesce(score, 0.0) as score
-from n left join g using (rid)
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b, []), coalesce(l, [])))), ','), '') as labels, coalesce(score, 0.0) as score
+from n left join b using (rid) left join l using (rid)
 """

@@ -161,7 +161,8 @@ def _sum(text: Column, salt: int, model: Model) -> Column:
         return F.struct(total.alias("total"), count.cast("long").alias("n"))
 
     marked = F.concat(F.lit("^"), text, F.lit("$"))
-    codes = F.transform(F.sequence(F.lit(1), F.length(marked)), lambda i: (F.ascii(F.substr(marked, i, F.lit(1))) % 256).cast("long"))
+    # parted once: a substring of each place would be searched for from the start
+    codes = F.transform(F.split(marked, ""), lambda c: (F.ascii(c) % 256).cast("long"))
     return let(codes, summed)
 
 

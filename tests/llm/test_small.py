@@ -307,6 +307,23 @@ def test_url_rules_and_model(spark):
     assert got[9][3] == "block" and got[10][3] == "allow"
 
 
+def test_long_urls_take_time_in_proportion(spark):
+    model = url_filter.train()
+    urls = ["http://h.example.org/" + "ab€é/𝄞" * n for n in (3, 25_000)] + ["http://"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    url_filter.judge(df.limit(1)).collect()
+    began = time.perf_counter()
+    rows = {r.page_id: r for r in url_filter.judge(df).collect()}
+    assert time.perf_counter() - began < 8
+    for k, u in enumerate(urls):
+        host, slash, path = u[7:].partition("/")
+        sums = []
+        for text, salt in ((host, 0), (slash + path, 1)):
+            counts, n = url_filter.ngram_counts(text, salt)
+            sums.append(counts @ np.array(model.weights) / max(n, 1))
+        assert abs(rows[k].logit - (sums[0] + 0.3 * sums[1] + model.bias) / url_filter.SCALE) < 1e-9
+
+
 def reshared(sizes, weights, cap=3):
     target, free, left = {}, set(sizes), sum(sizes.values())
     while free:

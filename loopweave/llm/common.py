@@ -43,18 +43,37 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df written as a compressed table in the shared folder and read from there, in place of a checkpoint.
+class Scratch:
+    """Tables that are written to the shared folder and read from there, in place of checkpoints, and dropped together.
 
-    Rows of many numbers take a fraction of a checkpoint's bytes, and a plan reads only the columns that it needs.
+    They are computed once, compressed, and a plan reads only the columns that it needs of them.
     """
-    df.write.parquet(path := f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}")
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        df.write.parquet(path := f"{shared_folder(self.spark)}/settled-{uuid.uuid4().hex}")
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Deletes the tables; nothing may read them any more."""
+        sc = self.spark.sparkContext
+        for path in self.paths:
+            place = sc._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths = []
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read from there; it stays until the cluster's clean-up."""
+    return Scratch(df.sparkSession).settle(df)
 
 
-def few(df: DataFrame) -> DataFrame:
+def few(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """df, computed once; to be broadcast if its rows, written out, are measured to have at most BROADCAST_BYTES."""
-    df = cut(df)
+    df = (scratch or Scratch(df.sparkSession)).settle(df)
     size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
     return F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df
 

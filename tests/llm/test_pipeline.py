@@ -198,6 +198,36 @@ def test_crowded_buckets_lose_no_link(spark):
         assert {r.doc_id: r.component_id for r in placed.collect()} == want
 
 
+def test_recall_in_crowded_buckets_at_the_real_block(spark):
+    """1,500 pairs of near copies that all share one passage: links found over links that brute force finds, at BLOCK."""
+    rnd = random.Random(12)
+    shared = " ".join(f"s{k}" for k in range(70))
+    texts = []
+    for k in range(1500):
+        own = [f"o{k}.{j}" for j in range(24)]
+        texts.append(f"{shared} {' '.join(own)}")
+        own[rnd.randrange(24)] = f"x{k}"
+        texts.append(f"{shared} {' '.join(own)}")
+    sets = [grams(t) for t in texts]
+    similar = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    # texts of two families have the passage's shingles in common and no others, so one pair stands for all
+    assert all(similar(2 * k, 2 * k + 1) for k in range(1500)) and not similar(0, 2) and len(sets[0] & sets[2]) == len(grams(shared))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    buckets = Counter(key for t in texts for key in enumerate(near_dedup.bands(near_dedup.registers(near_dedup.shingles(t)))))
+    assert max(buckets.values()) > 2 * near_dedup.BLOCK
+    placed, _ = near_dedup.classes(docs)
+    got = {r.doc_id: r.component_id for r in placed.collect()}
+    assert all(got[k] >= k - 1 for k in got) and sum(got[2 * k + 1] == 2 * k for k in range(1500)) >= 1499
+
+
+def test_depth_0_compares_all(spark):
+    texts = [" ".join([*(f"s{j}" for j in range(60)), *(f"o{k}.{j}" for j in range(10 + k % 7))]) for k in range(60)]
+    sets = [grams(t) for t in texts]
+    links = [(b, a) for a in range(60) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    placed, _ = near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=4, depth=0)
+    assert {r.doc_id: r.component_id for r in placed.collect()} == smallest(range(60), links)
+
+
 def test_banding_finds_pairs_at_the_threshold():
     """Pairs of similarity 0.75 to 0.8 that share a band, out of 2,000: the measured side of the formula."""
     rng, found = np.random.default_rng(7), 0

@@ -10,39 +10,66 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from ..operators.durable import few
 
 #: IUPAC codes that become N, and how the marker line at the end of a file of alignment blocks looks.
 IUPAC_TO_N = ("SWRYMKBDHVswrymkbdhv", "NNNNNNNNNNnnnnnnnnnn")
 END_MARKER = r"^# \S+ end-of-file\s*$"
 
 
-def read_fasta(spark: SparkSession, path: str | list[str], upper: bool = True, strict: bool = True, full_name: bool = False) -> DataFrame:
-    """(file, seq_ordinal, name, nt) of FASTA files, whose records Spark splits at '\\n>'.
+def read_fasta(
+    spark: SparkSession, path: str | list[str], upper: bool = True, strict: bool = True, full_name: bool = False,
+    names: list[str] | None = None, skip: int | None = None, head: int | None = None,
+) -> DataFrame:
+    """(file, seq_ordinal, name, nt) of FASTA files, whose records Spark splits at '\\n>', a large file in many tasks.
 
     The name is the header's first word, or with full_name the whole header, (no_name) if it is empty; bases before any
     header are a sequence named after its ordinal. IUPAC codes become N; with strict any other character, also a space,
     a carriage return or a > inside a line, is an error, and so is a header that the file ends in. Ordinals count in a
-    file from 1 in the order of records, so the records' ids of a file, not its bases, are numbered by one task.
+    file from 1 in the order of records.
+
+    names, skip, head: records of these names, from the ordinal skip on, up to the ordinal head. They are told by
+    header and ordinal, so the bases of others are neither checked nor decoded.
+
+    Two passes: the first counts the records of each split of each file, the second gives each record its split's
+    offset, so bases are never moved or sorted. The table of splits is broadcast if it is measured to be small.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_id"))
-    headed = F.when(F.col("value").startswith(">"), F.substr("value", F.lit(2), F.length("value"))).otherwise(F.col("value"))
-    first = F.col("_id") == F.min("_id").over(Window.partitionBy("file"))
-    ordinal = F.row_number().over(Window.partitionBy("file").orderBy("_id"))
-    last = F.col("_id") == F.max("_id").over(Window.partitionBy("file"))
-    rows = raw.withColumn("first", first).withColumn("last", last).withColumn("seq_ordinal", ordinal.cast("long"))
-    unnamed = F.col("first") & ~F.col("value").startswith(">")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split")]
+    raw = spark.read.option("lineSep", "\n>").text(path).select("value", *place, F.monotonically_increasing_id().alias("_id"))
+    splits = raw.groupBy("file", "_split").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    line = Window.partitionBy("file").orderBy("_split")
+    ahead = F.coalesce(F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select(F.col("file").alias("_f"), F.col("_split").alias("_s"), "_first", ahead.alias("_ahead"), F.sum("_n").over(Window.partitionBy("file")).alias("_of"))
+    rows = raw.join(few(splits), (F.col("file") == F.col("_f")) & (F.col("_split") == F.col("_s")))
+    rows = rows.select("file", "value", "_of", (F.col("_ahead") + F.col("_id") - F.col("_first") + 1).alias("seq_ordinal"))
+    value = F.col("value")
+    marked = value.startswith(">")
+    unnamed = (F.col("seq_ordinal") == 1) & ~marked
+    headed = F.when(marked, F.substr(value, F.lit(2))).otherwise(value)
     header = F.when(unnamed, F.lit("")).otherwise(F.substring_index(headed, "\n", 1))
-    body = F.when(unnamed, F.col("value")).otherwise(F.when(F.instr(headed, "\n") > 0, F.substr(headed, F.instr(headed, "\n") + 1, F.length(headed))).otherwise(""))
+    name = F.btrim(header) if full_name else F.regexp_extract(header, r"^\s*(\S+)", 1)
+    unknown = F.lit("(no_name)") if full_name else F.concat(F.lit("sequence"), F.col("seq_ordinal").cast("string"))
+    rows = rows.filter(F.length("value") > 0).withColumn("name", F.when(name == "", unknown).otherwise(name))
+    if names is not None:
+        rows = rows.filter(F.col("name").isin(names))
+    if skip is not None:
+        rows = rows.filter(F.col("seq_ordinal") >= skip)
+    if head is not None:
+        rows = rows.filter(F.col("seq_ordinal") <= head)
+    body = F.when(unnamed, value).otherwise(F.when(F.instr(headed, "\n") > 0, F.substr(headed, F.instr(headed, "\n") + 1)).otherwise(""))
     nt = F.translate(F.regexp_replace(body, "\n", ""), *IUPAC_TO_N)
     if strict:
         nt = F.when(nt.rlike("[^ACGTNacgtn]"), F.raise_error(F.concat(F.lit("bad character in sequence of "), F.col("file")))).otherwise(nt)
-        cut_off = F.col("last") & ~unnamed & (F.instr(headed, "\n") == 0)
+        cut_off = (F.col("seq_ordinal") == F.col("_of")) & ~unnamed & (F.instr(headed, "\n") == 0)
         nt = F.when(cut_off, F.raise_error(F.concat(F.lit("the file ends in a header: "), F.col("file")))).otherwise(nt)
-    name = F.btrim(header) if full_name else F.regexp_extract(header, r"^\s*(\S+)", 1)
-    unknown = F.lit("(no_name)") if full_name else F.concat(F.lit("sequence"), F.col("seq_ordinal").cast("string"))
-    name = F.when(name == "", unknown).otherwise(name)
-    out = rows.filter(F.length("value") > 0).select("file", "seq_ordinal", name.alias("name"), (F.upper(nt) if upper else nt).alias("nt"))
-    return out
+    return rows.select("file", "seq_ordinal", "name", (F.upper(nt) if upper else nt).alias("nt"))
+
+
+def write_fasta(sequences: DataFrame, folder: str, wrap: int = 60) -> None:
+    """Sequences (name, nt) as FASTA files of a folder, one for each task."""
+    from .sinks import fasta
+
+    sequences.select(fasta(F.col("name"), F.col("nt"), wrap).alias("value")).write.text(folder)
 
 
 def fasta_lengths(sequences: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,3 +255,32 @@ assert "loopweave.llm" not in sys.modules
 """
     root = Path(__file__).resolve().parents[1]
     subprocess.run([sys.executable, "-c", script], check=True, cwd=root, env=os.environ | {"PYTHONPATH": str(root)})
+
+
+def test_one_fasta_file_is_read_in_many_tasks(spark, tmp_path):
+    rnd = random.Random(5)
+    records = [("r%d extra words" % k, "".join(rnd.choice("ACGTNacgt") for _ in range(rnd.randint(0, 9000)))) for k in range(600)]
+    text = "".join(f">{h}\n" + "".join(f"{s[k:k + 70]}\n" for k in range(0, len(s), 70)) for h, s in records)
+    (tmp_path / "big.fa").write_text(text)
+    (tmp_path / "small.fa").write_text("ACG\n>b\nacgtx" + "\n>c\nAC\n")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        df = T.read_fasta(spark, str(tmp_path / "big.fa"))
+        assert df.rdd.getNumPartitions() >= 8
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan  # bases are not moved
+        got = sorted((r.seq_ordinal, r.name, r.nt) for r in df.collect())
+        assert got == [(k + 1, h.split()[0], s.upper()) for k, (h, s) in enumerate(records)]
+        some = T.read_fasta(spark, str(tmp_path / "big.fa"), skip=200, head=210, upper=False).collect()
+        assert sorted((r.seq_ordinal, r.nt) for r in some) == [(k + 1, records[k][1]) for k in range(199, 210)]
+        assert [r.seq_ordinal for r in T.read_fasta(spark, str(tmp_path / "big.fa"), names=["r7"]).collect()] == [8]
+        # records that are passed over are not decoded: the bad base of b is never looked at
+        both = T.read_fasta(spark, str(tmp_path), names=["c", "sequence1", "r0"])
+        assert sorted((r.seq_ordinal, r.name, len(r.nt)) for r in both.collect()) == sorted([(1, "sequence1", 3), (3, "c", 2), (1, "r0", len(records[0][1]))])
+        with pytest.raises(Exception, match="bad character"):
+            T.read_fasta(spark, str(tmp_path / "small.fa")).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)

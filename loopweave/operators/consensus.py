@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from .align import motif_phase
+from .durable import few
 
 #: Share of a position's tokens that a winner needs, and motif copies below which a slice is too short.
 WINNER, LEAST_COPIES = 0.5, 10
@@ -215,3 +216,13 @@ def canonical_filter(alignments: DataFrame, motifs: DataFrame) -> DataFrame:
     strand = F.when(flipped, F.when(F.col("strand") == "+", "-").otherwise("+")).otherwise(F.col("strand"))
     return joined.withColumn("motif", F.col("_motif")).withColumn("strand", strand).drop("_c", "_class", "_motif")
 
+
+def canonical_motifs(df: DataFrame, motif: str = "motif") -> DataFrame:
+    """df with `canonical` and `strand`: the smallest rotation of a motif or of its reverse complement, ties forward.
+
+    Each distinct motif is turned once, however often it occurs; the table of these goes back by a join, broadcast if
+    it is measured to be small, and a null motif has null for both.
+    """
+    turned = df.select(F.col(motif).alias("_m")).distinct().filter("_m is not null").withColumn("_c", dna.canonical_motif(F.col("_m")))
+    table = few(turned.select("_m", F.col("_c.motif").alias("canonical"), F.col("_c.strand").alias("strand")))
+    return df.drop("canonical", "strand").join(table, F.col(motif) == F.col("_m"), "left").drop("_m")

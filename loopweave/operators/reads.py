@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from .align import positional_events
+from .durable import few, settle
 from .intervals import overlap_join
 
 
@@ -21,11 +22,52 @@ def with_cigars(reads: DataFrame, cigars: DataFrame) -> DataFrame:
     return joined.withColumn("cigar", F.when(F.col("cigar").isNull(), missing).otherwise(F.col("cigar")))
 
 
-def genome_pieces(reads: DataFrame, genome: DataFrame) -> DataFrame:
-    """Reads (seq, strand, g_start, g_end, ...) with g_nt, the genome bases under them along the read's strand."""
-    piece = F.substr("chrom_nt", (F.col("g_start") + 1).cast("int"), (F.col("g_end") - F.col("g_start")).cast("int"))
-    out = reads.join(genome.select(F.col("name").alias("seq"), F.col("nt").alias("chrom_nt")), "seq")
-    return out.withColumn("g_nt", F.when(F.col("strand") == "-", dna.reverse_complement(piece)).otherwise(piece)).drop("chrom_nt")
+#: Bases of a chunk of a stored sequence.
+CHUNK = 1 << 16
+
+
+def chunked(sequences: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Sequences (name, nt) as a table of chunks (seq, chunk, seq_len, chunk_nt), each of `size` bases but the last.
+
+    Each sequence has a chunk 0, also an empty one. Written as a table it is a store from which stretches of a sequence
+    are put together without the rest of it. A sequence is walked once, whatever its length.
+    """
+    parts = F.regexp_extract_all("nt", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    parts = F.when(F.length("nt") == 0, F.array(F.lit(""))).otherwise(parts)
+    return sequences.filter("nt is not null").select(F.col("name").alias("seq"), F.length("nt").cast("long").alias("seq_len"), F.posexplode(parts).alias("chunk", "chunk_nt"))
+
+
+def stretches(wanted: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:
+    """wanted (seq, g_start, g_end, ...) with `nt`, the bases from g_start to g_end of its sequence, from a table of chunks.
+
+    A row meets only the chunks that it touches and takes its own bases of each, so what moves on from there grows with
+    the rows wanted, not with their sequences. What lies outside a sequence is left out; rows of a sequence that the
+    store hasn't are left out.
+    """
+    lengths = few(chunks.filter("chunk = 0").select(F.col("seq").alias("_s"), "seq_len"))
+    known = wanted.join(lengths, F.col("seq") == F.col("_s")).drop("_s")
+    low = F.greatest(F.lit(0), F.least("g_start", "seq_len")).cast("long")
+    known = known.withColumn("_lo", low).withColumn("_hi", F.greatest(F.col("_lo"), F.least("g_end", "seq_len"))).drop("seq_len")
+    known = settle(known.withColumn("_id", F.monotonically_increasing_id()))
+    last = F.greatest(F.col("_lo"), F.col("_hi") - 1)
+    touching = known.filter("_hi > _lo").select("_id", F.col("seq").alias("_s"), "_lo", "_hi", F.explode(F.sequence(F.floor(F.col("_lo") / size), F.floor(last / size))).alias("_c"))
+    met = touching.join(chunks.select("seq", "chunk", "chunk_nt"), (F.col("_s") == F.col("seq")) & (F.col("_c") == F.col("chunk")))
+    first = F.greatest(F.lit(0), F.col("_lo") - F.col("_c") * size)
+    end = F.least(F.lit(size), F.col("_hi") - F.col("_c") * size)
+    pieces = met.select("_id", "_c", F.substr("chunk_nt", (first + 1).cast("int"), (end - first).cast("int")).alias("_p"))
+    whole = pieces.groupBy(F.col("_id").alias("_i")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_c", "_p"))), lambda x: x["_p"]), "").alias("nt"))
+    out = known.join(whole, F.col("_id") == F.col("_i"), "left")
+    return out.withColumn("nt", F.coalesce("nt", F.lit(""))).drop("_id", "_i", "_lo", "_hi")
+
+
+def genome_pieces(reads: DataFrame, genome: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """Reads (seq, strand, g_start, g_end, ...) with g_nt, the genome bases under them along the read's strand.
+
+    genome: sequences (name, nt); chunks: the same as a table of `chunked`, if there is one already.
+    """
+    own = reads.drop("g_nt").withColumnRenamed("nt", "_nt")
+    found = stretches(own, chunked(genome) if chunks is None else chunks).withColumnRenamed("nt", "g_nt").withColumnRenamed("_nt", "nt")
+    return found.withColumn("g_nt", F.when(F.col("strand") == "-", dna.reverse_complement(F.col("g_nt"))).otherwise(F.col("g_nt")))
 
 
 def gapped(nt: str, g_nt: str, cigar: str) -> tuple[str, str] | None:

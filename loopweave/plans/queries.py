@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from ..operators import events as E
 from ..operators import generators as G
 from ..operators import intervals as I
 from ..operators import reads as R
+from ..operators.durable import settle, shared_folder
 from ..sources import sinks as K
 from ..sources import text as T
 from . import views as V
@@ -133,8 +135,7 @@ c as (select doc_id, motif, motif[k:] || motif[:k - 1] as t, '+' as s from r uni
 select doc_id, motif, min(t) as canonical, min_by(s, (t, s)) as strand from c group by doc_id, motif""")
 def canonical_motif(spark, d):
     m = V.dna(spark, d).select("doc_id", F.explode(F.array_distinct(D.kmers(F.col("seq"), 6))).alias("motif"))
-    c = m.withColumn("c", D.canonical_motif(F.col("motif")))
-    return c.select("doc_id", "motif", F.col("c.motif").alias("canonical"), F.col("c.strand").alias("strand"))
+    return C.canonical_motifs(m).select("doc_id", "motif", "canonical", "strand")
 
 
 @query(f"""with {V.DNA}, w as (select doc_id, substr(seq, k::int, 5) as s from (select doc_id, seq, unnest(range(1, length(seq) - 3)) as k from dna)),
@@ -157,6 +158,75 @@ def natural_name_sort(spark, d):
     return V.table(spark, d, "documents").select("doc_id", "source", D.natural_key(name).alias("key")).orderBy("key")
 
 
+# --- stored sequences and reads
+
+
+@query(f"with {V.DNA} select '>doc_' || doc_id as record, 'doc_' || doc_id as name, length(seq)::bigint as n, md5(seq) as digest from dna where seq <> ''")
+def fasta_scan(spark, d):
+    """The sequences as FASTA files of the shared folder, read again."""
+    seqs = V.dna(spark, d).filter("seq <> ''").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("name"), F.col("seq").alias("nt"))
+    T.write_fasta(seqs, folder := f"{shared_folder(spark)}/fasta-{uuid.uuid4().hex}")
+    rows = T.read_fasta(spark, folder)
+    return rows.select(F.concat(F.lit(">"), "name").alias("record"), "name", F.length("nt").cast("long").alias("n"), F.md5(F.col("nt").cast("binary")).alias("digest"))
+
+
+_READS = """reads as (select doc_id, k, seq, case when k % 3 = 0 then '-' else '+' end as strand, (doc_id * 31 + k * 997) % length(seq) as g_start,
+least((doc_id * 31 + k * 997) % length(seq) + 40 + 25 * k, length(seq)) as g_end from dna, range(0, 8) r(k) where length(seq) >= 60),
+pieces as (select *, case when strand = '-' then reverse(translate(seq[g_start + 1:g_end], 'ACGT', 'TGCA')) else seq[g_start + 1:g_end] end as g_nt from reads)"""
+
+
+def _reads(spark, d):
+    """Eight reads of each sequence, with no bases of their own, and the store of its chunks."""
+    seqs = V.dna(spark, d).filter("length(seq) >= 60").select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("name"), F.col("seq").alias("nt"))
+    at = (F.col("doc_id") * 31 + F.col("k") * 997) % F.length("nt")
+    reads = seqs.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long")))).withColumn("g_start", at)
+    reads = reads.withColumn("g_end", F.least(at + 40 + 25 * F.col("k"), F.length("nt").cast("long"))).withColumn("strand", F.when(F.col("k") % 3 == 0, "-").otherwise("+"))
+    read = F.concat_ws("/", "name", "k")
+    return reads.select("doc_id", "k", read.alias("read"), F.col("name").alias("seq"), "strand", "g_start", "g_end"), settle(R.chunked(seqs, 512))
+
+
+def _pieces(spark, d):
+    reads, chunks = _reads(spark, d)
+    found = R.stretches(reads, chunks, 512)
+    return found.select("*", F.when(F.col("strand") == "-", D.reverse_complement(F.col("nt"))).otherwise(F.col("nt")).alias("g_nt")).drop("nt")
+
+
+@query(f"with {V.DNA}, {_READS} select doc_id, k, strand, g_start, g_end, g_nt from pieces")
+def genome_pieces(spark, d):
+    return _pieces(spark, d).select("doc_id", "k", "strand", "g_start", "g_end", "g_nt")
+
+
+# a read has its genome bases but three put in after the tenth, two left out and the last one changed
+_RECONSTRUCTED = _READS + """,
+full_reads as (select *, case right(g_nt, 1) when 'A' then 'C' else 'A' end as other from pieces where length(g_nt) >= 40),
+rebuilt as (select doc_id, k, strand, g_start, g_end, g_nt, other, g_nt[1:10] || 'TTT' || '--' || g_nt[13:length(g_nt) - 1] || other as r_text,
+g_nt[1:10] || '---' || g_nt[11:length(g_nt) - 1] || lower(right(g_nt, 1)) as g_text from full_reads)"""
+
+
+def _rebuilt(spark, d):
+    p = _pieces(spark, d).filter("length(g_nt) >= 40")
+    n = F.length("g_nt")
+    other = F.when(F.right("g_nt", F.lit(1)) == "A", "C").otherwise("A")
+    nt = F.concat(F.substr("g_nt", F.lit(1), F.lit(10)), F.lit("TTT"), F.substr("g_nt", F.lit(13), n - 13), other)
+    cigar = F.concat(F.lit("10M3I2D"), (n - 12).cast("string"), F.lit("M"))
+    return R.reconstruct(p.withColumn("nt", nt).withColumn("cigar", cigar))
+
+
+@query(f"with {V.DNA}, {_RECONSTRUCTED} select doc_id, k, r_text, g_text from rebuilt")
+def reconstruct_reads(spark, d):
+    return _rebuilt(spark, d).select("doc_id", "k", "r_text", "g_text")
+
+
+# the genome interval from 4 before the fifteenth base of a forward read to its thirtieth: two bases of a gap, then sixteen
+@query(f"""with {V.DNA}, {_RECONSTRUCTED} select doc_id, k, g_start + 10 as "start", g_start + 30 as "end", 10 as r_start, 31 as r_end,
+r_text[11:33] as r_text, g_text[11:33] as g_text from rebuilt where strand = '+'""")
+def slice_reads(spark, d):
+    a = _rebuilt(spark, d).filter("strand = '+'").withColumn("seq", F.col("read"))
+    wanted = a.select("seq", (F.col("g_start") + 10).alias("start"), (F.col("g_start") + 30).alias("end"))
+    out = R.slice_by_genome(a, wanted).join(a.select("read", "doc_id", "k"), "read")
+    return out.select("doc_id", "k", "start", "end", F.col("r_start").cast("int").alias("r_start"), F.col("r_end").cast("int").alias("r_end"), "r_text", "g_text")
+
+
 # --- alignments
 
 
@@ -326,7 +396,7 @@ def classifier_metrics(spark, d):
 @query(f"""with {V.OBSERVED}, {V.TRUTH} select o.seq, o."start", o."end", t."start" as right_start, t."end" as right_end,
 greatest(o."start", t."start") as clip_start, least(o."end", t."end") as clip_end from observed o join truth_raw t on o.seq = t.seq and o."start" < t."end" and o."end" > t."start" """)
 def interval_overlap_join(spark, d):
-    p = I.overlap_join(V.observed(spark, d), V.truth_raw(spark, d), width=64)
+    p = I.overlap_join(V.observed(spark, d), V.truth_raw(spark, d))
     return p.select("*", F.greatest("start", "right_start").alias("clip_start"), F.least("end", "right_end").alias("clip_end"))
 
 
@@ -380,7 +450,7 @@ select k as l_orderkey, s as "start", e as "end",
   (case when pe <= a then pe when pe <= a + q then pe + i when pe <= a + q + dd then a + q + i else pe - dd + i end)::int as r_end,
   s < g0 as cut_left, e > g1 as cut_right from h""")
 def cigar_lift(spark, d):
-    c = _cigars(spark, d).distinct()
+    c = settle(_cigars(spark, d).distinct())
     key = F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "q")
     size = F.col("l_linenumber") + F.col("q") + F.col("l_partkey") % 5 + 1 + F.col("l_suppkey") % 9 + 1
     reads = c.select(key.alias("read"), key.alias("seq"), F.lit("+").alias("strand"), (1000 * F.col("l_linenumber")).cast("long").alias("g_start"), (1000 * F.col("l_linenumber") + size).cast("long").alias("g_end"), "cigar")

@@ -3,9 +3,9 @@
 The mix is a row of about SLOTS slots of equally many words. Slot i has the golden-ratio point frac((i + 1) * phi),
 which the cumulative shares of the targets map to a source, so any stretch of the schedule holds each source with
 nearly its share. The slots of a source are ranked, and the slot of rank r reads the r-th block of the source's line:
-its documents in a shuffled order, end to end, in blocks of a slot's words, read round as often as the target asks.
-Where a slot is more than a word, a source's rounded target is dealt to its slots in equal parts, so that the words
-read don't depend on how large a slot is; a source too small for a slot adds its words to one that its name picks.
+its documents in a shuffled order, end to end, read round as often as the target asks. At every size one rule holds:
+the words of a source's rounded target lie in equal blocks, one for each of its slots, block r of n from word
+r * words div n on; a source too small for a slot of its own puts its one block into the slot that its name picks.
 
 A document's words in the mix follow from its place in the line and from how far the line is read; its first slot
 comes from a join of blocks with ranks. Places and ranks are prefix sums in two levels, within bins and over bins, so
@@ -136,8 +136,7 @@ def mix(df: DataFrame, slots: int = SLOTS, seed: str = SEED, with_slot: bool = T
     # the line is read so far; as often as the cap allows at most
     mixed = mixed.withColumn("_source", _key(F.col("source"))).join(held, "_source", "left")
     mixed = mixed.withColumn("_slots", F.coalesce("_slots", F.lit(0))).withColumn("target", F.coalesce("target", F.lit(0.0)))
-    words = F.col("_slots") if block == 1 else F.round("target").cast("long")
-    mixed = mixed.select("_source", "source_size", "target", "_slots", F.least(words, MAX_REPEAT * F.col("source_size")).alias("_read"))
+    mixed = mixed.select("_source", "source_size", "target", "_slots", F.least(F.round("target").cast("long"), MAX_REPEAT * F.col("source_size")).alias("_read"))
     # a row for each source: counted above, and shuffled if a manifest should be that long
     mixed = F.broadcast(mixed) if n_sources <= BROADCAST_SOURCES else mixed
     laid = lay_out(own, n_docs, seed).join(mixed, "_source")
@@ -146,7 +145,8 @@ def mix(df: DataFrame, slots: int = SLOTS, seed: str = SEED, with_slot: bool = T
     laid = laid.withColumn("taken", (rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("place")))).cast("long"))
     if not with_slot:
         return laid.drop("_source", "_read", "_slots", "place")
-    rank = F.col("place") if block == 1 else F.expr("place * _slots div _read")
+    # the last block that begins at or before the document's first word
+    rank = F.expr("((place + 1) * _slots - 1) div _read")
     laid = laid.withColumn("_rank", F.when(F.col("taken") > 0, rank))
     first = plan.select(_key(F.col("source")).alias("_source"), F.col("rank").alias("_rank"), F.col("slot").alias("first_slot"))
     picked = F.conv(F.substr(F.md5(F.col("_source").cast("binary")), F.lit(1), F.lit(8)), 16, 10).cast("long") % max(1, -(-total // block))
@@ -196,12 +196,12 @@ p as (select slot, ((slot + 1) * {GOLDEN}) % {POINTS} as point from c, range(cas
 k as (select slot, source, row_number() over (partition by source order by slot) - 1 as rank from p join g on point >= start and point < stop),
 r as (select source, count(*) as slots from k group by source),
 m as (select t.source, source_size, target, coalesce(slots, 0) as slots,
-             least(case when (select block from c) = 1 then coalesce(slots, 0) else round(target)::bigint end, {MAX_REPEAT} * source_size)::bigint as readw
+             least(round(target)::bigint, {MAX_REPEAT} * source_size)::bigint as readw
       from t left join r on t.source is not distinct from r.source),
 o as (select *, coalesce(sum(size) over (partition by source order by md5(coalesce(doc_id::varchar, '') || ':{SEED}'), size
              rows between unbounded preceding and 1 preceding), 0)::bigint as place from d),
 x as (select doc_id, size, o.source, source_size, target, slots,
-             case when (select block from c) = 1 then place when readw > 0 then place * slots // readw end as rank,
+             case when readw > 0 and slots > 0 then ((place + 1) * slots - 1) // readw end as rank,
              (readw // greatest(source_size, 1)) * size
              + greatest(0, least(size, readw % greatest(source_size, 1) - place)) as taken from o join m on o.source is not distinct from m.source),
 n as (select *, ('0x' || substr(md5(coalesce('=' || source, '')), 1, 8))::bigint % greatest(1, (select cast(ceil(total / block::double) as bigint) from c)) as picked from x)

@@ -1,10 +1,14 @@
 """Training-data operators do the whole job where a corpus is large or odd."""
 
+import hashlib
+import math
 import random
+from collections import Counter
 
 import pytest
 
 from loopweave.llm import mixing, training
+from tests.llm.test_small import reshared
 
 
 @pytest.mark.parametrize("slots", [7, 64, 300])
@@ -29,6 +33,53 @@ def test_small_sources_are_mixed_however_large_a_slot(spark, slots):
     assert plain == {r.doc_id: r.taken for r in out}
 
 
+def blocks_read(rows, slots):
+    """(taken, first slot) of each document, by walking the schedule slot by slot in plain Python."""
+    sizes = Counter()
+    for _, s, n in rows:
+        sizes[s] += n
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    target = reshared({s: n for s, n in sizes.items() if n}, {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)})
+    total = sum(sizes.values())
+    n_slots = -(-total // max(1, -(-total // slots)))
+    ends, upto = [], 0.0
+    for s in (x for x in names if sizes[x]):
+        upto += target[s]
+        ends.append((min(math.floor(upto / sum(target.values()) * 2**32), 2**32), s))
+    own: dict = {s: [] for s in names}
+    for k in range(n_slots):
+        point = (k + 1) * mixing.GOLDEN % 2**32
+        found = next((s for e, s in ends if point < e), None)
+        own[found].append(k)
+    taken, first = Counter(), {}
+    for s in names:
+        words = min(math.floor(target.get(s, 0) + 0.5), 3 * sizes[s])
+        name = "" if s is None else "=" + s
+        held = own[s] or [int(hashlib.md5(name.encode()).hexdigest()[:8], 16) % max(1, n_slots)]
+        docs = sorted((d for d in rows if d[1] == s), key=lambda d: (hashlib.md5(f"{d[0]}:mix".encode()).hexdigest(), d[2]))
+        line = [d[0] for d in docs for _ in range(d[2])]
+        for rank, slot in enumerate(held):
+            for w in range(rank * words // len(held), (rank + 1) * words // len(held)):
+                taken[line[w % len(line)]] += 1
+                first.setdefault(line[w % len(line)], slot)
+    return taken, first
+
+
+@pytest.mark.parametrize("total", [800, 3000])
+def test_taken_is_what_the_slots_read_on_either_side_of_a_word_a_slot(spark, total):
+    """Below and above as many words as slots, the same rule: a walk of the schedule gives each document's words and first slot."""
+    rnd = random.Random(total)
+    rows, left = [], total
+    while left > 0:
+        size = min(left, rnd.randint(0, 30))
+        rows.append((len(rows), rnd.choice(["big"] * 8 + ["mid", "mid", "small", None]), size))
+        left -= size
+    taken, first = blocks_read(rows, 1000)
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long"), slots=1000).collect()
+    assert {r.doc_id: r.taken for r in out} == {k: taken[k] for k, _, _ in rows}
+    assert {r.doc_id: r.first_slot for r in out} == {k: first.get(k) for k, _, _ in rows}
+
+
 def test_a_long_text_leaves_the_sample_whole(spark):
     texts = {k: f"text {k}" for k in range(60)}
     labels = spark.createDataFrame([(k, k % 2) for k in texts], "doc_id long, toxic int")

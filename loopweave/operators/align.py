@@ -6,6 +6,8 @@ ALIGNMENT. No exchange is needed before a sink, as sequences are independent.
 
 from __future__ import annotations
 
+import json
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -40,16 +42,77 @@ def prefilter(sequences: DataFrame, min_sequence: int = 0, skip: int = 0, head:
     return kept if head is None else kept.filter(F.col("seq_ordinal") <= head)
 
 
+#: Lengths of words by which pairs of a sequence and a motif are told apart before the aligner.
+GRAMS = range(2, 13)
+
+
+def gram_rule(motif: Motif, limits: Thresholds) -> tuple[int, int, int] | None:
+    """(q, least, width): a sequence in which this motif is reported has, in one of its blocks of `width` bases, at
+    least `least` places of words of q bases of the looped motif. None: there is no useful such rule.
+
+    What is reported has m matches and e errors with m / (m + e) at the ratio r or above, and at least min_length
+    columns, so m >= r * min_length and e <= m * (1 - r) / r. The matches lie in e + 1 runs at most, so at least
+    m - (q - 1) * (e + 1) words of q bases come through. They span m / r bases at most and touch m / (r * width) + 2
+    blocks at most, each border of which cuts q - 1 words at most; the fullest block has no less than the mean, which
+    grows with m.
+    """
+    ratio, length = float(limits.min_ratio or 0) - 1e-6, limits.min_length
+    if ratio <= 0.5 or any(set(x or "") - set("ACGT") for x in (motif.forward, motif.reverse)):
+        return None
+    m, best = ratio * length, None
+    for q in GRAMS:
+        share = 1 - (q - 1) * (1 - ratio) / ratio
+        least = math.ceil(share * m / (m / (ratio * length) + 2) - (q - 1) - 1e-9)
+        by_chance = length * min(1.0, len(motif.forward) / 4**q)
+        if least > 2 * by_chance and (best is None or least / (by_chance + 1) > best[0]):
+            best = least / (by_chance + 1), q, least
+    return best and (best[1], best[2], length)
+
+
+def motif_words(motif: str, q: int) -> list[str]:
+    """The words of q bases of an endlessly repeated motif."""
+    looped = motif * (q // len(motif) + 2)
+    return sorted({looped[k : k + q] for k in range(len(motif))})
+
+
+def likely_motifs(sequences: DataFrame, motifs: list[str | Motif], limits: Thresholds, strands: str = "both") -> DataFrame:
+    """sequences with `likely`, the ordinals of those motifs that can be reported in them at all; built-in expressions.
+
+    Lossless: see `gram_rule`. The rules are data, one literal array, so many motifs make no larger plan.
+    """
+    rules, widths = [], set()
+    for k, m in enumerate(_parsed(motifs)):
+        rule = gram_rule(m, limits)
+        sides = [x for x, wanted in ((m.forward, strands != "reverse"), (m.reverse, strands != "forward")) if x and wanted]
+        words = [f"(?=(?:{'|'.join(motif_words(x, rule[0]))}))" if rule else "" for x in sides] or [""]
+        rules.append({"k": k, "least": rule[1] if rule else 0, "one": words[0], "other": words[-1]})
+        widths |= {rule[2]} if rule else set()
+    if not widths:
+        return sequences.withColumn("likely", F.sequence(F.lit(0), F.lit(len(rules) - 1)) if rules else F.array().cast("array<int>"))
+    table = F.from_json(F.lit(json.dumps(rules)), "array<struct<k:int,least:int,one:string,other:string>>")
+    has = lambda b, r: (r["least"] == 0) | (F.regexp_count(b, r["one"]) >= r["least"]) | ((r["other"] != r["one"]) & (F.regexp_count(b, r["other"]) >= r["least"]))
+    blocks = F.regexp_extract_all(F.upper("nt"), F.lit(f"(?s).{{1,{widths.pop()}}}"), F.lit(0))
+    likely = dna.let(blocks, lambda x: F.transform(F.filter(table, lambda r: F.exists(x, lambda b: has(b, r))), lambda r: r["k"]))
+    return sequences.withColumn("likely", F.coalesce(likely, F.array().cast("array<int>")))
+
+
 def align_repeats(
-    sequences: DataFrame, motifs: list[str | Motif], scoring: Scoring, limits: Thresholds, strands: str = "both", excised: bool = False, partitions: int | None = None
-) -> DataFrame:
+    sequences: DataFrame, motifs: list[str | Motif], scoring: Scoring, limits: Thresholds, strands: str = "both", excised: bool = False, partitions: int | None = None,
+    grams: bool = True,
+) -> DataFrame:
     """Repeats of each motif in each sequence, by sequence, motif and order of emission.
 
     excised: also the error clumps that were cut out (excised is true), which are searched again but not reported.
     partitions: deal sequences out anew by a hash; wanted if a few files hold very unequal sequences.
+    grams: pairs of a sequence and a motif that cannot be reported are left out before they reach the aligner; the
+    rows are the same with and without.
     """
     parsed = _parsed(motifs)
     columns = sequences.select("seq_ordinal", "name", "nt")
+    if grams:
+        columns = likely_motifs(columns, parsed, limits, strands).filter(F.size("likely") > 0)
+    else:
+        columns = columns.withColumn("likely", F.lit(None).cast("array<int>"))
     if partitions:
         columns = columns.repartition(partitions, F.xxhash64("seq_ordinal", "name"))
 
@@ -70,7 +133,7 @@ def align_repeats(
 
 
 def _aligned(rows: list[tuple], motifs: list[Motif], scoring: Scoring, limits: Thresholds, strands: str, excised: bool) -> pa.RecordBatch:
-    tasks = [(ordinal, name, nt or "", k, m) for ordinal, name, nt in rows for k, m in enumerate(motifs)]
+    tasks = [(ordinal, name, nt or "", k, motifs[k]) for ordinal, name, nt, likely in rows for k in (range(len(motifs)) if likely is None else likely)]
     results = search([t[2] for t in tasks], [(t[4].forward, t[4].reverse) for t in tasks], scoring, limits, strands)
     out = []
     for (ordinal, name, nt, k, motif), found in zip(tasks, results, strict=True):
@@ -143,12 +206,14 @@ def motif_phase(motif: Column, motif_text: Column, whole: bool = False) -> Colum
     """
     text = F.upper(F.regexp_replace(motif_text, "-", ""))
     text = text if whole else F.substr(text, F.lit(1), F.length(motif))
-    copies = F.ceil(F.length(text) / F.length(motif)).cast("int")
+    # a text follows a rotation if its start does and if it repeats itself after each copy of the motif
+    n = F.length(motif)
+    start = F.substr(text, F.lit(1), n)
+    loops = (F.length(text) <= n) | (F.substr(text, n + 1) == F.substr(text, F.lit(1), F.length(text) - n))
 
     def first(m: Column, direction: str) -> Column:
-        rotated = lambda i: F.concat(F.substr(m, i + 1, F.length(m)), F.substr(m, F.lit(1), i))
-        found = F.filter(F.sequence(F.lit(0), F.length(m) - 1), lambda i: F.startswith(F.repeat(rotated(i), copies), text))
-        return F.when(F.size(found) > 0, F.struct(F.get(found, 0).alias("position"), F.lit(direction).alias("direction")))
+        at = F.instr(F.concat(m, m), start)
+        return F.when((at > 0) & (at <= n) & loops, F.struct((at - 1).alias("position"), F.lit(direction).alias("direction")))
 
     return F.coalesce(first(motif, "+"), first(dna.reverse_complement(motif), "-"))
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.formula import formula
 from .intervals import by_interval
 
 
@@ -31,7 +32,7 @@ def totals(distribution: DataFrame) -> DataFrame:
 def bin_positions(counts: DataFrame, to_bin: str, from_bin: str, low: int | None = None, high: int | None = None) -> DataFrame:
     """(bin, lo, hi, n): counts (pos, n) summed over bins floor(to_bin), with the closed interval of positions of each.
 
-    to_bin is SQL over pos and from_bin, its inverse, SQL over bin. lo is the ceiling of the inverse at the bin, hi
+    to_bin is a formula over pos and from_bin, its inverse, one over bin. lo is the ceiling of the inverse at the bin, hi
     the floor at the next one, less one where that belongs to the next bin. An inverse that misses the least position
     by over 1e-6 is an error. Positions outside low and high are left out, and bounds are clamped to them.
     """
@@ -40,16 +41,14 @@ def bin_positions(counts: DataFrame, to_bin: str, from_bin: str, low: int | None
         kept = kept.filter(F.col("pos") >= low)
     if high is not None:
         kept = kept.filter(F.col("pos") <= high)
-    again = F.expr(from_bin.replace("bin", f"({to_bin})")) if "bin" in from_bin else F.expr(from_bin)
-    first = kept.agg(F.min("pos").alias("pos")).select("pos", again.alias("again"))
-    wrong = F.abs(F.col("again") - F.col("pos")) > 1e-6
+    inverse = lambda x: formula(from_bin, {"bin": x}).cast("double")
+    binned_at = lambda x: F.floor(formula(to_bin, {"pos": x}))
+    first = kept.agg(F.min("pos").alias("pos"))
+    wrong = F.abs(inverse(formula(to_bin, {"pos": F.col("pos")})) - F.col("pos")) > 1e-6
     first = first.select(F.when(wrong, F.raise_error(F.lit("from_bin is not the inverse of to_bin"))).otherwise(F.lit(True)).alias("checked"))
-    binned = kept.withColumn("bin", F.floor(F.expr(to_bin))).groupBy("bin").agg(F.sum("n").cast("long").alias("n"))
-    lo = F.ceil(F.expr(from_bin)).cast("long")
-    up = F.floor(F.expr(from_bin.replace("bin", "(bin + 1)"))).cast("long")
-    out = binned.withColumn("lo", lo).withColumn("up", up)
-    above = F.floor(F.expr(to_bin.replace("pos", "up"))) > F.col("bin")
-    out = out.withColumn("hi", F.when(above, F.col("up") - 1).otherwise(F.col("up")))
+    binned = kept.withColumn("bin", binned_at(F.col("pos"))).groupBy("bin").agg(F.sum("n").cast("long").alias("n"))
+    out = binned.withColumn("lo", F.ceil(inverse(F.col("bin"))).cast("long")).withColumn("up", F.floor(inverse(F.col("bin") + 1)).cast("long"))
+    out = out.withColumn("hi", F.when(binned_at(F.col("up")) > F.col("bin"), F.col("up") - 1).otherwise(F.col("up")))
     if low is not None:
         out = out.withColumn("lo", F.greatest("lo", F.lit(low).cast("long")))
     if high is not None:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import math
+import numbers
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,17 +149,20 @@ def uniformity_minmax(matrix: DataFrame, keys: list[str], n_positions: int, whic
 
     matrix has m0.., x0.. for each alignment. A trial draws as many events as there are, without replacement, from the
     alignment's columns; it is passed if the real least count is no less than the trial's and the real largest no
-    more. Alignments pass with `needed` such trials. The draws are seeded by the keys, so results don't depend on
-    order or partitions.
+    more. Alignments pass with `needed` such trials. The draws are seeded by the keys, whole numbers or texts, so results
+    don't depend on order or partitions.
     """
 
+    def number(key) -> int:
+        return int(key) & 0xFFFFFFFF if isinstance(key, numbers.Number) and key == key else zlib.crc32(str(key).encode())
+
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in pdf.itertuples(index=False):
             r = row._asdict()
             m, x = (np.array([r[f"{c}{k}"] for k in range(n_positions)], np.int64) for c in "mx")
             real, columns = (x if which == "x" else m), m + x
-            rng = np.random.default_rng([seed, *[int(r[k]) & 0xFFFFFFFF for k in keys]])
+            rng = np.random.default_rng([seed, *[number(r[k]) for k in keys]])
             passed = run = 0
             for low, high in _trial_bounds(rng, columns, int(real.sum()), trials):
                 hits = np.flatnonzero((real.min() >= low) & (real.max() <= high))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.config import reverse_complement_text
+from ..functions.formula import formula
 
 BASES = "ACGT"
 
@@ -337,7 +338,7 @@ def parameter_ball(
 ) -> DataFrame:
     """Integer points around a center: all within radius in every coordinate, or only along single axes (spikes).
 
-    reject is SQL over the coordinates; points where it holds go. sample: that many points, without repeats, by a
+    reject is a formula over the coordinates; points where it holds go. sample: that many points, without repeats, by a
     hash of the point.
     """
     names = list(center)
@@ -350,7 +351,7 @@ def parameter_ball(
         for n in names:
             df = df.select("*", axis(n).alias(n)).withColumn(n, F.col(n).cast("long"))
     if reject:
-        df = df.filter(~F.coalesce(F.expr(reject), F.lit(False)))
+        df = df.filter(~F.coalesce(formula(reject, {n: F.col(n) for n in names}), F.lit(False)))
     if not keep_center:
         away = F.lit(False)
         for n, c in center.items():

@@ -230,11 +230,25 @@ def test_streams(spark, tmp_path):
     rows = tmp_path / "rows"
     for k in range(3):
         spark.range(k * 100, k * 100 + 100).select("id", (F.col("id") % 5).alias("length")).coalesce(1).write.mode("append").parquet(str(rows))
-    stream = spark.readStream.schema("id long, length long").option("maxFilesPerTrigger", 1).parquet(str(rows))
-    spec = spark.createDataFrame([(0, 4, 130, 300)], "lo long, hi long, out_count long, in_count long")
-    S.quota_stream(stream, spec, str(tmp_path / "sink"), str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.parquet(str(tmp_path / "sink")).filter("batch >= 0")
-    assert out.count() == 130 and out.select("id").distinct().count() == 130
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.PROVIDER)
+    spec = spark.createDataFrame([(0, 2, 130, 300), (3, 4, 1000, 500), (9, 9, 5, 5)], "lo long, hi long, out_count long, in_count long")
+
+    def run():
+        stream = spark.readStream.schema("id long, length long").option("maxFilesPerTrigger", 1).parquet(str(rows))
+        out = S.quota_stream(stream, spec).writeStream.format("parquet").option("path", str(tmp_path / "sink"))
+        out.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+        got = spark.read.parquet(str(tmp_path / "sink"))
+        assert got.count() == got.select("id").distinct().count() and got.filter("length < lo or length > hi").count() == 0
+        return {r.lo: r["count"] for r in got.groupBy("lo").count().collect()}
+
+    assert run() == {0: 130, 3: 120}  # three batches: the quota of 0 to 2 is met, of 3 to 4 all 120 rows are taken
+    left = sorted(map(tuple, S.quota_left(spark, spec, str(tmp_path / "ck")).collect()))
+    assert left == [(0, 2, 0, 120), (3, 4, 880, 380), (9, 9, 5, 5)]
+    # started again with more files, the query goes on from its state; the sink is not read, it may even be emptied
+    for k in range(3, 5):
+        spark.range(k * 100, k * 100 + 100).select("id", (F.col("id") % 5).alias("length")).coalesce(1).write.mode("append").parquet(str(rows))
+    assert run() == {0: 130, 3: 200}
+    assert sorted(map(tuple, S.quota_left(spark, spec, str(tmp_path / "ck")).collect()))[:2] == [(0, 2, 0, 0), (3, 4, 800, 300)]
 
 
 def test_entry_without_the_training_subpackage():

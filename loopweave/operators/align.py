@@ -26,6 +26,8 @@ ALIGNMENT = (
 )
 #: Bases of the sequences that are searched together in a task.
 TOGETHER = 1 << 21
+#: Cells of the recurrence, bases times motif bases, in a part of a sequence's motifs that is dealt out on its own.
+PART = 1 << 26
 
 
 def _parsed(motifs: list[str | Motif]) -> list[Motif]:
@@ -96,6 +98,17 @@ def likely_motifs(sequences: DataFrame, motifs: list[str | Motif], limits: Thres
     return sequences.withColumn("likely", F.coalesce(likely, F.array().cast("array<int>")))
 
 
+def dealt(sequences: DataFrame, motifs: list[Motif]) -> DataFrame:
+    """sequences (nt, likely, ...) with a row for each part of its motifs that costs about PART cells."""
+    every = F.sequence(F.lit(0), F.lit(len(motifs) - 1)) if motifs else F.array().cast("array<int>")
+    likely = F.coalesce("likely", every)
+    longest = max([len(m.forward) for m in motifs], default=1)
+    size = F.greatest(F.lit(1), F.floor(F.lit(PART) / (F.greatest(F.length("nt"), F.lit(1)) * longest))).cast("int")
+    parts = F.sequence(F.lit(0), F.ceil(F.size(likely) / size).cast("int") - 1)
+    cut = F.when(F.size(likely) > 0, F.transform(parts, lambda k: F.slice(likely, k * size + 1, size)))
+    return sequences.withColumn("likely", F.explode(cut))
+
+
 def align_repeats(
     sequences: DataFrame, motifs: list[str | Motif], scoring: Scoring, limits: Thresholds, strands: str = "both", excised: bool = False, partitions: int | None = None,
     grams: bool = True,
@@ -103,7 +116,9 @@ def align_repeats(
     """Repeats of each motif in each sequence, by sequence, motif and order of emission.
 
     excised: also the error clumps that were cut out (excised is true), which are searched again but not reported.
-    partitions: deal sequences out anew by a hash; wanted if a few files hold very unequal sequences.
+    partitions: deal the work out anew: the motifs of a sequence in parts of about PART cells of the recurrence, and
+    the parts by a hash. Wanted if a few files hold very unequal sequences, or a sequence meets very many motifs; a
+    sequence moves once for each of its parts. Ordinals tell the order of rows in any case.
     grams: pairs of a sequence and a motif that cannot be reported are left out before they reach the aligner; the
     rows are the same with and without.
     """
@@ -114,7 +129,7 @@ def align_repeats(
     else:
         columns = columns.withColumn("likely", F.lit(None).cast("array<int>"))
     if partitions:
-        columns = columns.repartition(partitions, F.xxhash64("seq_ordinal", "name"))
+        columns = dealt(columns, parsed).repartition(partitions, F.xxhash64("seq_ordinal", "name", "likely"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []

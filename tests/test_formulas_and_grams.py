@@ -91,3 +91,18 @@ def test_rows_are_the_same_with_and_without_the_filter(spark):
     kept = A.likely_motifs(plain, motifs, thresholds(400, 0.85)).agg(F.sum(F.size("likely"))).first()[0]
     assert kept < 0.1 * 3 * 40  # of sequences without repeats few pairs reach the aligner
     assert math.isclose(A.likely_motifs(df, motifs, thresholds(60, None)).agg(F.avg(F.size("likely"))).first()[0], 3)
+
+
+def test_many_motifs_of_one_sequence_use_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(A, "PART", 20_000)
+    rnd = random.Random(8)
+    motifs = sorted({"".join(rnd.choice("ACGT") for _ in range(6)) for _ in range(300)})
+    df = spark.createDataFrame([(1, "s", noisy(rnd, motifs[5], 200, 0.02) + noisy(rnd, motifs[9], 150, 0.02)), (2, "t", "ACGT" * 20)], "seq_ordinal long, name string, nt string")
+    parsed, limits = [parse_motif(m) for m in motifs], thresholds(60, 0.85)
+    parts = A.dealt(df.withColumn("likely", F.lit(None).cast("array<int>")), parsed)
+    counts = {r.seq_ordinal: (r.n, r.m, r.most) for r in parts.groupBy("seq_ordinal").agg(F.count("*").alias("n"), F.sum(F.size("likely")).alias("m"), F.max(F.size("likely")).alias("most")).collect()}
+    assert counts[1][0] >= 30 and counts[1][1] == counts[2][1] == len(motifs) and counts[1][2] * 350 * 6 <= 30_000
+    used = parts.repartition(8, F.xxhash64("seq_ordinal", "name", "likely")).select(F.spark_partition_id()).distinct().count()
+    assert used == 8
+    rows = [sorted(map(tuple, A.align_repeats(df, parsed, PRESETS["default"], limits, partitions=p, grams=g).collect())) for p, g in ((8, False), (8, True), (None, False))]
+    assert rows[0] == rows[1] == rows[2] and {r[5] for r in rows[0]} >= {motifs[5], motifs[9]}

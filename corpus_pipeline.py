@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents.
+
+Defined results
+* null or empty texts, and texts without words: the quality rules reject them;
+* rows without a doc_id go through every stage like others; repeated rows are near copies, of which one stays;
+* ties between copies: the smallest (doc_id, digest of the text) stays; very long texts are judged and packed whole;
+* extra columns are kept up to mixing, also such as are named like results of an operator; an empty table gives no rows.
 """
 
 from __future__ import annotations

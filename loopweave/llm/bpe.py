@@ -26,6 +26,7 @@ Defined results
 from __future__ import annotations
 
 import bisect
+import functools
 import heapq
 import json
 import re
@@ -39,10 +40,10 @@ from pyspark.sql import functions as F
 
 #: Words of more bytes are merged by a heap.
 SHORT = 128
-#: Characters of the keys in a generation of a worker's caches of chunks and of words, some 40 MB each.
-CACHE = 2_000_000
+#: Characters of the keys in a generation of a worker's caches of chunks and of words, some 15 MB each.
+CACHE = 800_000
 #: Texts that are encoded together: rows, and characters unless one is longer.
-ROWS, STRETCH = 1024, 1 << 21
+ROWS, STRETCH = 512, 1 << 20
 #: No rank: larger than any.
 NONE = 1 << 30
 #: Below this code point text is in its normal form but for case, and the pattern's classes are the same in all versions.
@@ -111,9 +112,6 @@ class Bpe:
         alphabet = byte_alphabet()
         self.inner, self.last = (np.array([ids[c + e] for c in alphabet], np.int64) for e in ("", end))
         self.special = {t["content"]: t["id"] for t in given["added_tokens"]}
-        self.texts = [""] * (1 + max([*ids.values(), *self.special.values()]))
-        for text, k in [*ids.items(), *self.special.items()]:
-            self.texts[k] = text
         self.bytes_of = {c: b for b, c in enumerate(alphabet)}
         pattern = given["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.find_words = regex.compile(pattern + "| ").findall
@@ -224,19 +222,27 @@ class Bpe:
         get = self.chunks.__getitem__
         return [b"".join(map(get, p)) for p in parted]
 
+
+class Tokens:
+    """The texts of a vocabulary's tokens: all that decoding needs."""
+
+    def __init__(self, path: str | None = None):
+        with open(path or vocabulary(), encoding="utf-8") as f:
+            given = json.load(f)
+        ids = given["model"]["vocab"] | {t["content"]: t["id"] for t in given["added_tokens"]}
+        self.texts = [""] * (1 + max(ids.values()))
+        for text, k in ids.items():
+            self.texts[k] = text
+
     def decode(self, ids: bytes) -> str:
         n = len(self.texts)
         return " ".join([self.texts[k] for k in np.frombuffer(ids, "<u4").tolist() if k < n])
 
 
-_loaded: dict[str | None, Bpe] = {}
-
-
-def loaded(path: str | None = None) -> Bpe:
-    """This worker's tables; their cache serves all tasks that the worker runs."""
-    if path not in _loaded:
-        _loaded[path] = Bpe(path)
-    return _loaded[path]
+@functools.cache
+def loaded(kind: type, path: str | None = None) -> Bpe | Tokens:
+    """This worker's tables of one kind; their caches serve all tasks that the worker runs."""
+    return kind(path)
 
 
 def encode(df: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -246,7 +252,7 @@ def encode(df: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(tokenizer)
+        bpe = loaded(Bpe, tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
@@ -269,11 +275,11 @@ def decode(df: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """df (doc_id, n_tokens, ids) with `decoded`, the text of its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(tokenizer)
+        tokens = loaded(Tokens, tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                texts = [bpe.decode(x or b"") for x in part.column(2).to_pylist()]
+                texts = [tokens.decode(x or b"") for x in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     kind = df.schema["doc_id"].dataType.simpleString()

@@ -18,6 +18,7 @@ from ..operators import generators as G
 from ..operators import intervals as I
 from ..operators import reads as R
 from ..operators.durable import settle, shared_folder
+from ..sources import blocks as B
 from ..sources import sinks as K
 from ..sources import text as T
 from . import views as V
@@ -235,6 +236,28 @@ def event_matrix(spark, d):
     return E.event_matrix(V.pair(spark, d))
 
 
+_BLOCKS = """select 'doc_' || doc_id as name, length(replace(seq_text, '-', ''))::int as seq_bases, 0 as "start", length(replace(seq_text, '-', ''))::int as "end", seq_text, motif_text,
+'GGAAT' as motif, case when doc_id % 3 = 0 then '-' else '+' end as strand, length(replace(motif_text, '-', ''))::int as motif_bases, (doc_id % 1000 - 500)::int as score,
+m::int as m, mm::int as mm, (io + ix)::int as i, ("do" + dx)::int as d, translate(kinds, 'id', 'xx') as error_text from counts"""
+
+
+@query(f"with {V.KINDS} {_BLOCKS}")
+def block_scan(spark, d):
+    """The alignments as a file of blocks with statistics in the shared folder, read again in splits."""
+    pair = V.pair(spark, d)
+    bases = lambda c: F.length(F.regexp_replace(c, "-", ""))
+    a = pair.withColumn("_s", F.col("seq_text")).withColumn("_q", F.col("motif_text")).transform(E.event_matrix)
+    a = a.select(
+        "doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("name"), F.lit(None).cast("int").alias("seq_len"), F.lit(0).alias("start"), bases("_s").alias("end"),
+        bases("_s").alias("seq_bases"), F.lit("GGAAT").alias("motif_name"), F.when(F.col("doc_id") % 3 == 0, "-").otherwise("+").alias("strand"), bases("_q").alias("motif_bases"),
+        (F.col("doc_id") % 1000 - 500).alias("score"), F.col("_s").alias("seq_text"), F.col("_q").alias("motif_text"), "m", "mm", (F.col("io") + F.col("ix")).alias("i"),
+        (F.col("do") + F.col("dx")).alias("d"),
+    )
+    K.write_blocks(a, folder := f"{shared_folder(spark)}/blocks-{uuid.uuid4().hex}", ["doc_id"], stats=True)
+    columns = ["name", "seq_bases", "start", "end", "seq_text", "motif_text", "motif", "strand", "motif_bases", "score", "m", "mm", "i", "d", "error_text"]
+    return B.read_blocks(spark, folder, whole=True).select(*columns)
+
+
 _TOTALS = ', '.join(f'sum("{e}")::bigint as "{e}"' for e in E.EVENTS)
 
 

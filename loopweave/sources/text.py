@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,87 +86,6 @@ def named(sequences: DataFrame, names: list[str]) -> DataFrame:
     return sequences.filter(F.col("name").isin(names))
 
 
-BLOCK_SCHEMA = (
-    "file string, line_number bigint, name string, seq_len int, seq_bases int, start int, end int, seq_text string, motif string, strand string, motif_bases int, "
-    "score int, motif_text string, m int, mm int, i int, d int, m_ratio_text string, error_text string, extra_lines array<string>"
-)
-
-
-def read_blocks(spark: SparkSession, path: str | list[str], require_end: bool = True, whole: bool = False) -> DataFrame:
-    """Alignment blocks (BLOCK_SCHEMA) of files, plain or compressed, each in one task, as line numbers need its order.
-
-    A block is an optional line of statistics, a sequence and a motif line; other lines that start with # stay with
-    it. Text after the end marker, a missing marker where it is required, or a short block is an error. whole: the
-    files of a folder, as `write_blocks` leaves them, are parts of one: the marker must be the last line of the last
-    file and of no other. A file's text is one row, so files should have the size of a split.
-    """
-    if whole:
-        marks = concat_check(spark, path).agg(F.sum("markers").alias("n"), F.max_by("markers", "file").alias("last")).first()
-        if require_end and (marks["n"], marks["last"]) != (1, 1):
-            raise ValueError(f"{path}: the end marker is missing, or not in the last file alone")
-        require_end = False
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
-        for pdf in it:
-            for file, text in zip(pdf["file"], pdf["value"], strict=True):
-                yield pd.DataFrame(list(parse_blocks(text, require_end, file)), columns=columns)
-
-    return files.mapInPandas(run, BLOCK_SCHEMA.replace(" end int", " `end` int"))
-
-
-def parse_blocks(text: str, require_end: bool = True, file: str = "") -> Iterator[tuple]:
-    """The blocks of one file's text, as tuples in the order of BLOCK_SCHEMA."""
-    import re
-
-    block: list[str] = []
-    first = 0
-    ended = False
-    for number, line in enumerate(text.split("\n"), 1):
-        if ended:
-            if line.strip():
-                raise ValueError(f"{file}: text after the end marker, in line {number}")
-            continue
-        if re.match(END_MARKER, line):
-            if block:
-                yield _block(block, first, file)
-                block = []
-            ended = True
-        elif not line.strip():
-            if block:
-                yield _block(block, first, file)
-                block = []
-        else:
-            first = first if block else number
-            block.append(line)
-    if block:
-        yield _block(block, first, file)
-    if require_end and not ended:
-        raise ValueError(f"{file}: the end marker is missing")
-
-
-def _block(lines: list[str], first: int, file: str) -> tuple:
-    import re
-
-    fields = [x for x in lines if not x.startswith("#")]
-    if len(fields) < 2:
-        raise ValueError(f"{file}: short block at line {first}")
-    stats = lines[0] if lines[0].startswith("#") and "score=" in lines[0] else ""
-    extra = [x for x in lines if x.startswith("#") and x is not stats]
-    seq, motif = fields[0].split(), fields[1].split()
-    if len(seq) != 5 or len(motif) != 4:
-        raise ValueError(f"{file}: bad block at line {first}")
-    number = lambda k: int(v[1]) if (v := re.search(rf"(?<!\S){k}=(\d+)", stats)) else None
-    start, end = seq[3].split("-")
-    name, strand = (motif[0][:-1], motif[0][-1]) if motif[0][-1] in "+-" else (motif[0], "+")
-    ratio = re.search(r"mRatio=(\S+%)", stats)
-    return (
-        file, first, seq[0], None if seq[1] == "?" else int(seq[1]), int(seq[2].removesuffix("bp")), int(start), int(end), seq[4], name, strand, int(motif[1].removesuffix("bp")),
-        int(motif[2].removeprefix("score=")), motif[3], *[number(k) for k in ("m", "mm", "i", "d")], ratio[1] if ratio else None, stats.split()[-1] if stats else None, extra,
-    )
-
-
 def positional_stats(blocks: DataFrame) -> DataFrame:
     """blocks with `positional`: array of struct(pos, nuc, stats map) from their position lines; a gap in positions is an error."""
     lines = F.filter("extra_lines", lambda x: x.rlike(r"^# position \d+"))

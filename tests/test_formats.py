@@ -19,6 +19,7 @@ from loopweave.operators import events as E
 from loopweave.operators import generators as G
 from loopweave.operators import intervals as I
 from loopweave.operators import reads as R
+from loopweave.sources import blocks as B
 from loopweave.sources import sinks as K
 from loopweave.sources import text as T
 from loopweave.sources import trf
@@ -56,16 +57,17 @@ def test_blocks_survive_writing_and_reading(spark, tmp_path):
     K.write_blocks(found, str(tmp_path / "out"), ["seq_ordinal", "emit_ordinal"], stats=True)
     files = sorted((tmp_path / "out").glob("part*"))
     assert files[-1].read_text().endswith(K.MARKER + "\n") and sum(K.MARKER in p.read_text() for p in files) == 1
-    assert T.read_blocks(spark, str(tmp_path / "out"), whole=True).count() == 2
+    assert B.read_blocks(spark, str(tmp_path / "out"), whole=True).count() == 2
     (tmp_path / "one.txt").write_text("".join(p.read_text() for p in files))
     both = T.concatenate(spark, [str(tmp_path / "one.txt")] * 2, "# any end-of-file").collect()
     assert both[-1].value == "# any end-of-file" and sum("seq" not in r.value and "end-of-file" in r.value for r in both) == 1
-    assert len(list(T.parse_blocks("\n".join(r.value for r in both)))) == 4
+    (tmp_path / "both.txt").write_text("\n".join(r.value for r in both))
+    assert B.read_blocks(spark, str(tmp_path / "both.txt")).count() == 4
     (tmp_path / "open.txt").write_text("".join(p.read_text() for p in files).replace(K.MARKER, ""))
     with pytest.raises(Exception, match="marker is missing"):
         T.concatenate(spark, [str(tmp_path / "open.txt")], "# x").collect()
     assert T.concatenate(spark, [str(tmp_path / "open.txt")], "# x end-of-file", tolerant=True).count() > 4
-    back = {(r.name, r.start, r.end, r.seq_text, r.motif_text, r.strand, r.m, r.score, r.error_text) for r in T.read_blocks(spark, str(tmp_path / "one.txt")).collect()}
+    back = {(r.name, r.start, r.end, r.seq_text, r.motif_text, r.strand, r.m, r.score, r.error_text) for r in B.read_blocks(spark, str(tmp_path / "one.txt")).collect()}
     mask = D.match_mask(F.col("seq_text"), F.col("motif_text"))
     want = {(r.name, r.start, r.end, r.seq_text, r.motif_text, r.strand, r.m, r.score, r.mask) for r in found.withColumn("mask", mask).collect()}
     assert back == want and len(want) == 2
@@ -79,18 +81,6 @@ def test_blocks_survive_writing_and_reading(spark, tmp_path):
     assert C.msa_report(found, ["seq_ordinal"]).count() > 10
 
 
-def test_block_errors():
-    good = "s 10 4bp 0-4 ACGT\nACGT+ 4bp score=4 ACGT\n"
-    assert len(list(T.parse_blocks(good + "# any end-of-file\n"))) == 1
-    with pytest.raises(ValueError, match="missing"):
-        list(T.parse_blocks(good))
-    assert len(list(T.parse_blocks(good, require_end=False))) == 1
-    with pytest.raises(ValueError, match="after the end"):
-        list(T.parse_blocks("# any end-of-file\n" + good))
-    with pytest.raises(ValueError, match="short"):
-        list(T.parse_blocks("s 10 4bp 0-4 ACGT\n# any end-of-file\n"))
-
-
 def test_positional_lines(spark):
     extra = ["# position 0 [G] mRatio=88.8% m=1 mm=2 i=0 d=0 mmA=0", "# crc 00000000", "# position 1 [A] mRatio=50.0% m=1 mm=1 i=0 d=0 mmA=1"]
     df = spark.createDataFrame([(extra,)], "extra_lines array<string>")

@@ -17,6 +17,7 @@ from ..operators import events as E
 from ..operators import generators as G
 from ..operators import intervals as I
 from ..operators import reads as R
+from ..operators import table_functions
 from ..operators.durable import settle, shared_folder
 from ..sources import blocks as B
 from ..sources import sinks as K
@@ -670,6 +671,14 @@ def align_debridged(spark, d):
     return E.summary(_repeats(spark, d, 0.8))
 
 
+@query()
+def repeats_by_sql(spark, d):
+    table_functions.register(spark)
+    motifs = ", ".join(f"'{m}'" for m in MOTIFS)
+    seqs = _sequences(spark, d).repartition(spark.sparkContext.defaultParallelism * 2, "seq_ordinal")
+    return E.summary(spark.sql(f"SELECT * FROM align_repeats(TABLE({{seqs}}), array({motifs}), min_length => 30)", seqs=seqs))
+
+
 _KEYS = ["seq_ordinal", "motif_ordinal", "emit_ordinal"]
 
 

@@ -24,8 +24,8 @@ ALIGNMENT = (
     "seq_ordinal bigint, name string, seq_len int, motif_ordinal int, motif_name string, motif string, strand string, emit_ordinal int, "
     "score int, start int, end int, seq_bases int, motif_bases int, m int, mm int, i int, d int, match_ratio float, seq_text string, motif_text string, excised boolean"
 )
-#: Bases of the sequences that are searched together in a task.
-TOGETHER = 1 << 21
+#: Bases of the sequences that are searched together in a task: many, as a step costs about the same for few segments and for many.
+TOGETHER = 1 << 24
 #: Cells of the recurrence, bases times motif bases, in a part of a sequence's motifs that is dealt out on its own.
 PART = 1 << 26
 

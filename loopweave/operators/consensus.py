@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,38 +56,68 @@ def _cells(motif: Column, seq_text: Column, motif_text: Column) -> Column:
 CELLS = "array<struct<pos:int,chunk:bigint,token:string>>"
 
 
-def _runs(sorted_: Column) -> Column:
-    """array of struct(at, n): where each run of equal elements of a sorted array starts, and how many it has."""
-    size = F.size(sorted_)
-    starts = F.filter(F.sequence(F.lit(0), size - 1), lambda k: (k == 0) | (F.get(sorted_, k) != F.get(sorted_, F.greatest(k - 1, F.lit(0)))))
-    counted = dna.let(starts, lambda s: F.transform(s, lambda at, k: F.struct(at.alias("at"), (F.coalesce(F.get(s, k + 1), size) - at).alias("n"))))
-    return F.when(size == 0, F.array().cast("array<struct<at:int,n:int>>")).otherwise(counted)
-
-
-def _consensus_of(cells: Column, n: Column, winner: float) -> Column:
-    """The consensus of one alignment's cells, null if a position has no clear winner.
-
-    Each position has as many cells as there are copies; equal tokens are runs of the sorted cells, and the last run
-    of a position in order of count and token wins.
-    """
-    tokens_ = F.array_sort(F.transform(cells, lambda c: F.struct(c["pos"].alias("pos"), c["token"].alias("token"))))
-
-    def best(sorted_: Column) -> Column:
-        counts = F.array_sort(F.transform(_runs(sorted_), lambda r: dna.let(F.get(sorted_, r["at"]), lambda x: F.struct(x["pos"].alias("pos"), r["n"].alias("n"), x["token"].alias("token")))))
-        return dna.let(counts, lambda c: F.filter(c, lambda x, k: F.coalesce(F.get(c, k + 1)["pos"] != x["pos"], F.lit(True))))
-
-    def text(top: Column) -> Column:
-        copies = F.size(cells) / n
-        clear = F.forall(top, lambda x: x["n"] >= winner * copies)
-        joined = F.array_join(F.transform(top, lambda x: F.when(x["token"] == "-", "").otherwise(x["token"])), "")
-        return F.when((F.size(top) > 0) & clear, joined)
-
-    return dna.let(tokens_, lambda t: dna.let(best(t), text))
+_TURN = str.maketrans(dna.NUCS, dna.PAIRS)
+
+
+def copies_of(motif: str, seq_text: str, motif_text: str) -> list[list[str]]:
+    """The cells of `tokens` copy by copy: for each copy of the motif the token of each position; one pass over the columns."""
+    n, found = len(motif), []
+    for s, q in zip(seq_text, motif_text, strict=True):
+        if q != "-":
+            found.append([s])
+        elif found:
+            found[-1].append(s)
+    if not found:
+        return []
+    start = motif_text.replace("-", "").upper()[:n]
+    turned = motif[::-1].translate(_TURN)
+    first, reverse = (motif + motif).find(start), False
+    if not 0 <= first < n:
+        first, reverse = (turned + turned).find(start), True
+    if not 0 <= first < n:
+        first, reverse = 0, False
+    texts = ["".join(x) for x in found]
+    if reverse:
+        texts = [x[::-1].translate(_TURN) for x in texts]
+    cells = [""] * first + texts
+    cells += [""] * (-len(cells) % n)
+    step = -1 if reverse else 1
+    return [cells[k : k + n][::step] for k in range(0, len(cells), n)]
+
+
+def consensus_text(motif: str | None, seq_text: str | None, motif_text: str | None, winner: float = WINNER) -> str | None:
+    """The consensus of one alignment, None if a position has no clear winner; of equally frequent tokens the larger text wins."""
+    if motif is None or seq_text is None or motif_text is None:
+        return None
+    copies = copies_of(motif, seq_text, motif_text)
+    top = [max((count, token) for token, count in Counter(x).items()) for x in zip(*copies, strict=True)]
+    if not top or any(count < winner * len(copies) for count, _ in top):
+        return None
+    return "".join("" if token == "-" else token for _, token in top)
+
+
+def word_counts(motif: str | None, seq_text: str | None, motif_text: str | None, ratio: float) -> list[tuple[int, int, str]] | None:
+    """(n, off, word) of the words of one alignment, see `words`, in their order."""
+    if motif is None or seq_text is None or motif_text is None:
+        return None
+    texts = ("".join(x).replace("-", "") for x in copies_of(motif, seq_text, motif_text) if "" not in x)
+    counts = Counter(x if x == motif else x.lower() for x in texts)
+    own = ratio * counts.get(motif, 0)
+    return sorted(((n, abs(len(x) - len(motif)), x) for x, n in counts.items() if n >= own), reverse=True)
+
+
+def _each(function, kind: pa.DataType, schema: str, motif: Column, seq_text: Column, motif_text: Column) -> Column:
+    """function of each row's values, in Arrow batches."""
+
+    def run(m: pa.Array, s: pa.Array, q: pa.Array) -> pa.Array:
+        return pa.array([function(*x) for x in zip(m.to_pylist(), s.to_pylist(), q.to_pylist(), strict=True)], kind)
+
+    return F.arrow_udf(run, schema)(motif, seq_text, motif_text)
 
 
 def consensus_of(motif: Column, seq_text: Column, motif_text: Column, winner: float = WINNER) -> Column:
     """The consensus of an alignment that runs along its motif, null if it has none; see `consensus`."""
-    return dna.let(_cells(motif, seq_text, motif_text), lambda cells: _consensus_of(cells, F.length(motif), winner))
+    return _each(lambda m, s, q: consensus_text(m, s, q, winner), pa.string(), "string", motif, seq_text, motif_text)
 
 
 def tokens(alignments: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,7 +135,7 @@ def consensus(alignments: DataFrame, keys: list[str], winner: float = WINNER) ->
     """(keys, consensus) of the alignments that have one: at every position a token with the share `winner`.
 
     Of equally frequent tokens the larger text wins; a winning deletion adds nothing. Each alignment is judged in its
-    own row, by built-in expressions.
+    own row, in one pass over its columns.
     """
     found = consensus_of(F.col("motif"), F.col("seq_text"), F.col("motif_text"), winner)
     return alignments.select(*keys, found.alias("consensus")).filter("consensus is not null")
@@ -117,15 +150,14 @@ def consensus_filter(alignments: DataFrame, keys: list[str], mode: str = "keep")
 
 def _sliced(width: int, step: int) -> Column:
     """The consensus of each window of `width` columns every `step`, 'none' for those without one, under ten copies left out."""
-    motif = F.col("motif")
 
-    def windows(seq: Column, text: Column) -> Column:
-        n = F.length(seq)
-        starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), lambda k: F.least(n - k, F.lit(width)) >= LEAST_COPIES * F.length(motif))
-        cut = lambda c, k: F.substr(c, k + 1, F.lit(width))
-        return F.transform(starts, lambda k: F.coalesce(consensus_of(motif, cut(seq, k), cut(text, k)), F.lit("none")))
+    def windows(motif: str | None, seq: str | None, text: str | None) -> list[str] | None:
+        if motif is None or seq is None or text is None:
+            return None
+        starts = [k for k in range(0, max(len(seq), 1), step) if min(len(seq) - k, width) >= LEAST_COPIES * len(motif)]
+        return ["none" if x is None else x for x in (consensus_text(motif, seq[k : k + width], text[k : k + width]) for k in starts)]
 
-    return dna.let(_forward("seq_text"), lambda s: dna.let(_forward("motif_text"), lambda q: windows(s, q)))
+    return _each(windows, pa.list_(pa.string()), "array<string>", F.col("motif"), _forward("seq_text"), _forward("motif_text"))
 
 
 def sliced_consensus(alignments: DataFrame, keys: list[str], width: int, step: int) -> DataFrame:
@@ -169,25 +201,13 @@ def words(alignments: DataFrame, keys: list[str], ratio: float = 0.1) -> DataFra
     Kept if they are as frequent as ratio times the motif; by count, length difference and text, descending. Counted
     in each alignment's own row.
     """
-    motif, n = F.col("motif"), F.length("motif")
-
-    def copies(cells: Column) -> Column:
-        # cells come copy by copy, in order of position or, where the text follows the reverse complement, backwards
-        count = (F.size(cells) / n).cast("int")
-        of = lambda k: F.array_sort(F.slice(cells, k * n + 1, n))
-        whole = F.filter(F.transform(F.sequence(F.lit(0), count - 1), of), lambda c: F.forall(c, lambda x: x["token"] != ""))
-        text = lambda c: F.regexp_replace(F.array_join(F.transform(c, lambda x: x["token"]), ""), "-", "")
-        word = lambda c: dna.let(text(c), lambda t: F.when(t == motif, t).otherwise(F.lower(t)))
-        return F.when(F.size(cells) == 0, F.array().cast("array<string>")).otherwise(F.transform(whole, word))
-
-    def counted(sorted_: Column) -> Column:
-        return F.transform(_runs(sorted_), lambda r: dna.let(F.get(sorted_, r["at"]), lambda w: F.struct(r["n"].alias("n"), F.abs(F.length(w) - n).alias("off"), w.alias("word"))))
+    kind = pa.list_(pa.struct([("n", pa.int32()), ("off", pa.int32()), ("word", pa.string())]))
 
-    def kept(counts: Column) -> Column:
-        own = F.coalesce(F.array_max(F.transform(F.filter(counts, lambda c: c["word"] == motif), lambda c: c["n"])), F.lit(0))
-        return F.sort_array(F.filter(counts, lambda c: c["n"] >= ratio * own), asc=False)
+    def counted(motif: str | None, seq_text: str | None, motif_text: str | None) -> list[dict] | None:
+        found = word_counts(motif, seq_text, motif_text, ratio)
+        return found and [{"n": n, "off": off, "word": word} for n, off, word in found]
 
-    found = dna.let(_cells(motif, F.col("seq_text"), F.col("motif_text")), lambda cells: dna.let(F.array_sort(copies(cells)), lambda w: dna.let(counted(w), kept)))
+    found = _each(counted, kind, "array<struct<n:int,off:int,word:string>>", F.col("motif"), F.col("seq_text"), F.col("motif_text"))
     rows = alignments.select(*keys, F.posexplode(found).alias("rank", "x"))
     return rows.select(*keys, F.col("x.word").alias("word"), F.col("x.n").cast("long").alias("n"), (F.col("rank") + 1).alias("rank"))
 

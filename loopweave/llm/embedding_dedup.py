@@ -38,8 +38,10 @@ from .common import cut, few
 from .components import components
 
 THRESHOLD = 0.95
-#: Vectors of a block, and bytes of its components in double precision: a task holds two blocks in a few such copies.
-BLOCK, BLOCK_BYTES = 4096, 1 << 25
+#: Vectors of a block while there are few blocks, and blocks that are wanted: a node moves once for each block that its own
+#: meets, so beyond BLOCK * BLOCKS vectors blocks grow instead. At most BLOCK_BYTES of components in double precision lie
+#: in one: a task holds two blocks in a few such copies.
+BLOCK, BLOCKS, BLOCK_BYTES = 4096, 24, 1 << 25
 #: Tasks that tiles are dealt to at most.
 TASKS = 10_000
 #: Pivots of a dimension (two for each block of its vectors), and dimensions that have some, the commonest; others are one cell.
@@ -48,8 +50,8 @@ PIVOTS, WIDTHS = (64, 512), 16
 SAMPLE_BYTES = 1 << 24
 #: More than the error of an angle computed in double precision, for cosines not too near 1.
 ANGLE_SLACK = 1e-6
-#: Rows of a tile's first block that are multiplied at a time, pairs recomputed at a time.
-STRIP, PAIRS = 512, 1 << 16
+#: Products that are made at a time, pairs recomputed at a time.
+STRIP, PAIRS = 1 << 21, 1 << 16
 #: More than the rounding of the float32 scaling of a product of unit vectors.
 SLACK = 4e-6
 LARGEST_EXACT = (1 << 24) // (127 * 127)
@@ -79,13 +81,14 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, own: bool, threshold: float = THR
     longest = float(max(lx.max(initial=0), ly.max(initial=0)))
     s32 = sy.astype(np.float32)
     gain = (ey * longest + SLACK).astype(np.float32)
-    for at in range(0, len(x), STRIP):
+    strip = max(16, STRIP // max(len(y), 1))
+    for at in range(0, len(x), strip):
         first = at if own else 0
-        p = _products(qx[at : at + STRIP], qy[first:])
-        p *= sx[at : at + STRIP, None].astype(np.float32)
+        p = _products(qx[at : at + strip], qy[first:])
+        p *= sx[at : at + strip, None].astype(np.float32)
         p *= s32[first:]
         p += gain[first:]
-        rows, columns = np.where(p >= (threshold - SLACK - ex[at : at + STRIP])[:, None].astype(np.float32))
+        rows, columns = np.where(p >= (threshold - SLACK - ex[at : at + strip])[:, None].astype(np.float32))
         if own:
             later = columns > rows
             rows, columns = rows[later], columns[later]
@@ -96,7 +99,7 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, own: bool, threshold: float = THR
         if hits:
             good = np.concatenate(hits)
             rows, columns = rows[good] + at, columns[good] + first
-            ends = np.searchsorted(rows, np.arange(at, min(at + STRIP, len(x)) + 1))
+            ends = np.searchsorted(rows, np.arange(at, min(at + strip, len(x)) + 1))
             for r in range(len(ends) - 1):
                 if ends[r + 1] > ends[r]:
                     yield at + r, columns[ends[r] : ends[r + 1]]
@@ -110,6 +113,7 @@ def _tile(table: pa.Table) -> pa.Table:
     own = bool((side == 2).any())
     a, b = (np.arange(len(nodes)),) * 2 if own else (np.where(side == 0)[0], np.where(side == 1)[0])
     links, label = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+    members: dict[int, np.ndarray] = {}  # of labels with several nodes; the smaller side of a union is labelled anew
     if len(a) and len(b):
         for r, columns in linked_pairs(x[a], x[b], own):
             k, others = a[r], b[columns]
@@ -117,7 +121,11 @@ def _tile(table: pa.Table) -> pa.Table:
             links[others] += sizes[k]
             joined = np.unique(np.append(label[others], label[k]))
             if len(joined) > 1:
-                label[np.isin(label, joined)] = joined[0]
+                groups = [members.pop(int(g), np.array([g])) for g in joined]
+                largest = max(range(len(groups)), key=lambda g: len(groups[g]))
+                for g in groups[:largest] + groups[largest + 1 :]:
+                    label[g] = joined[largest]
+                members[int(joined[largest])] = np.concatenate(groups)
     found = np.where(links > 0)[0]
     least: dict[int, str] = {}
     for k in found:
@@ -212,14 +220,19 @@ def _grouped(pivots: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarra
     return Cells(pivots, group, base, parts, near)
 
 
-def tiles(nodes: DataFrame, block: int = BLOCK, threshold: float = THRESHOLD) -> DataFrame:
+def block_rows(n: int, width: int, block: int | None = None) -> int:
+    """Vectors of a block where n of a dimension are to be compared: `block`, or BLOCK, or so many that there are about BLOCKS."""
+    return max(1, min(block or max(BLOCK, -(-n // BLOCKS)), BLOCK_BYTES // (8 * width)))
+
+
+def tiles(nodes: DataFrame, block: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """nodes (node, vector, ...) once for each tile they belong to: with width, low and high (its blocks) and side.
 
     side: 0 for nodes of the low block, 1 of the high one, 2 where both are the same. A node finds its tiles from the
     groups near its own, a broadcast table of at most a row for each pair of pivots.
     """
     spark = nodes.sparkSession
-    pivots = _pivots(nodes, block)
+    pivots = _pivots(nodes, block or BLOCK)
     placed = cut(_in_cells(nodes, pivots))
     counted = placed.groupBy("width", "cell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
     bare = counted.filter(~F.col("width").isin(list(pivots)))  # of these dimensions nothing is known: one cell each
@@ -231,12 +244,12 @@ def tiles(nodes: DataFrame, block: int = BLOCK, threshold: float = THRESHOLD) ->
         n, low, high = np.zeros(len(pivots[w]), np.int64), np.zeros(len(pivots[w])), np.zeros(len(pivots[w]))
         for r in found:
             n[r.cell], low[r.cell], high[r.cell] = r.n, r.low, r.high
-        rows = max(1, min(block, BLOCK_BYTES // (8 * w)))
+        rows = block_rows(int(n.sum()), w, block)
         cells = _grouped(pivots[w], n, low, high, rows, threshold)
         of_cell += [(w, c, int(g), int(cells.base[g]), int(cells.parts[g])) for c, g in enumerate(cells.group)]
         of_group += [(w, a, int(cells.base[b]), int(cells.parts[b])) for a, b in cells.near]
     names = "_w int, _c int, own int, base bigint, parts bigint"
-    other = bare.select(F.col("width").alias("_w"), F.col("cell").alias("_c"), F.lit(0).alias("own"), F.lit(0).cast("long").alias("base"), F.ceil(F.col("n") / block).alias("parts"))
+    other = bare.select(F.col("width").alias("_w"), F.col("cell").alias("_c"), F.lit(0).alias("own"), F.lit(0).cast("long").alias("base"), F.ceil(F.col("n") / (block or BLOCK)).alias("parts"))
     known = F.broadcast(spark.createDataFrame(of_cell, names))
     groups = F.broadcast(spark.createDataFrame(of_group, "_w2 int, _g int, other_base bigint, other_parts bigint"))
     at = lambda table: (F.col("width") == table["_w"]) & (F.col("cell") == table["_c"])
@@ -249,7 +262,7 @@ def tiles(nodes: DataFrame, block: int = BLOCK, threshold: float = THRESHOLD) ->
     return meets.select(*nodes.columns, "width", F.least("_own", "_other").alias("low"), F.greatest("_own", "_other").alias("high"), side.alias("side"))
 
 
-def classes(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+def classes(vectors: DataFrame, block: int | None = None) -> DataFrame:
     """(vec_id, node, n_links, component_id) of each vector (vec_id, embedding)."""
     e = F.col("embedding")
     usable = F.size(e) > 0

@@ -14,11 +14,11 @@
 6. The same nodes may meet in many buckets of one main component: where comparing all of its outsiders with each other
    and with its members once is less work than bucket by bucket, they do so, up to WHOLE blocks of outsiders. A pair
    that shares any band of those is then compared, so none is lost.
-7. Any other bucket with more than BLOCK members outside its main component is crowded: very many texts that share a
-   passage. Its members are dealt by a second band, and where that is crowded too by a third (`depth` further bands), so
-   work stays in proportion to the rows. A pair whose only bands in common are crowded is missed with the chance that
-   the number of bands in common is less than that; at similarity 0.75 this is below 8e-5 for two bands and 7e-4 for
-   three. With depth 0 the members of every bucket meet in blocks, all of them, and nothing is dealt further.
+7. In every other bucket, however crowded, all members outside its main component meet all members in blocks, so no pair
+   of a bucket is dropped. Blocks grow with the bucket, so a row moves for about SPREAD blocks up to GROWTH * SPREAD * BLOCK
+   members. The comparisons of a crowded bucket (very many texts that share a passage) grow with the square of its members,
+   dealt over its tiles. `depth` can ask for less: members of crowded buckets are then dealt by that many further bands, and
+   a pair whose only bands in common are crowded is missed if these are no more than `depth`.
 8. A group of n texts that are not joined yet has n**2 / 2 candidates. So each tile first gives a spanning forest of its
    candidates, the likeliest first, a pair for each node at most; when these are verified and have joined components,
    the tiles are gone through again for all candidates that are still across components.
@@ -65,8 +65,10 @@ FINE = 512
 BLOCK, CACHE = 512, 100_000
 #: Pairs whose full sets meet in one task, on average, and bytes of these sets.
 CELL_PAIRS, CELL_BYTES = 1024, 1 << 25
+#: Blocks of a bucket that a row moves for, and how many times BLOCK a block grows to keep to it.
+SPREAD, GROWTH = 24, 8
 #: Further bands by which the members of crowded buckets are dealt; after that all their pairs are compared. 0: at once.
-DEPTH = 2
+DEPTH = 0
 #: Blocks of outsiders of one main component that are compared all with all.
 WHOLE = 32
 
@@ -403,7 +405,8 @@ def _split(rows: DataFrame, scratch: Scratch) -> DataFrame:
 def _tiles(rows: DataFrame, block: int) -> DataFrame:
     """(tile, path, outside, side, node, root): each row outside the main root once for each block of its bucket, as
     side 0, and every row once for each part of those outside, as side 1; there is one part unless they are many."""
-    blocks, parts = (F.ceil(F.col(c) / block).cast("int") for c in ("size", "n_outside"))
+    grown = F.greatest(F.lit(block), F.least(F.lit(GROWTH * block), F.ceil(F.col("size") / SPREAD)))
+    blocks, parts = (F.ceil(F.col(c) / grown).cast("int") for c in ("size", "n_outside"))
     outside = F.col("root") != F.col("main")
     own_block, own_part = F.pmod(F.xxhash64("node"), blocks).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), parts).cast("int")
     as_first = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(own_part.alias("part"), b.alias("block"), F.lit(0).alias("side")))

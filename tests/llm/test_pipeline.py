@@ -238,3 +238,32 @@ def test_banding_finds_pairs_at_the_threshold():
         a, b = (near_dedup.bands(near_dedup.registers(np.unique(x))) for x in (pool[:n], pool[n - both :]))
         found += any(x == y for x, y in zip(a, b))
     assert found >= 1998
+
+
+def test_a_pair_that_shares_crowded_bands_alone_is_found(spark):
+    """Two texts of similarity 0.75 with two bands in common, both of which a crowd of other texts shares."""
+    rng = np.random.default_rng(3)
+    key = lambda words: near_dedup.bands(near_dedup.registers(near_dedup.shingles(" ".join(words))))
+    a = [f"a{k}" for k in range(600)]
+    own, common = key(a), []
+    while len(common) != 2:
+        b = list(a)
+        for k in rng.permutation(118)[:17]:
+            b[5 * int(k) + 4] = f"b{rng.integers(1 << 30)}"
+        common = [k for k, (x, y) in enumerate(zip(own, key(b))) if x == y]
+    least = {}
+    for k in range(596):
+        h = int(near_dedup.shingles(" ".join(a[k : k + 5]))[0])
+        least[h >> 57] = min(least.get(h >> 57, (h, k)), (h, k))
+    phrases = [a[k : k + 5] for band in common for _, k in (least[4 * band + j] for j in range(4))]
+    crowd = []
+    while len(crowd) < 40:
+        c = [w for p in phrases for w in [*p, f"c{rng.integers(1 << 30)}"]]
+        if all(key(c)[k] == own[k] for k in common):
+            crowd.append(c)
+    sets = [grams(" ".join(t)) for t in (a, b, *crowd)]
+    links = [(y, x) for x in range(42) for y in range(x) if 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y])]
+    assert links == [(0, 1)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate((a, b, *crowd))], "doc_id long, text string")
+    placed, _ = near_dedup.classes(docs, block=4, whole=0)
+    assert {r.doc_id: r.component_id for r in placed.collect()} == smallest(range(42), links)

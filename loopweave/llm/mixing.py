@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, SPACE_RUN, cut
+from .common import ASCII_SPACE, SPACE_RUN, cut, few
 
 #: Weights of the sources in order, repeating, and the cap on a source's target.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -123,14 +123,13 @@ def lay_out(df: DataFrame, n_rows: int, seed: str = SEED) -> DataFrame:
     return placed.withColumn("place", F.col("_ahead") + F.col("_inside")).drop("_order", "_bin", "_ahead", "_inside")
 
 
-def mix(df: DataFrame, slots: int = SLOTS, seed: str = SEED, with_slot: bool = True) -> DataFrame:
-    """df (doc_id, source, size, ...) with source_size, target, taken (words in the mix) and, if asked, first_slot."""
+def _measured(df: DataFrame, slots: int, seed: str) -> tuple[DataFrame, DataFrame, int]:
+    """df with source_size, target, taken, its place in its line and how the line is read; the schedule; its number of slots."""
     spark = df.sparkSession
     own = df.drop(*[c for c in RESULTS if c != "size"])
     sources = cut(own.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")))
     n_sources, total, n_docs = sources.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
     mixed = targets(sources)
-    block = slot_words(total, slots)
     plan = cut(schedule(spark, mixed, total, slots))
     held = plan.groupBy(_key(F.col("source")).alias("_source")).agg(F.count("*").alias("_slots"))
     # the line is read so far; as often as the cap allows at most
@@ -143,15 +142,26 @@ def mix(df: DataFrame, slots: int = SLOTS, seed: str = SEED, with_slot: bool = T
     rounds = F.floor(F.col("_read") / F.greatest("source_size", F.lit(1)))
     rest = F.col("_read") - rounds * F.col("source_size")
     laid = laid.withColumn("taken", (rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("place")))).cast("long"))
-    if not with_slot:
-        return laid.drop("_source", "_read", "_slots", "place")
-    # the last block that begins at or before the document's first word
-    rank = F.expr("((place + 1) * _slots - 1) div _read")
-    laid = laid.withColumn("_rank", F.when(F.col("taken") > 0, rank))
-    first = plan.select(_key(F.col("source")).alias("_source"), F.col("rank").alias("_rank"), F.col("slot").alias("first_slot"))
-    picked = F.conv(F.substr(F.md5(F.col("_source").cast("binary")), F.lit(1), F.lit(8)), 16, 10).cast("long") % max(1, -(-total // block))
+    return laid, plan, max(1, -(-total // slot_words(total, slots)))
+
+
+def _with_slot(laid: DataFrame, plan: DataFrame, n_slots: int, word: str, name: str) -> DataFrame:
+    """laid with the slot of the block in which a word of its line lies, null for documents of which nothing is taken."""
+    # the last block that begins at or before the word
+    laid = laid.withColumn("_rank", F.when(F.col("taken") > 0, F.expr(f"(({word} + 1) * _slots - 1) div _read")))
+    at = plan.select(_key(F.col("source")).alias("_source"), F.col("rank").alias("_rank"), F.col("slot").alias(name))
+    picked = F.conv(F.substr(F.md5(F.col("_source").cast("binary")), F.lit(1), F.lit(8)), 16, 10).cast("long") % n_slots
     shared = F.when((F.col("taken") > 0) & (F.col("_slots") == 0), picked)
-    return laid.join(first, ["_source", "_rank"], "left").withColumn("first_slot", F.coalesce("first_slot", shared)).drop("_rank", "_read", "_slots", "place", "_source")
+    # the schedule has SLOTS rows at most, so rows need not move to meet it
+    return laid.join(few(at), ["_source", "_rank"], "left").withColumn(name, F.coalesce(name, shared)).drop("_rank")
+
+
+def mix(df: DataFrame, slots: int = SLOTS, seed: str = SEED, with_slot: bool = True) -> DataFrame:
+    """df (doc_id, source, size, ...) with source_size, target, taken (words in the mix) and, if asked, first_slot."""
+    laid, plan, n_slots = _measured(df, slots, seed)
+    if with_slot:
+        laid = _with_slot(laid, plan, n_slots, "place", "first_slot")
+    return laid.drop("_read", "_slots", "place", "_source")
 
 
 def op8_mixing(df: DataFrame) -> DataFrame:
@@ -161,15 +171,21 @@ def op8_mixing(df: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents as often as the mix takes them.
+    """Pipeline stage: documents as often as the mix takes them, in the order of the schedule.
 
     A document stays once for each time that at least half of its words are taken, so texts are never cut; a document
-    without words stays once, as the mix has nothing to take of it.
+    without words stays once, as the mix has nothing to take of it. Each time has a slot of its own, that of its first
+    word in that round of the line (without words: one picked by its id). Partitions are stretches of the schedule, so
+    what is packed together holds each source with nearly its share.
     """
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct("*").alias("row"))
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))))
-    mixed = mix(sized, with_slot=False).withColumn("copies", copies.cast("int")).filter("copies > 0")
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    laid, plan, n_slots = _measured(sized, SLOTS, SEED)
+    laid = laid.withColumn("_copies", copies.cast("int")).filter("_copies > 0")
+    laid = laid.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).withColumn("_word", F.col("place") + F.col("_copy") * F.col("source_size"))
+    placed = _with_slot(laid, plan, n_slots, "_word", "_slot")
+    placed = placed.select("row", "_word", F.coalesce("_slot", F.pmod(F.xxhash64("doc_id"), F.lit(n_slots))).alias("_slot"))
+    return placed.repartitionByRange("_slot").sortWithinPartitions("_slot", "_word").select("row.*")
 
 
 def oracle() -> str:

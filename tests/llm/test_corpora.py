@@ -93,3 +93,20 @@ def test_a_long_text_leaves_the_sample_whole(spark):
     assert training.sample(docs(texts | {second: "y" * 5000}), labels, "toxic", max_chars=1000) == whole[:20] + whole[21:]
     long = {k: "z" * (3000 + k) if k % 2 else t for k, t in texts.items()}
     assert sum(y for _, y in training.sample(docs(long), labels, "toxic", max_chars=1000)) == 1
+
+
+def test_the_stage_gives_documents_in_the_order_of_the_schedule(spark):
+    """Each stretch of the stage's rows holds every source with nearly its share of the words, as the schedule has it."""
+    rnd = random.Random(5)
+    sizes = {k: rnd.randint(5, 30) for k in range(900)}
+    source = {k: "abc"[k % 3] for k in sizes}
+    rows = [(k, source[k], " ".join(["w"] * n)) for k, n in sizes.items()]
+    out = [r.doc_id for r in mixing.stage(spark, spark.createDataFrame(rows, "doc_id long, source string, text string"), "").collect()]
+    words = lambda ids, s: sum(sizes[k] for k in ids if source[k] == s) / sum(sizes[k] for k in ids)
+    assert len(out) > 600
+    for k in range(6):
+        part = out[k * len(out) // 6 : (k + 1) * len(out) // 6]
+        assert all(abs(words(part, s) - words(out, s)) < 0.06 for s in "abc")
+    slots = {r.doc_id: r.first_slot for r in mixing.mix(spark.createDataFrame([(k, source[k], n) for k, n in sizes.items()], "doc_id long, source string, size long")).collect()}
+    firsts = [slots[k] for k in dict.fromkeys(out) if slots[k] is not None]
+    assert sorted(firsts) == firsts

@@ -146,30 +146,6 @@ def cs_events(cs: Column) -> Column:
     )
 
 
-def sam_events(cigar: Column, md: Column) -> Column:
-    """struct(m, mm, io, ix, do, dx, consistent): gaps from the cigar, matches and mismatches from the MD tag.
-
-    The MD tag's runs are matches and its letters outside deletions mismatches (an N too); the cigar counts
-    M, = and X together. consistent: aligned and deleted bases of both agree.
-    """
-    ops = cigar_ops(cigar, "MIDNSHP=X")
-    gaps = lambda k: F.filter(ops, lambda x: x["op"] == k)
-    bare = F.regexp_replace(md, r"\^[A-Z]+", "|")
-    matches = F.aggregate(F.regexp_extract_all(bare, F.lit("[0-9]+"), F.lit(0)), F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
-    mismatches = F.regexp_count(bare, F.lit("[A-Z]")).cast("long")
-    deleted = _lengths(F.regexp_extract_all(md, F.lit(r"\^[A-Z]+"), F.lit(0)), 1)
-    total = lambda k: cigar_total(ops, k)
-    return F.struct(
-        matches.alias("m"),
-        mismatches.alias("mm"),
-        F.size(gaps("I")).cast("long").alias("io"),
-        (total("I") - F.size(gaps("I"))).alias("ix"),
-        F.size(gaps("D")).cast("long").alias("do"),
-        (total("D") - F.size(gaps("D"))).alias("dx"),
-        ((matches + mismatches == total("M=X")) & (deleted == total("D"))).alias("consistent"),
-    )
-
-
 def natural_key(name: Column) -> Column:
     """A string by which names sort with their numbers by value, numbers before words.
 

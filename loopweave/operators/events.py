@@ -144,6 +144,18 @@ def _trial_bounds(rng: np.random.Generator, counts: np.ndarray, events: int, tri
         block = min(4 * block, 1 << 12)
 
 
+#: Tasks for each core that test alignments.
+SPREAD = 4
+
+
+def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows in a fixed number of parts: they are few bytes and much work each, so parts made by size would be too few.
+
+    The parts follow a hash of the keys, as Spark leaves out an exchange by the same columns as the one before.
+    """
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism * SPREAD, F.xxhash64(*keys))
+
+
 def uniformity_minmax(matrix: DataFrame, keys: list[str], n_positions: int, which: str = "x", trials: int = 10_000, needed: int = 1, seed: int = 0) -> DataFrame:
     """(keys, outcome, trials_run): whether errors (x) or matches (m) spread over motif positions as chance would.
 
@@ -177,7 +189,7 @@ def uniformity_minmax(matrix: DataFrame, keys: list[str], n_positions: int, whic
 
     kinds = {f.name: f.dataType.simpleString() for f in matrix.schema}
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", uniform boolean, trials_run int"
-    return matrix.mapInPandas(lambda it: (test(p) for p in it), schema)
+    return _dealt(matrix, keys).mapInPandas(lambda it: (test(p) for p in it), schema)
 
 
 def _gamma_q(a: float, x: float) -> float:
@@ -259,7 +271,7 @@ def uniformity_chi_squared(matrix: DataFrame, keys: list[str], n_positions: int,
 
     kinds = {f.name: f.dataType.simpleString() for f in matrix.schema}
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", statistic double, p_value double, outcome string"
-    return base.mapInPandas(tails, schema)
+    return _dealt(base, keys).mapInPandas(tails, schema)
 
 
 def uniformity_filter(alignments: DataFrame, outcomes: DataFrame, keys: list[str], discard: str = "bad") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
-from .durable import cut
+from .durable import cut, few
 
 EVENTS = ("m", "mm", "io", "ix", "do", "dx")
 
@@ -262,16 +262,26 @@ def uniformity_chi_squared(matrix: DataFrame, keys: list[str], n_positions: int,
         *keys, F.least(*m, *x).alias("least"), F.coalesce(sum(terms[1:], terms[0]), F.lit(0.0)).alias("statistic"), (total_x if which == "x" else total_m).alias("n_events")
     )
 
+    freedom = n_positions - 1
+
+    def levels(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pdf.assign(_level=[alpha_for_power(int(e), freedom, effect, power) for e in pdf["_e"]])
+
     def tails(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            p = [chi_squared_p(s, n_positions - 1) for s in pdf["statistic"]]
-            level = [alpha_for_power(int(e), n_positions - 1, effect, power) for e in pdf["n_events"]]
-            outcome = ["untestable" if low < 5 else "rejected" if q <= a else "uniform" for low, q, a in zip(pdf["least"], p, level, strict=True)]
+            p = [chi_squared_p(s, freedom) for s in pdf["statistic"]]
+            outcome = ["untestable" if low < 5 else "rejected" if q <= a else "uniform" for low, q, a in zip(pdf["least"], p, pdf["_level"], strict=True)]
             yield pdf[[*keys, "statistic"]].assign(p_value=p, outcome=outcome)
 
+    # a level takes long and depends on the number of events alone: each number's is worked out once
+    base = cut(base)
+    numbers_ = base.select(F.col("n_events").cast("bigint").alias("_e")).distinct()
+    level = few(_dealt(numbers_, ["_e"]).mapInPandas(levels, "_e bigint, _level double"))
+    known = base.join(level, F.col("n_events").cast("bigint") == F.col("_e"))
     kinds = {f.name: f.dataType.simpleString() for f in matrix.schema}
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", statistic double, p_value double, outcome string"
-    return _dealt(base, keys).mapInPandas(tails, schema)
+    return _dealt(known, keys).mapInPandas(tails, schema)
 
 
 def uniformity_filter(alignments: DataFrame, outcomes: DataFrame, keys: list[str], discard: str = "bad") -> DataFrame:

@@ -14,6 +14,7 @@ Defined results
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
 #: Entries of a worker's cache of encoded words, some 40 MB, which it keeps for all its tasks.
 CACHE = 250_000
 #: New parts that are encoded as one text.
-JOINED = 1000
+JOINED = 250
 
 
 def vocabulary() -> str:
@@ -50,7 +51,10 @@ class Encoder:
 
     #: A space with something other than white space on both sides.
     CUT = re.compile(r" (?!\s)(?<!\s )")
+
     def __init__(self, path: str | None = None, cache: int = CACHE):
+        # a task has one core; the library's threads would wait for work on those of other tasks
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or vocabulary())
@@ -63,46 +67,56 @@ class Encoder:
 
     def parts(self, text: str) -> list[str]:
         """The text in parts that can be encoded alone; all but the first stand for a space and the part."""
+        return self._parts(text)[0]
+
+    def _parts(self, text: str) -> tuple[list[str], bool]:
+        """The parts, and whether none is known to be empty or to have white space at its ends."""
         if any(s in text for s in self.special):
-            return [text]
+            return [text], True
         plain = text.split(" ")
         # white space at the ends of a part, or an empty part: then CUT has to decide
-        return self.CUT.split(text) if "" in plain or list(map(str.strip, plain)) != plain else plain
+        return (self.CUT.split(text), False) if "" in plain or list(map(str.strip, plain)) != plain else (plain, True)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        firsts, rests = [], []
+        firsts, rests, closed, others = [], [], [], []
         for t in texts:
-            first, *rest = self.parts(t)
+            (first, *rest), whole = self._parts(t)
             firsts.append(first)
             rests.append(rest)
+            (closed if whole else others).append(rest)
         heads = self._encode(firsts)
-        self._learn(rests)
+        self._learn(closed, others)
         get = self.known.__getitem__
         return [h + b"".join(map(get, r)) for h, r in zip(heads, rests, strict=True)]
 
     def learn(self, texts: list[str]) -> None:
         """Takes the parts of some texts into the cache at once."""
-        self._learn([self.parts(t)[1:] for t in texts])
+        closed, others = [], []
+        for t in texts:
+            parts, whole = self._parts(t)
+            (closed if whole else others).append(parts[1:])
+        self._learn(closed, others)
 
     def counts(self, first: str, rest: list[str]) -> list[int]:
         """Tokens of each part of a text."""
         if not self.known.keys() >= set(rest):
-            self._learn([rest])
+            self._learn([], [rest])
         known = self.known
         return [len(self._encode([first])[0]) // 4, *(len(known[p]) // 4 for p in rest)]
 
-    def _learn(self, parts: list[list[str]]) -> None:
+    def _learn(self, closed: list[list[str]], others: list[list[str]]) -> None:
+        """Takes parts into the cache; only those of others may be empty or end with white space."""
         known = self.known
-        new = set().union(*parts).difference(known)
-        if len(known) + len(new) > self.limit:
+        new, odd = set().union(*closed).difference(known), set().union(*others).difference(known)
+        if len(known) + len(new) + len(odd) > self.limit:
             known.clear()
-            new = set().union(*parts)
-        if new:
-            closed = [w for w in new if w and not w[-1].isspace()]
-            for k in range(0, len(closed), JOINED):
-                known.update(self._joined(closed[k : k + JOINED]))
-            rest = [w for w in new if not w or w[-1].isspace()]
-            known.update(zip(rest, self._encode([" " + w for w in rest]), strict=True))
+            new, odd = set().union(*closed), set().union(*others)
+        open_ = [w for w in odd if not w or w[-1].isspace()]
+        joined = list(new.union(odd).difference(open_) if odd else new)
+        for k in range(0, len(joined), JOINED):
+            known.update(self._joined(joined[k : k + JOINED]))
+        if open_:
+            known.update(zip(open_, self._encode([" " + w for w in open_]), strict=True))
 
     def _joined(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
         """Ids of parts encoded as one text: a part starts where a token starts with a space, as no part has another."""

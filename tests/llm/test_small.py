@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small fixtures, with the odd cases of each docstring."""
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -88,6 +89,19 @@ def test_packing_is_whole(spark):
     assert packing.op3_packing(documents(spark, []).limit(0)).count() == 0
 
 
+def test_new_parts_are_encoded_together_on_one_core(monkeypatch):
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    e = packing.Encoder(cache=40)
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"  # a task has one core
+    texts = ["plain words, of\na text. " * 3 + "end", " odd  spaces \n here\n ", "", "a <|endoftext|> b", "é\u3000 x \x1f y"]
+    for t, ids in zip(texts, e(texts), strict=True):
+        want = e.tokenizer.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want
+        first, *rest = e.parts(t)
+        assert sum(e.counts(first, rest)) == len(want)
+    assert [e._parts(t)[1] for t in texts] == [True, False, False, True, False]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text("ab \n\té1.　'", max_size=40), st.lists(st.tuples(st.integers(0, 45), st.integers(0, 12), st.text("ab \n.", max_size=8)), max_size=4))
 def test_token_counts_follow_edits(text, edits):

@@ -12,6 +12,9 @@ from .common import Scratch, few
 
 #: Edges that a task joins in memory at a time, some 40 MB.
 CHUNK = 100_000
+#: Edges for a task of a step, on average, and tasks of a step at least: as their number is counted before each step, a
+#: small table does not become as many tasks and files as the session has shuffle partitions, which the driver keeps.
+TASK_EDGES, LEAST_TASKS = 50_000, 8
 
 
 def forest(edges: DataFrame) -> DataFrame:
@@ -55,7 +58,7 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
 
 
-def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch, tasks: int) -> DataFrame:
     """Each larger neighbour of a node is linked to the smallest of the node and its neighbours.
 
     Only nodes with a larger neighbour matter, the centres of stars; they are broadcast while they are measured small,
@@ -63,16 +66,17 @@ def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     both = _both(edges)
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("top")).filter("top > u").select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(few(least, scratch), F.col("u") == F.col("w")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    least = few(least.coalesce(tasks), scratch)
+    return both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct().coalesce(tasks)
 
 
-def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _small_star(edges: DataFrame, scratch: Scratch, tasks: int) -> DataFrame:
     """Each node and its smaller neighbours are linked to the smallest of these."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).coalesce(tasks)
     several = few(least.filter("n > 1").select(F.col("u").alias("w"), "m"), scratch)
     moved = down.join(several, F.col("u") == F.col("w")).filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
+    return moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct().coalesce(tasks)
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -93,7 +97,8 @@ def components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         after = Scratch(spark)
         used = Scratch(spark)
-        new = after.settle(_small_star(used.settle(_large_star(now, used)), used))
+        tasks = max(LEAST_TASKS, -(-mark[0] // TASK_EDGES))
+        new = after.settle(_small_star(used.settle(_large_star(now, used, tasks)), used, tasks))
         used.drop()
         held.drop()
         seen, mark = mark, _mark(new)

@@ -14,7 +14,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loopweave.llm import embedding_dedup, license_scan, line_crf, mixing, near_dedup, packing, quality_rules, token_counts, toxicity, url_filter
+from loopweave.llm import common, embedding_dedup, license_scan, line_crf, mixing, near_dedup, packing, quality_rules, token_counts, toxicity, url_filter
+from loopweave.llm import components as connected
 from loopweave.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, kept boolean, score double, size long"
@@ -221,6 +222,31 @@ def test_sketches_estimate_jaccard():
     assert np.abs(errors).max() < 0.12 and abs(np.mean(errors)) < 0.03
 
 
+def test_steps_of_components_have_tasks_by_their_edges(spark, monkeypatch):
+    files = []
+
+    class Noted(common.Scratch):
+        def settle(self, df):
+            out = super().settle(df)
+            files.append(len(out.inputFiles()))
+            return out
+
+    monkeypatch.setattr(connected, "Scratch", Noted)
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        edges = [(k, k - 1) for k in range(1, 400) if k % 5] + [(k, 0) for k in range(400, 600)]
+        got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {k: k // 5 * 5 if k < 400 else 0 for k in range(600)}
+    assert len(files) > 4 and max(files[1:]) <= connected.LEAST_TASKS  # the first table's size is not known yet
+
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 50)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
